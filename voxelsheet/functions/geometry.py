@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 class Vec(NamedTuple):
@@ -102,18 +102,27 @@ def quaternion_from_axis_angle(axis: Vec, angle: Column) -> tuple[Column, Column
     return (w, *[c * F.sin(half) for c in unit])
 
 
-def quaternion_between(a: Vec, b: Vec) -> tuple[Column, Column, Column, Column]:
-    """Shortest rotation that takes direction ``a`` to direction ``b``."""
-    a, b = normalize(a), normalize(b)
-    axis = cross(a, b)
-    turned = quaternion_from_axis_angle(axis, angle_between(a, b))
+def with_quaternion_between(df: DataFrame, a: Vec, b: Vec, name: str) -> DataFrame:
+    """Add ``{name}w .. {name}z``: the shortest rotation from ``a`` to ``b``.
+
+    Done in steps, so that each step reads columns instead of repeating the
+    expressions below it.
+    """
+    steps = df.select("*", *[c.alias(f"_a{n}") for n, c in zip("xyz", normalize(a))],
+                      *[c.alias(f"_b{n}") for n, c in zip("xyz", normalize(b))])
+    a, b = vec("_ax", "_ay", "_az"), vec("_bx", "_by", "_bz")
+    steps = steps.select("*", *[c.alias(f"_c{n}") for n, c in zip("xyz", cross(a, b))],
+                         angle_between(a, b).alias("_angle"), (dot(a, b) > 0).alias("_same"))
+    axis = vec("_cx", "_cy", "_cz")
+    steps = steps.withColumn("_flat", length(axis) <= 2.220446049250313e-16)
+    turned = quaternion_from_axis_angle(axis, F.col("_angle"))
     half_turn = quaternion_from_axis_angle(perpendicular(a), F.lit(math.pi))
     identity = [F.lit(v) for v in (1.0, 0.0, 0.0, 0.0)]
-    flat = length(axis) <= 2.220446049250313e-16
-    same = dot(a, b) > 0
-    return tuple(
-        F.when(flat & same, i).when(flat, h).otherwise(t) for i, h, t in zip(identity, half_turn, turned)
-    )
+    parts = [
+        F.when(F.col("_flat") & F.col("_same"), i).when(F.col("_flat"), h).otherwise(t).alias(f"{name}{n}")
+        for n, i, h, t in zip("wxyz", identity, half_turn, turned)
+    ]
+    return steps.select(*df.columns, *parts)
 
 
 def rotate(v: Vec, q) -> Vec:

@@ -94,11 +94,14 @@ def flat_index(z: Column, y: Column, x: Column, height, width) -> Column:
     return (z * height + y) * width + x
 
 
-def unflatten(index: Column, height: int, width: int) -> tuple[Column, Column, Column]:
+def int_div(a: Column, b) -> Column:
+    """Whole-number division of non-negative integers."""
+    return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b)).cast("int")
+
+
+def unflatten(index: Column, height, width) -> tuple[Column, Column, Column]:
     """(z, y, x) of a flat block index."""
-    index = index.cast("int")
-    plane = height * width
-    return (index / plane).cast("int"), (index % plane / width).cast("int"), index % width
+    return int_div(index, height * width), int_div(index, width) % height, index % width
 
 
 def conv_output_size(size: Column, kernel: Column, stride: Column, padding: Column, dilation: Column) -> Column:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as g
+from ..functions.scalars import int_div
 from .gather import BlockOptions, place_centers
 
 CHUNK_POINTS = 4096
@@ -36,7 +37,7 @@ def pack_bricks(voxels: DataFrame, edge: int = 64) -> DataFrame:
     """voxels to ``volume_id, bz, by, bx, data``; a group is one brick, at most edge^3 rows."""
     cell = ((F.col("z") % edge) * edge + F.col("y") % edge) * edge + F.col("x") % edge
     grouped = voxels.groupBy(
-        "volume_id", *[(F.col(a) / edge).cast("int").alias(f"b{a}") for a in "zyx"]
+        "volume_id", *[int_div(F.col(a), edge).alias(f"b{a}") for a in "zyx"]
     ).agg(F.collect_list(F.struct(cell.cast("int").alias("cell"), F.col("v").cast("int").alias("v"))).alias("cells"))
     limit_arrow_batches(voxels)
 
@@ -88,6 +89,7 @@ def touched_bricks(placed: DataFrame, options: BlockOptions, shape, edge: int) -
 
     The bounds of a rotated box follow axis by axis from the extreme offsets.
     Truncation maps positions down to -1.5 to voxel 0, so the low end clamps.
+    A block outside the volume gets brick -1, which holds nothing.
     """
     low_high = []
     for n in options.shape:
@@ -104,8 +106,8 @@ def touched_bricks(placed: DataFrame, options: BlockOptions, shape, edge: int) -
             high = high + F.greatest(b * lo, b * hi)
         first = F.greatest(g.truncate(low + 0.5 - 1e-6), F.lit(0))
         last = F.least(g.truncate(high + 0.5 + 1e-6), F.lit(size - 1))
-        reach = F.when((high > -1.6) & (last >= first), F.sequence((first / edge).cast("int"), (last / edge).cast("int")))
-        out = out.withColumn(f"b{axis}", F.explode(reach))
+        reach = F.when((high > -1.6) & (last >= first), F.sequence(int_div(first, edge), int_div(last, edge)))
+        out = out.withColumn(f"b{axis}", F.explode(F.coalesce(reach, F.array(F.lit(-1)))))
     return out
 
 
@@ -131,7 +133,8 @@ def _read_cells(options: BlockOptions, shape, edge: int, summary: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                cube = np.frombuffer(batch.column("data")[i].as_buffer(), "<u2")
+                data = batch.column("data")[i]
+                cube = np.frombuffer(data.as_buffer(), "<u2") if data.is_valid else np.zeros(edge**3, "<u2")
                 corner = {a: batch.column(f"b{a}")[i].as_py() * edge for a in "zyx"}
                 points = batch.column("points")[i].values
                 ids = points.field("point_id")
@@ -179,10 +182,9 @@ def gather_summary(points: DataFrame, bricks: DataFrame, options: BlockOptions,
                    portable: bool = False) -> DataFrame:
     """``point_id, n, sum_v, max_v``; points carry ``point_id, volume_id, x..nz``."""
     limit_arrow_batches(points)
-    met = _chunks(points, options, shape, edge, portable).join(bricks, ["volume_id", "bz", "by", "bx"])
+    met = _chunks(points, options, shape, edge, portable).join(bricks, ["volume_id", "bz", "by", "bx"], "left")
     parts = met.mapInArrow(_read_cells(options, shape, edge, True), f"point_id {_id_type(points)}, sum_v bigint, max_v int")
-    zeros = points.select("point_id", F.lit(0).cast("bigint").alias("sum_v"), F.lit(0).alias("max_v"))
-    return parts.unionByName(zeros).groupBy("point_id").agg(
+    return parts.groupBy("point_id").agg(
         F.lit(options.cells).cast("bigint").alias("n"), F.sum("sum_v").alias("sum_v"), F.max("max_v").alias("max_v")
     )
 
@@ -195,14 +197,10 @@ def gather_blocks(points: DataFrame, bricks: DataFrame, options: BlockOptions, s
     cell value travels once. A point has at most 27 parts.
     """
     limit_arrow_batches(points)
-    met = _chunks(points, options, shape, edge, portable).join(bricks, ["volume_id", "bz", "by", "bx"])
+    met = _chunks(points, options, shape, edge, portable).join(bricks, ["volume_id", "bz", "by", "bx"], "left")
     kind = _id_type(points)
     parts = met.mapInArrow(_read_cells(options, shape, edge, False), f"point_id {kind}, mask binary, cells binary")
-    none = F.lit(None).cast("binary")
-    zeros = points.select("point_id", none.alias("mask"), none.alias("cells"))
-    grouped = parts.unionByName(zeros).groupBy("point_id").agg(
-        F.collect_list(F.when(F.col("mask").isNotNull(), F.struct("mask", "cells"))).alias("parts")
-    )
+    grouped = parts.groupBy("point_id").agg(F.collect_list(F.struct("mask", "cells")).alias("parts"))
     cells = options.cells
 
     def merge(batches):

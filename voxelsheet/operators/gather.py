@@ -3,6 +3,11 @@
 Row form: every sample cell becomes a row with an integer key and meets the
 voxel table in an equi join. It suits small blocks and needs no Python. For
 large blocks use :mod:`voxelsheet.operators.bricks`, which gives the same cells.
+
+Cells outside the volume are dropped before the join, so that only keys that
+can match are shuffled. Each point carries one marker row (``cell = -1``) that
+matches nothing, so a point without any cell inside still has a row. Absent
+cells read as 0.
 """
 
 from __future__ import annotations
@@ -65,10 +70,13 @@ def place_centers(points: DataFrame, options: BlockOptions, id_columns: list[str
     basis = g.basis_from_unit_normal(normal)
     names = [f"{axis}{part}" for axis in "xyz" for part in "xyz"]
     columns = [c for v in basis for c in v]
+    # Never null: keeps Catalyst from copying whole formulas into null checks.
+    # A point without a position becomes NaN and fails at the cast to a key.
+    sure = lambda c: F.coalesce(c, F.lit(float("nan")))
     return unit.select(
         *points.columns,
-        *[c.alias(f"c{a}") for a, c in zip("xyz", center)],
-        *[c.alias(f"b{n}") for n, c in zip(names, columns)],
+        *[sure(c).alias(f"c{a}") for a, c in zip("xyz", center)],
+        *[sure(c).alias(f"b{n}") for n, c in zip(names, columns)],
     )
 
 
@@ -77,9 +85,9 @@ def _basis_columns() -> g.Basis:
 
 
 def explode_cells(placed: DataFrame, keys: list[str], options: BlockOptions) -> DataFrame:
-    """One row per sample cell: keys, ``cell``, position ``qx, qy, qz``."""
+    """One row per sample cell and the marker: keys, ``cell``, position ``qx, qy, qz``."""
     nz, ny, nx = options.shape
-    cells = placed.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(options.cells - 1))))
+    cells = placed.withColumn("cell", F.explode(F.sequence(F.lit(-1), F.lit(options.cells - 1))))
     z, y, x = scalars.unflatten(F.col("cell"), ny, nx)
     offset = g.Vec(g.centered_offset(x, nx), g.centered_offset(y, ny), g.centered_offset(z, nz))
     position = g.sample_position(g.vec("cx", "cy", "cz"), _basis_columns(), offset, options.ratio)
@@ -93,16 +101,19 @@ def _inside(shape) -> Column:
     )
 
 
-def nearest_hits(placed: DataFrame, voxels: DataFrame, keys: list[str], options: BlockOptions, shape) -> DataFrame:
-    """Non-empty cells only: keys, ``cell``, ``v``.
+def _meet(cells: DataFrame, voxels: DataFrame, shape) -> DataFrame:
+    """Left join with the voxels; markers get a key no voxel has, spread over y and x."""
+    marked = cells.withColumn("z", F.when(F.col("cell") < 0, -1).otherwise(F.col("z")))
+    kept = marked.filter((F.col("cell") < 0) | _inside(shape))
+    return kept.join(voxels.select("z", "y", "x", "v"), ["z", "y", "x"], "left")
 
-    Cells outside the volume are dropped before the join, so only keys that can
-    match are shuffled; callers read absent cells as 0.
-    """
+
+def nearest_hits(placed: DataFrame, voxels: DataFrame, keys: list[str], options: BlockOptions, shape) -> DataFrame:
+    """keys, ``cell``, ``v``."""
     cells = explode_cells(placed, keys, options).select(
         *keys, "cell", *[g.truncate(F.col(f"q{a}") + 0.5).alias(a) for a in "xyz"]
     )
-    return cells.filter(_inside(shape)).join(voxels.select("z", "y", "x", "v"), ["z", "y", "x"]).select(*keys, "cell", "v")
+    return _meet(cells, voxels, shape).select(*keys, "cell", "v")
 
 
 def trilinear_hits(placed: DataFrame, voxels: DataFrame, keys: list[str], options: BlockOptions, shape) -> DataFrame:
@@ -129,8 +140,9 @@ def trilinear_hits(placed: DataFrame, voxels: DataFrame, keys: list[str], option
     corners = c.select(
         *keys, "cell", weight.alias("w"),
         (F.col("ix") + step["x"]).alias("x"), (F.col("iy") + row).alias("y"), (F.col("iz") + step["z"]).alias("z"),
-    ).filter((F.col("w") != 0) & _inside(shape))
-    met = corners.join(voxels.select("z", "y", "x", "v"), ["z", "y", "x"])
+        "corner",
+    ).filter(F.when(F.col("cell") < 0, F.col("corner") == 0).otherwise(F.col("w") != 0))
+    met = _meet(corners, voxels, shape)
     summed = met.groupBy(*keys, "cell").agg(F.sum(F.col("w") * F.col("v")).alias("s"))
     return summed.select(*keys, "cell", F.pmod(F.floor(F.col("s") + 1e-6).cast("bigint"), F.lit(65536)).cast("int").alias("v"))
 
@@ -147,31 +159,19 @@ def gather(points: DataFrame, voxels: DataFrame, keys: list[str], options: Block
     return SAMPLING_METHODS[options.method](placed, voxels, keys, options, shape)
 
 
-def summarize(points: DataFrame, hits: DataFrame, keys: list[str], options: BlockOptions) -> DataFrame:
-    """Per point: cell count, sum and maximum, empty cells counted as 0.
-
-    Points join the hits as zero rows, so that points without any hit stay; a
-    union costs less than a second join and sums combine on the map side.
-    """
-    zeros = points.select(*keys, F.lit(0).alias("v"))
-    rows = hits.select(*keys, "v").unionByName(zeros)
-    return rows.groupBy(*keys).agg(
-        F.lit(options.cells).cast("bigint").alias("n"),
-        F.sum(F.col("v").cast("bigint")).alias("sum_v"),
-        F.max("v").alias("max_v"),
+def summarize(hits: DataFrame, keys: list[str], cells: int) -> DataFrame:
+    """Per point: cell count, sum and maximum, absent cells counted as 0."""
+    v = F.coalesce("v", F.lit(0))
+    return hits.groupBy(*keys).agg(
+        F.lit(cells).cast("bigint").alias("n"), F.sum(v.cast("bigint")).alias("sum_v"), F.max(v).alias("max_v")
     )
 
 
-def as_blocks(points: DataFrame, hits: DataFrame, keys: list[str], cells: int, value: str = "v") -> DataFrame:
-    """One dense ``block`` array per point. A group holds at most ``cells`` rows."""
-    zeros = points.select(*keys, F.lit(None).cast("int").alias("cell"), F.lit(None).cast(hits.schema[value].dataType).alias(value))
-    rows = hits.select(*keys, "cell", value).unionByName(zeros)
-    packed = rows.groupBy(*keys).agg(
-        F.map_from_entries(
-            F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", value)))
-        ).alias("m")
-    )
-    zero = F.lit(0).cast(hits.schema[value].dataType)
+def as_blocks(hits: DataFrame, keys: list[str], cells: int) -> DataFrame:
+    """One dense ``block`` array per point. A group holds at most ``cells`` + 1 rows."""
+    known = F.when((F.col("cell") >= 0) & F.col("v").isNotNull(), F.struct("cell", "v"))
+    packed = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(known)).alias("m"))
+    zero = F.lit(0).cast(hits.schema["v"].dataType)
     block = F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.coalesce(F.try_element_at("m", i), zero))
     return packed.select(*keys, block.alias("block"))
 
@@ -200,7 +200,7 @@ def finish_block(block: Column, options: BlockOptions, ids: list[str]) -> Column
 
 
 def axis_aligned(points: DataFrame, voxels: DataFrame, keys: list[str], block, shape) -> DataFrame:
-    """Box slice turned to the strongest normal axis: keys, ``cell``, ``v``.
+    """Box slice turned to the strongest normal axis: keys, ``cell``, ``v``; marker rows as above.
 
     Boxes that leave the volume, and shapes the quarter turn does not map onto
     themselves, have no cells and read as zero.
@@ -225,7 +225,8 @@ def axis_aligned(points: DataFrame, voxels: DataFrame, keys: list[str], block, s
             h = half[case][a]
             fits = fits & (F.col(f"c{a}") - h >= 0) & (F.col(f"c{a}") + h <= size[a])
         usable = usable | ((F.col("axis") == case) & fits)
-    cells = start.filter(usable).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(sz * sy * sx - 1))))
+    reach = F.when(usable, F.sequence(F.lit(-1), F.lit(sz * sy * sx - 1))).otherwise(F.array(F.lit(-1)))
+    cells = start.withColumn("cell", F.explode(reach))
     a, b, c = scalars.unflatten(F.col("cell"), sy, sx)
     a = F.when(F.col("turned"), sz - 1 - a).otherwise(a)
     b = F.when(F.col("turned"), sy - 1 - b).otherwise(b)
@@ -234,7 +235,7 @@ def axis_aligned(points: DataFrame, voxels: DataFrame, keys: list[str], block, s
     y = F.when(case == 0, F.col("cy") - rx + b).when(case == 1, F.col("cy") - rz + a).otherwise(F.col("cy") - ry + b)
     z = F.when(case == 0, F.col("cz") + ry - 1 - c).when(case == 1, F.col("cz") + rx - 1 - b).otherwise(F.col("cz") - rz + a)
     at = cells.select(*keys, "cell", z.alias("z"), y.alias("y"), x.alias("x"))
-    return at.join(voxels.select("z", "y", "x", "v"), ["z", "y", "x"]).select(*keys, "cell", "v")
+    return _meet(at, voxels, shape).select(*keys, "cell", "v")
 
 
 def oblique_slice(requests: DataFrame, voxels: DataFrame, keys: list[str], radius: int, resolution: float, shape) -> DataFrame:
@@ -244,7 +245,7 @@ def oblique_slice(requests: DataFrame, voxels: DataFrame, keys: list[str], radiu
     """
     side = 2 * radius + 1
     cells = requests.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))))
-    i = (F.col("cell") / side).cast("int")
+    i = scalars.int_div(F.col("cell"), side)
     j = F.col("cell") % side
     flat = g.Vec((i - radius).cast("double"), (j - radius).cast("double"), F.lit(0.0))
     turned = g.euler_rotate(flat, F.col("ax"), F.col("ay"), F.col("az"))
@@ -329,31 +330,29 @@ def request_blocks(requests: DataFrame, voxels: DataFrame, shape, interval: floa
         "request_id", "cx", "cy", "cz", "rx", "ry", "rz",
         *[(F.col(n) if n in requests.columns else F.lit(v)).alias(n) for n, v in axes.items()],
     )
-    for a in "zyx":
-        placed = placed.withColumn(f"o{a}", F.explode(F.sequence(-F.col(f"r{a}"), F.col(f"r{a}"))))
-    offset = g.Vec(F.col("ox"), F.col("oy"), F.col("oz"))
-    at = g.sample_position(g.vec("cx", "cy", "cz"), _basis_columns(), offset, (interval, interval, interval))
-    cell = scalars.flat_index(
-        F.col("oz") + F.col("rz"), F.col("oy") + F.col("ry"), F.col("ox") + F.col("rx"), 2 * F.col("ry") + 1, 2 * F.col("rx") + 1
-    )
-    keyed = placed.select("request_id", cell.alias("cell"), *[g.truncate(c + 0.5).alias(a) for c, a in zip(at, "xyz")])
-    met = keyed.filter(_inside(shape)).join(voxels.select("z", "y", "x", "v"), ["z", "y", "x"])
-    return met.select("request_id", "cell", "v")
+    side = [2 * F.col(f"r{a}") + 1 for a in "zyx"]
+    cells = placed.withColumn("cell", F.explode(F.sequence(F.lit(-1), side[0] * side[1] * side[2] - 1)))
+    index = scalars.unflatten(F.col("cell"), side[1], side[2])
+    oz, oy, ox = (i - F.col(f"r{a}") for i, a in zip(index, "zyx"))
+    at = g.sample_position(g.vec("cx", "cy", "cz"), _basis_columns(), g.Vec(ox, oy, oz), (interval, interval, interval))
+    keyed = cells.select("request_id", "cell", "rx", "ry", "rz", *[g.truncate(c + 0.5).alias(a) for c, a in zip(at, "xyz")])
+    return _meet(keyed, voxels, shape).select("request_id", "cell", "v")
 
 
 def label_hits(points: DataFrame, raster: DataFrame, keys: list[str], value: Column, patch: tuple[int, int]) -> DataFrame:
-    """Non-zero label cells of an ``h x w`` window centred by ``shape // 2``.
+    """Label cells of an ``h x w`` window centred by ``shape // 2``: keys, ``cell``, ``v``.
 
-    Only pixels with a value enter the join; the rest reads as 0. ``points``
-    carry ``face_id, px, py``.
+    Only pixels with a value enter the join; the rest, and pixels off the
+    surface, read as 0. ``points`` carry ``face_id, px, py``.
     """
     h, w = patch
-    cells = points.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(h * w - 1))))
+    cells = points.withColumn("cell", F.explode(F.sequence(F.lit(-1), F.lit(h * w - 1))))
+    row = F.col("py") - h // 2 + scalars.int_div(F.col("cell"), w)
     at = cells.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], "cell", "face_id",
         (F.col("px") - w // 2 + F.col("cell") % w).alias("px"),
-        (F.col("py") - h // 2 + (F.col("cell") / w).cast("int")).alias("py"),
+        F.when(F.col("cell") < 0, -1).otherwise(row).alias("py"),
     )
     labelled = raster.select("face_id", "px", "py", value.alias("v")).filter(F.col("v") != 0)
-    met = at.join(labelled, ["face_id", "px", "py"])
+    met = at.join(labelled, ["face_id", "px", "py"], "left")
     return met.select(*[F.col(f"_k_{k}").alias(k) for k in keys], "cell", "v")

@@ -70,11 +70,14 @@ def chosen_points(t):
 
 
 def nearest_with_label(t):
-    """Selected surface pixels, their rotated blocks, and the ink label."""
-    points = chosen_points(t)
-    hits = gather.gather(points, t.voxels, KEYS, BLOCK, t.volume_shape)
-    summary = gather.summarize(points, hits, KEYS, BLOCK)
-    return summary.join(points.select(*KEYS, F.when(F.col("ink") != 0, 1).otherwise(0).alias("label")), KEYS)
+    """Selected surface pixels, their rotated blocks, and the ink label.
+
+    The label rides along as a key, so points are selected once.
+    """
+    label = F.when(F.col("ink") != 0, 1).otherwise(0)
+    points = chosen_points(t).withColumn("label", label)
+    keys = [*KEYS, "label"]
+    return gather.summarize(gather.gather(points, t.voxels, keys, BLOCK, t.volume_shape), keys, BLOCK.cells)
 
 
 GATHER_SQL = f"""
@@ -109,7 +112,7 @@ with pts as (select *, 0e0 as d from surface), {PLACED}, {cells_sql(4, 4, 4)}, {
 def _(t):
     options = gather.BlockOptions(shape=(4, 4, 4), method="interpolated")
     hits = gather.gather(t.surface, t.voxels, KEYS, options, t.volume_shape)
-    return gather.summarize(t.surface, hits, KEYS, options)
+    return gather.summarize(hits, KEYS, options.cells)
 
 
 @query("gather_trilinear_compat", "face_id:l px:l py:l n:l sum_v:l max_v:l", f"""
@@ -118,7 +121,7 @@ with pts as (select *, 0e0 as d from surface), {PLACED}, {cells_sql(2, 2, 2)}, {
 def _(t):
     options = gather.BlockOptions(shape=(2, 2, 2), method="interpolated", compat_corner=True)
     hits = gather.gather(t.surface, t.voxels, KEYS, options, t.volume_shape)
-    return gather.summarize(t.surface, hits, KEYS, options)
+    return gather.summarize(hits, KEYS, options.cells)
 
 
 @query("gather_moved_inverted", "face_id:l px:l py:l n:l sum_v:l max_v:l", f"""
@@ -130,7 +133,7 @@ def _(t):
     options = gather.BlockOptions(shape=(4, 4, 2), move_along_normal=1.5)
     points = gather.surface_points(t.surface, F.col("px") % 3 == 0)
     hits = gather.gather(points, t.voxels, KEYS, options, t.volume_shape)
-    return gather.summarize(points, hits, KEYS, options)
+    return gather.summarize(hits, KEYS, options.cells)
 
 
 @query("gather_microns", "face_id:l px:l py:l n:l sum_v:l max_v:l", f"""
@@ -139,7 +142,7 @@ with pts as (select *, 0e0 as d from surface), {PLACED}, {cells_sql(2, 4, 4, "(3
 def _(t):
     options = gather.BlockOptions(shape=(2, 4, 4), shape_microns=(30.0, 60.0, 60.0), voxel_microns=10.0)
     hits = gather.gather(t.surface, t.voxels, KEYS, options, t.volume_shape)
-    return gather.summarize(t.surface, hits, KEYS, options)
+    return gather.summarize(hits, KEYS, options.cells)
 
 
 @query("gather_jittered", "face_id:l px:l py:l n:l sum_v:l max_v:l", f"""
@@ -151,7 +154,7 @@ def _(t):
     keys = ["point_id"]
     placed = gather.place_centers(points, options, keys, portable=True)
     hits = gather.nearest_hits(placed, t.voxels, keys, options, t.volume_shape)
-    out = gather.summarize(points, hits, keys, options)
+    out = gather.summarize(hits, keys, options.cells)
     return out.select(F.lit(0).alias("face_id"), (F.col("point_id") % 50).alias("px"),
                       F.floor(F.col("point_id") / 50).alias("py"), "n", "sum_v", "max_v")
 
@@ -164,7 +167,7 @@ def _(t):
     points = chosen_points(t)
     options = gather.BlockOptions(shape=(2, 2, 2))
     hits = gather.gather(points, t.voxels, KEYS, options, t.volume_shape)
-    blocks = gather.as_blocks(points, hits, KEYS, options.cells)
+    blocks = gather.as_blocks(hits, KEYS, options.cells)
     return blocks.withColumn("block", F.array_join(F.col("block").cast("array<string>"), ","))
 
 
@@ -189,7 +192,7 @@ def _(t):
     points = chosen_points(t)
     options = gather.BlockOptions(shape=(2, 2, 2))
     hits = gather.gather(points, t.voxels, KEYS, options, t.volume_shape)
-    blocks = gather.as_blocks(points, hits, KEYS, options.cells)
+    blocks = gather.as_blocks(hits, KEYS, options.cells)
     ready = blocks.withColumn("block", gather.finish_block(F.col("block"), options, ["px", "py"]))
     return ready.select(*KEYS, F.round(tensors.mean(F.col("block")), 6).alias("mean_v"),
                         F.round(F.array_max("block"), 6).alias("top_v"))
@@ -211,7 +214,7 @@ from spot cross join volume_shape s left join voxels v on v.x = spot.x and v.y =
 group by px, py""", "voxels surface volume_shape")
 def _(t):
     hits = gather.axis_aligned(t.surface, t.voxels, ["px", "py"], (4, 4, 4), t.volume_shape)
-    return gather.summarize(t.surface, hits, ["px", "py"], BLOCK)
+    return gather.summarize(hits, ["px", "py"], BLOCK.cells)
 
 
 ANGLES = """
@@ -271,13 +274,13 @@ def _(t):
 
 
 @query("request_blocks", "request_id:l n:l sum_v:l max_v:l", """
-with cells as (select r.request_id, cast(cx + ox.i - 2 as bigint) as x, cast(cy + oy.i - 2 as bigint) as y, cast(cz + oz.i - 1 as bigint) as z
+with cells as (select r.request_id, cast(trunc(cx + ox.i - 2 + 0.5e0) as bigint) as x, cast(trunc(cy + oy.i - 2 + 0.5e0) as bigint) as y, cast(trunc(cz + oz.i - 1 + 0.5e0) as bigint) as z
                from requests r, range(5) ox(i), range(5) oy(i), range(3) oz(i))
 select c.request_id, count(*) as n, coalesce(sum(v.v), 0) as sum_v, coalesce(max(v.v), 0) as max_v
 from cells c left join voxels v on v.x = c.x and v.y = c.y and v.z = c.z group by c.request_id""", "voxels requests")
 def _(t):
     hits = gather.request_blocks(t.requests, t.voxels, t.volume_shape)
-    return gather.summarize(t.requests, hits, ["request_id"], gather.BlockOptions(shape=(3, 5, 5)))
+    return gather.summarize(hits, ["request_id"], 75)
 
 
 # --- labels -----------------------------------------------------------------------
@@ -285,7 +288,7 @@ def _(t):
 
 def label_patches(t, value, name):
     hits = gather.label_hits(t.surface, t.raster, KEYS, value, (3, 4))
-    return gather.as_blocks(t.surface, hits, KEYS, 12).select(
+    return gather.as_blocks(hits, KEYS, 12).select(
         *KEYS, F.array_join(F.col("block").cast("array<string>"), ",").alias(name)
     )
 
@@ -316,7 +319,7 @@ from cells c left join channels r on r.face_id = c.face_id and r.px = c.x and r.
 def _(t):
     packed = F.col("r") * 65536 + F.col("g") * 256 + F.col("b")
     hits = gather.label_hits(t.surface, t.raster, KEYS, packed, (2, 2))
-    blocks = gather.as_blocks(t.surface, hits, KEYS, 4)
+    blocks = gather.as_blocks(hits, KEYS, 4)
     rows = blocks.withColumn("channel", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     shift = 16 - F.col("channel") * 8
     pixel = F.transform("block", lambda v: F.call_function("shiftright", v, shift) % 256)
@@ -362,10 +365,10 @@ select px, py, round(bxx, 6) as xx, round(bxy, 6) as xy, round(bxz, 6) as xz, ro
 def _(t):
     """The same axes through quaternions."""
     zero, one = F.lit(0.0), F.lit(1.0)
-    q = g.quaternion_between(g.Vec(zero, zero, one), g.vec("nx", "ny", "nz"))
-    x, y, z = g.quaternion_matrix(q)
+    turned = g.with_quaternion_between(t.surface, g.Vec(zero, zero, one), g.vec("nx", "ny", "nz"), "q")
+    x, y, z = g.quaternion_matrix([F.col(f"q{a}") for a in "wxyz"])
     clean = lambda c: F.round(c, 6) + 0.0
-    return t.surface.select("px", "py", *[clean(c).alias(name) for name, c in (
+    return turned.select("px", "py", *[clean(c).alias(name) for name, c in (
         ("xx", x.x), ("xy", x.y), ("xz", x.z), ("yy", y.y), ("yz", y.z), ("zz", z.z))])
 
 
