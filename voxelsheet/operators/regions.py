@@ -62,7 +62,7 @@ def merge_on_face(images: DataFrame, rank: str, value: str, keys=("face_id",)) -
     inside = F.col("x0").isNull() | (
         (F.col("px") >= F.col("x0")) & (F.col("px") < F.col("x1")) & (F.col("py") >= F.col("y0")) & (F.col("py") < F.col("y1"))
     )
-    kept = images.join(F.broadcast(first) if not keys else first, keys).filter((F.col(rank) == F.col("_first")) | inside)
+    kept = images.join(first, keys).filter((F.col(rank) == F.col("_first")) | inside)
     return kept.groupBy(*keys, "px", "py").agg(F.max_by(value, rank).alias(value))
 
 
