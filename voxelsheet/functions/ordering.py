@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _COMBINE = {
-    "sum": lambda before, here: F.coalesce(before, F.lit(0)) + here,
+    "sum": lambda before, here: F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0)),
     "min": lambda before, here: F.least(before, here),
     "max": lambda before, here: F.greatest(before, here),
 }
@@ -26,8 +26,9 @@ def _carry(df: DataFrame, by: list[str], parts: dict[str, tuple[str, Column]]) -
     )
 
 
-def running(df: DataFrame, bucket: Column, order: list, parts: dict[str, tuple[str, Column]], by=()) -> DataFrame:
-    """Add running aggregates, inclusive of the row itself.
+def running(df: DataFrame, bucket: Column, order: list, parts: dict[str, tuple[str, Column]], by=(),
+            inclusive: bool = True) -> DataFrame:
+    """Add running aggregates, with or without the row itself.
 
     ``bucket`` must rise with ``order``. ``parts`` maps a new column to
     ``(sum|min|max, value)``. The cost is one shuffle by bucket; choose buckets
@@ -35,7 +36,7 @@ def running(df: DataFrame, bucket: Column, order: list, parts: dict[str, tuple[s
     """
     by = list(by)
     marked = df.withColumn("_bucket", bucket)
-    inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     rows = marked.select("*", *[_AGG[fn](c).over(inside).alias(f"_w_{n}") for n, (fn, c) in parts.items()])
     joined = rows.join(_carry(marked, by, parts), [*by, "_bucket"], "left")
     return joined.select(

@@ -54,16 +54,20 @@ def merge_on_face(images: DataFrame, rank: str, value: str, keys=("face_id",)) -
     """Paste region images onto their face in order of ``rank``.
 
     The first image of a face is taken whole, each later one only inside its
-    half-open box (null box: whole). Per pixel the highest rank wins, which is
-    a max_by: it combines before the shuffle.
+    half-open box (null box: whole). Per pixel the highest rank wins, a maximum
+    that combines before the shuffle.
     """
     keys = list(keys)
     first = images.groupBy(*keys).agg(F.min(rank).alias("_first"))
     inside = F.col("x0").isNull() | (
         (F.col("px") >= F.col("x0")) & (F.col("px") < F.col("x1")) & (F.col("py") >= F.col("y0")) & (F.col("py") < F.col("y1"))
     )
-    kept = images.join(first, keys).filter((F.col(rank) == F.col("_first")) | inside)
-    return kept.groupBy(*keys, "px", "py").agg(F.max_by(value, rank).alias(value))
+    entry = F.struct(F.col(rank).alias("r"), F.col(value).alias("v"))
+    # One row per pixel before the short list of first ranks is joined.
+    pixels = images.groupBy(*keys, "px", "py").agg(F.max(F.when(inside, entry)).alias("_top"), F.min(entry).alias("_low"))
+    base = F.when(F.col("_low.r") == F.col("_first"), F.col("_low.v"))
+    merged = pixels.join(first, keys).select(*keys, "px", "py", F.coalesce("_top.v", base).alias(value))
+    return merged.filter(F.col(value).isNotNull())
 
 
 def composite(images: DataFrame, order: str, value: str, keys=("face_id",)) -> DataFrame:
