@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once.
+
+    A lambda that names an expression computes it again for every element; as
+    the only element of an array it is bound to a variable instead.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def _permute(block: Column, order: list[int]) -> Column:
     """Reorder with a literal index list: one array pass per row."""
     index = F.array(*[F.lit(i + 1) for i in order])
-    return F.transform(index, lambda i: F.element_at(block, i))
+    return let(block, lambda b: F.transform(index, lambda i: F.element_at(b, i)))
 
 
 def _order(shape, source):
@@ -75,22 +84,33 @@ def total(block: Column) -> Column:
 
 
 def mean(block: Column) -> Column:
-    return total(block) / F.size(block)
-
-
-def sample_deviation(block: Column) -> Column:
-    m = mean(block)
-    squares = F.aggregate(block, F.lit(0.0), lambda acc, v: acc + (v.cast("double") - m) * (v.cast("double") - m))
-    return F.sqrt(squares / (F.size(block) - 1))
+    return let(block, lambda b: total(b) / F.size(b))
 
 
 def standardize(block: Column) -> Column:
     """Zero mean, unit sample deviation; a flat block is only centred."""
-    m, d = mean(block), sample_deviation(block)
-    return F.transform(block, lambda v: (v.cast("double") - m) / F.when(d == 0, 1.0).otherwise(d))
+
+    def center(b):
+        return let(total(b) / F.size(b), lambda m: F.transform(b, lambda v: v.cast("double") - m))
+
+    def divide(c):
+        squares = F.aggregate(c, F.lit(0.0), lambda acc, v: acc + v * v)
+        deviation = F.sqrt(squares / (F.size(c) - 1))
+        return let(F.when(deviation == 0, 1.0).otherwise(deviation), lambda d: F.transform(c, lambda v: v / d))
+
+    return let(let(block, center), divide)
 
 
 def min_max(block: Column) -> Column:
     """Scale to [0, 1]; null for a flat block."""
-    low, high = F.array_min(block).cast("double"), F.array_max(block).cast("double")
-    return F.when(high > low, F.transform(block, lambda v: F.try_divide(v.cast("double") - low, high - low)))
+
+    def scale(b):
+        span = F.struct(F.array_min(b).cast("double").alias("low"), F.array_max(b).cast("double").alias("high"))
+        share = lambda s: F.transform(b, lambda v: F.try_divide(v.cast("double") - s.low, s.high - s.low))
+        return let(span, lambda s: F.when(s.high > s.low, share(s)))
+
+    return let(block, scale)
+
+
+def add_arrays(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda u, v: u + v)

@@ -25,11 +25,12 @@ def average_over_variants(block: Column, shape, score: Callable[[Column], Column
     """
     _, ny, nx = shape
     plane = (1, ny, nx)
-    undone = [
-        tensors.undo_turn_and_mirror(score(tensors.turn_and_mirror(block, shape, k, m)), plane, k, m) for k, m in VARIANTS
-    ]
-    total = lambda i: sum((u[i] for u in undone[1:]), undone[0][i])
-    return F.transform(F.sequence(F.lit(0), F.lit(ny * nx - 1)), lambda i: total(i) / float(len(VARIANTS)))
+    total = None
+    for turns, mirror in VARIANTS:
+        scored = tensors.let(tensors.turn_and_mirror(block, shape, turns, mirror), score)
+        undone = tensors.undo_turn_and_mirror(scored, plane, turns, mirror)
+        total = undone if total is None else tensors.add_arrays(total, undone)
+    return F.transform(total, lambda v: v / float(len(VARIANTS)))
 
 
 def variant_rows(samples: DataFrame, block: str, shape, averaging: bool = True) -> DataFrame:

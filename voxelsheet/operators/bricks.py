@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as g
 from ..functions.scalars import int_div
+from .blocks import limit_arrow_batches
 from .gather import BlockOptions, place_centers
 
 CHUNK_POINTS = 4096
@@ -26,20 +27,13 @@ CELLS_PER_STEP = 1 << 20
 _BASIS = [f"b{a}{b}" for a in "xyz" for b in "xyz"]
 
 
-def limit_arrow_batches(df: DataFrame, rows: int = 64) -> None:
-    """Rows here are bricks of up to half a megabyte: keep Arrow batches short."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def pack_bricks(voxels: DataFrame, edge: int = 64) -> DataFrame:
     """voxels to ``volume_id, bz, by, bx, data``; a group is one brick, at most edge^3 rows."""
     cell = ((F.col("z") % edge) * edge + F.col("y") % edge) * edge + F.col("x") % edge
     grouped = voxels.groupBy(
         "volume_id", *[int_div(F.col(a), edge).alias(f"b{a}") for a in "zyx"]
     ).agg(F.collect_list(F.struct(cell.cast("int").alias("cell"), F.col("v").cast("int").alias("v"))).alias("cells"))
-    limit_arrow_batches(voxels)
+    limit_arrow_batches(voxels, edge**3 * 8)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,7 +56,7 @@ def pack_bricks(voxels: DataFrame, edge: int = 64) -> DataFrame:
 
 def unpack_bricks(bricks: DataFrame, edge: int = 64) -> DataFrame:
     """Non-zero voxels of packed bricks."""
-    limit_arrow_batches(bricks)
+    limit_arrow_batches(bricks, edge**3 * 2)
 
     def decode(batches):
         for batch in batches:
@@ -181,7 +175,7 @@ def _chunks(points: DataFrame, options: BlockOptions, shape, edge: int, portable
 def gather_summary(points: DataFrame, bricks: DataFrame, options: BlockOptions, shape, edge: int = 64,
                    portable: bool = False) -> DataFrame:
     """``point_id, n, sum_v, max_v``; points carry ``point_id, volume_id, x..nz``."""
-    limit_arrow_batches(points)
+    limit_arrow_batches(points, edge**3 * 2 + options.cells * 2)
     met = _chunks(points, options, shape, edge, portable).join(bricks, ["volume_id", "bz", "by", "bx"], "left")
     parts = met.mapInArrow(_read_cells(options, shape, edge, True), f"point_id {_id_type(points)}, sum_v bigint, max_v int")
     return parts.groupBy("point_id").agg(
@@ -196,7 +190,7 @@ def gather_blocks(points: DataFrame, bricks: DataFrame, options: BlockOptions, s
     Each part carries a bit per cell it owns and only those values, so every
     cell value travels once. A point has at most 27 parts.
     """
-    limit_arrow_batches(points)
+    limit_arrow_batches(points, edge**3 * 2 + options.cells * 2)
     met = _chunks(points, options, shape, edge, portable).join(bricks, ["volume_id", "bz", "by", "bx"], "left")
     kind = _id_type(points)
     parts = met.mapInArrow(_read_cells(options, shape, edge, False), f"point_id {kind}, mask binary, cells binary")

@@ -16,7 +16,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import chance, geometry as g, scalars
+from ..functions import chance, geometry as g, scalars, tensors as t
+from .blocks import dense_blocks
 
 
 @dataclass(frozen=True)
@@ -169,11 +170,7 @@ def summarize(hits: DataFrame, keys: list[str], cells: int) -> DataFrame:
 
 def as_blocks(hits: DataFrame, keys: list[str], cells: int) -> DataFrame:
     """One dense ``block`` array per point. A group holds at most ``cells`` + 1 rows."""
-    known = F.when((F.col("cell") >= 0) & F.col("v").isNotNull(), F.struct("cell", "v"))
-    packed = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(known)).alias("m"))
-    zero = F.lit(0).cast(hits.schema["v"].dataType)
-    block = F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.coalesce(F.try_element_at("m", i), zero))
-    return packed.select(*keys, block.alias("block"))
+    return dense_blocks(hits, keys, "cell", "v", cells, (F.col("cell") >= 0) & F.col("v").isNotNull())
 
 
 def finish_block(block: Column, options: BlockOptions, ids: list[str]) -> Column:
@@ -181,8 +178,6 @@ def finish_block(block: Column, options: BlockOptions, ids: list[str]) -> Column
 
     Flips happen only when ``augment`` is on.
     """
-    from ..functions import tensors as t
-
     scaled = block
     if options.window is not None:
         low, high = options.window

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars
+from .blocks import dense_blocks
 
 
 def _starts(position: Column, patch: int, stride: int) -> Column:
@@ -29,12 +30,7 @@ def patch_cells(pixels: DataFrame, patch: int, stride: int) -> DataFrame:
 
 def patch_arrays(cells: DataFrame, keys: list[str], value: str, patch: int) -> DataFrame:
     """Dense ``block`` per patch and channel, at most patch^2 rows per group."""
-    packed = cells.groupBy(*keys, "patch_y", "patch_x").agg(
-        F.map_from_entries(F.collect_list(F.struct("cell", value))).alias("m")
-    )
-    zero = F.lit(0).cast(cells.schema[value].dataType)
-    block = F.transform(F.sequence(F.lit(0), F.lit(patch * patch - 1)), lambda i: F.coalesce(F.try_element_at("m", i), zero))
-    return packed.select(*keys, "patch_y", "patch_x", block.alias("block"))
+    return dense_blocks(cells, [*keys, "patch_y", "patch_x"], "cell", value, patch * patch)
 
 
 def stitch(cells: DataFrame, keys: list[str], value: str, order: list[str], patch: int, width: int, height: int) -> DataFrame:

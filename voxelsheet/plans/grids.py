@@ -199,7 +199,7 @@ def _(t):
 
 @query("volume_float_sink", "z:l y:l x:l v:l", """
 with e as (select vec_id, i.i as i, embedding[i.i + 1] as v from feat, range(64) i(i)), s as (select vec_id, cast(min(v) as double) as a, cast(max(v) as double) as b from e group by vec_id)
-select vec_id * 4 + i // 16 as z, i // 4 % 4 as y, i % 4 as x, cast(trunc(round((cast(v as double) - a) / (b - a), 6) * 65535) as bigint) as v from e join s using (vec_id)""", "feat")
+select i // 16 as z, vec_id * 4 + i // 4 % 4 as y, i % 4 as x, cast(trunc(round((cast(v as double) - a) / (b - a), 6) * 65535) as bigint) as v from e join s using (vec_id)""", "feat")
 def _(t):
     """Samples in [0, 1] written as uint16 slices, one folder per z, and read back."""
     from ..sources import volumes
@@ -207,7 +207,7 @@ def _(t):
     unit = t.feat.select("vec_id", tensors.min_max(F.col("embedding")).alias("block"))
     cells = exploded(unit, "vec_id", block="block")
     z, y, x = scalars.unflatten(F.col("i"), 4, 4)
-    floats = cells.select(F.lit(0).alias("volume_id"), (F.col("vec_id") * 4 + z).cast("int").alias("z"), y.alias("y"), x.alias("x"), F.round("v", 6).alias("v"))
+    floats = cells.select(F.lit(0).alias("volume_id"), z.alias("z"), (F.col("vec_id") * 4 + y).cast("int").alias("y"), x.alias("x"), F.round("v", 6).alias("v"))
     return volumes.write_and_read(volumes.from_unit_floats(floats), "samples")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geometry as g, scalars
+from ..functions import geometry as g, scalars, tensors
 from ..operators import bricks, gather, selection
 from ..registry import query
 
@@ -187,8 +187,6 @@ with {SELECTED}, {PLACED}, {cells_sql(2, 2, 2)}, {NEAREST}
 select face_id, px, py, round(avg((v / 65535e0 - 0.5e0) / 0.5e0), 6) as mean_v, round(max((v / 65535e0 - 0.5e0) / 0.5e0), 6) as top_v
 from gathered group by face_id, px, py""", "voxels surface raster")
 def _(t):
-    from ..functions import tensors
-
     points = chosen_points(t)
     options = gather.BlockOptions(shape=(2, 2, 2))
     hits = gather.gather(points, t.voxels, KEYS, options, t.volume_shape)
