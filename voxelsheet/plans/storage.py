@@ -1 +1,128 @@
+"""Queries that write to the shared folder and read back."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scalars
+from ..operators import stacks, stamps
+from ..registry import query
+from ..session import scratch_path
+from ..sources import surface_maps, tables, volumes
+from .catalogs import descriptor_rows
+from .evaluation import METRICS, PAIRED, WRITE_ORDER, per_batch
+
+
+@query("surface_map_roundtrip", "px:l py:l x:d y:d z:d nx:d ny:d nz:d",
+       "select px, py, x, y, z, round(nx, 9) as nx, round(ny, 9) as ny, round(nz, 9) as nz from surface", "surface")
+def _(t):
+    path = scratch_path(t.spark, "surface") + ".ppm"
+    surface_maps.write_surface_map(t.surface, path, *t.surface_size)
+    back = surface_maps.read_surface_map(t.spark, path, rows_per_task=8)
+    return back.withColumns({c: F.round(c, 9) for c in ("nx", "ny", "nz")})
+
+
+@query("volume_scan", "z:l y:l x:l v:l", "select z - 1 as z, y - 3 as y, x - 20 as x, v from voxels where z >= 1 and z < 6 and y >= 3 and y < 60 and x >= 20 and x < 100", "voxels")
+def _(t):
+    """Partitioned volume: the crop prunes slices and filters inside them."""
+    return stacks.crop(volumes.write_and_read(t.voxels, "volume"), (20, 3, 1, 100, 60, 6))
+
+
+@query("slice_files", "z:l y:l x:l v:l", "select z - 2 as z, y - 1 as y, x - 8 as x, v from voxels where v > 0 and z >= 2 and z < 7 and y >= 1 and y < 50 and x >= 8 and x < 128", "voxels")
+def _(t):
+    """Raw uint16 slices with metadata, read by row ranges with a crop."""
+    path = scratch_path(t.spark, "slices")
+    volumes.write_slices(t.voxels, path, t.volume_shape, {"voxelsize": 10.0, "name": "scan", "type": "vol", "uuid": "0", "min": 0.0, "max": 65535.0})
+    return volumes.read_slices(t.spark, path, bounding_box="8,1,2,128,50,7", rows_per_task=16).filter("v > 0")
+
+
+@query("volume_metadata", "name:s slices:l height:l width:l voxelsize:d", "select 'scan' as name, depth as slices, height, width, 10 as voxelsize from volume_shape", "volume_shape")
+def _(t):
+    path = scratch_path(t.spark, "slices")
+    volumes.write_slices(t.voxels, path, t.volume_shape, {"voxelsize": 10.0, "name": "scan", "type": "vol", "uuid": "0", "min": 0.0, "max": 65535.0})
+    return volumes.read_metadata(t.spark, path)
+
+
+@query("descriptor_roundtrip", "name:s kind:s n_errors:l has_box:b", "select path as name, type as kind, 0 as n_errors, type = 'region' as has_box from sources", "sources")
+def _(t):
+    path = scratch_path(t.spark, "descriptors")
+    tables.write_descriptors(descriptor_rows(t), path, scalars.file_name(F.col("path")))
+    texts = t.spark.read.option("wholetext", "true").text(path).select(F.col("name").alias("path"), F.col("value").alias("text"))
+    from ..operators.manifests import parse_descriptors
+
+    out = parse_descriptors(texts)
+    return out.select(F.col("path").alias("name"), "kind", F.size("errors").alias("n_errors"), F.col("bounding_box").isNotNull().alias("has_box"))
+
+
+@query("manifest_roundtrip", "child:s", "select path as child from sources where training", "sources")
+def _(t):
+    path = scratch_path(t.spark, "manifest")
+    tables.write_manifest(t.sources.filter("training"), path, ["source_ord"])
+    edges = tables.read_manifest_edges(t.spark, path)
+    return edges.select(scalars.file_name(F.col("child")).alias("child"))
+
+
+@query("raster_scan", "px:l py:l r:d g:d b:d texture:d luma:l", """
+select px, py, round(r / 255e0, 6) as r, round(g / 255e0, 6) as g, round(b / 255e0, 6) as b, round(texture / 65535e0, 6) as texture, (r * 19595 + g * 38470 + b * 7471 + 32768) // 65536 as luma from raster""", "raster")
+def _(t):
+    grey = t.raster.withColumn("luma", scalars.grey(F.col("r"), F.col("g"), F.col("b")))
+    return tables.normalize_raster(grey).withColumns({c: F.round(c, 6) for c in ("r", "g", "b", "texture")})
+
+
+@query("raster_checks", "rgb_is_8_bit:b texture_is_16_bit:b", "select max(greatest(r, g, b)) <= 255 as rgb_is_8_bit, max(texture) between 255 and 65535 as texture_is_16_bit from raster", "raster")
+def _(t):
+    return tables.raster_faults(t.raster)
+
+
+@query("prediction_sink", "region:l iteration:s label_type:s px:l py:l value:l", """
+select region, concat(epoch, '_0') as iteration, 'ink_classes' as label_type, px, py, cast(trunc(p255 / 255e0 * 65535) as bigint) as value from (
+  select *, row_number() over (partition by region, epoch, px, py order by seq desc, tie1 desc, tie2 desc, p255 desc) as rn from predictions) where rn = 1""", "predictions")
+def _(t):
+    """Predictions as 16-bit pixels, one folder per region, iteration and label type."""
+    path = scratch_path(t.spark, "predictions")
+    latest = stamps.last_write(t.predictions, ["region", "epoch", "px", "py"], "p255", WRITE_ORDER)
+    named = latest.select(
+        "region", F.concat_ws("_", "epoch", F.lit(0)).alias("iteration"), F.lit("ink_classes").alias("label_type"), "px", "py",
+        scalars.ink_pixel(F.col("p255") / 255.0).alias("value"))
+    tables.write_predictions(named, path)
+    return t.spark.read.schema(named.schema).parquet(path)
+
+
+@query("metrics_csv", "job:l epoch:l batch:l precision:d recall:d", f"""
+with {PAIRED} select job, epoch, batch, round(precision, 6) as precision, round(recall, 6) as recall from ({METRICS})""", "predictions raster")
+def _(t):
+    path = scratch_path(t.spark, "metrics")
+    rounded = per_batch(t).select("job", "epoch", "batch", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+    tables.write_metrics(rounded, path)
+    return tables.read_metrics(t.spark, path, "job int, epoch int, batch int, precision double, recall double")
+
+
+@query("run_record", "started:s training:l validation:l best_f1:d", f"""
+select '2024-01-02_03.04.05' as started, (select count(*) from sources where training) as training, (select count(*) from sources where validation) as validation, 0.5 as best_f1""", "sources")
+def _(t):
+    path = scratch_path(t.spark, "record")
+    sets = t.sources.agg(F.count_if("training").alias("training"), F.count_if("validation").alias("validation"))
+    stamp = F.date_format(F.lit("2024-01-02 03:04:05").cast("timestamp"), "yyyy-MM-dd_HH.mm.ss").alias("started")
+    tables.write_run_record(sets.withColumn("best_f1", F.lit(None).cast("double")).select("*", stamp), path)
+    tables.write_run_record(sets.withColumn("best_f1", F.lit(0.5)).select("*", stamp), path)
+    return t.spark.read.schema("started string, training bigint, validation bigint, best_f1 double").json(path)
+
+
+@query("sample_sink", "sample_id:l n:l total:d", "select vec_id as sample_id, len(embedding) as n, round(list_sum(list_transform(embedding, lambda v: cast(v as double))), 5) as total from feat", "feat")
+def _(t):
+    from ..functions import tensors
+
+    path = scratch_path(t.spark, "samples")
+    tables.write_samples(t.feat.select(F.col("vec_id").alias("sample_id"), F.col("embedding").alias("block")), path)
+    back = t.spark.read.parquet(path)
+    return back.select("sample_id", F.size("block").alias("n"), F.round(tensors.total(F.col("block")), 5).alias("total"))
+
+
+@query("run_listing", "name:s fits:b", "select concat(path, '_prediction_final_ink_classes.png') as name, true as fits from sources where training", "sources")
+def _(t):
+    """Files of a run folder, listed without reading them."""
+    path = scratch_path(t.spark, "run") + "/2024-01-02_03.04.05_1/predictions"
+    t.sources.filter("training").select(F.concat("path", F.lit("_prediction_final_ink_classes.png")).alias("name"), F.lit("x").alias("value")).write.partitionBy("name").text(path)
+    files = tables.list_files(t.spark, path, "*.txt")
+    name = F.regexp_extract("path", "name=([^/]*)/", 1)
+    return files.select(name.alias("name"), scalars.prediction_file_part(name, 2).eqNullSafe("final").alias("fits"))

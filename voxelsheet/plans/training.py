@@ -1 +1,162 @@
+"""Queries over training logs, models, and their streaming forms."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import chance
+from ..operators import models, stacks, training
+from ..registry import query
+from ..session import scratch_path
+from ..streaming import jobs
+from .evaluation import WRITE_ORDER
+
+LOG = """
+log as (select *, case when batch % 50 = 0 then 1 else 0 end as flag from metrics),
+windowed as (select *, coalesce(sum(flag) over (partition by job order by step rows between unbounded preceding and 1 preceding), 0) as report from log)"""
+
+
+@query("report_windows", "job:l step:l report:l", f"with {LOG} select job, step, report from windowed", "metrics")
+def _(t):
+    return training.report_windows(t.metrics, ["job"], "step", "batch", 50, bucket_width=2048)
+
+
+@query("report_values", "job:l report:l metric:s value:d", f"""
+with {LOG}, named as (select *, case when metric = 'click' then 'click_sum' else metric end as name from windowed)
+select job, report, name as metric, case when contains(name, 'sum') then sum(value100) else round(avg(value100), 6) end as value from named group by job, report, name""", "metrics")
+def _(t):
+    windows = training.report_windows(t.metrics, ["job"], "step", "batch", 50, bucket_width=2048)
+    named = windows.withColumn("metric", F.when(F.col("metric") == "click", "click_sum").otherwise(F.col("metric")))
+    return training.report_values(named, ["job"], "metric", "value100").withColumn("value", F.round("value", 6))
+
+
+@query("checkpoint_rows", "job:l step:l", "select job, step from metrics where batch % 200 = 0", "metrics")
+def _(t):
+    return training.checkpoints(t.metrics, "batch", 200)
+
+
+@query("trailing_half", "user_id:l last:d low:d high:d", """
+with v as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) as rn, count(*) over (partition by user_id) as n from events)
+select user_id, max(case when rn = n then value end) as last, min(value) as low, max(value) as high from v where rn > n // 2 group by user_id""")
+def _(t):
+    return training.trailing_half(t.raw("events"), ["user_id"], "event_id", "value", bucket_width=4096)
+
+
+# --- models ------------------------------------------------------------------------
+
+SHAPE = (4, 4, 4)
+
+
+@query("ink_classifier", "vec_id:l ink:l p1:d")
+def _(t):
+    model = models.fit("ink_classifier", t.feat, "embedding", maxIter=20)
+    return models.score_ink(model, t.feat, "embedding").withColumn("p1", F.round("p1", 4))
+
+
+@query("ink_averaged", "vec_id:l p1:d")
+def _(t):
+    """Test-time averaging with a model saved and loaded again."""
+    path = scratch_path(t.spark, "model")
+    models.save(models.fit("ink_classifier", t.feat, "embedding", maxIter=10), path)
+    return models.score_averaged(models.load(path), t.feat, "embedding", SHAPE, ["vec_id"])
+
+
+@query("validation_pass", "accuracy:d precision:d recall:d fbeta:d auc:d positive_labels_sum:d")
+def _(t):
+    scored = models.score_ink(models.fit("ink_classifier", t.feat, "embedding", maxIter=10), t.feat, "embedding")
+    return models.validate(scored.withColumn("batch", F.floor(F.col("vec_id") / 64)), ["batch"])
+
+
+@query("kfold_scores", "vec_id:l fold:l p1:d")
+def _(t):
+    fold = chance.draw(1, "vec_id") % 3
+    return models.fold_scores("ink_classifier", t.feat, fold, 3, "embedding", ["vec_id"], maxIter=10)
+
+
+@query("rgb_regressor", "vec_id:l r:d g:d b:d")
+def _(t):
+    rows = t.feat.select("vec_id", "embedding", *[(F.pmod(F.col("label") * k, F.lit(11)) / 10.0).alias(c) for k, c in ((1, "r"), (3, "g"), (7, "b"))])
+    fitted = models.fit("rgb_regressor", rows, "embedding", regParam=0.1)
+    out = fitted.transform(models.with_features(rows, "embedding"))
+    return out.select("vec_id", *[F.col(f"{c}_pred").alias(c) for c in "rgb"])
+
+
+@query("texture_from_ink", "vec_id:l texture:d")
+def _(t):
+    rows = t.feat.withColumn("texture", F.col("label") / 10.0)
+    fitted = models.fit("texture_from_ink", rows, "embedding")
+    return fitted.transform(models.with_features(rows, "embedding")).select("vec_id", F.col("texture_pred").alias("texture"))
+
+
+@query("reconstruction", "vec_id:l mse:d")
+def _(t):
+    return models.reconstruct(models.fit("autoencoder", t.feat, "embedding", k=16), t.feat, "embedding", ["vec_id"])
+
+
+@query("intensity_transfer", "vec_id:l total:d")
+def _(t):
+    """Intensities of ink samples mapped to those of the others, ahead of a model."""
+    from ..functions import tensors
+
+    source = models.quantile_knots(t.feat.filter("ink = 1"), "embedding")
+    target = models.quantile_knots(t.feat.filter("ink = 0"), "embedding")
+    moved = t.feat.select("vec_id", models.match_intensity(F.col("embedding"), source, target).alias("block"))
+    return moved.select("vec_id", tensors.total(F.col("block")).alias("total"))
+
+
+@query("scores_on_surface", "px:l py:l value:l")
+def _(t):
+    """Samples at surface pixels, scored and stamped over 4 x 4 squares."""
+    scored = models.score_ink(models.fit("ink_classifier", t.feat, "embedding", maxIter=10), t.feat, "embedding")
+    width, height = t.surface_size
+    placed = scored.select("p1", "vec_id", (F.col("vec_id") % width).cast("int").alias("px"), F.pmod(F.floor(F.col("vec_id") / width) * 4, F.lit(height)).cast("int").alias("py"))
+    return models.write_back(placed, 4, width, height, [], ["vec_id"])
+
+
+# --- streaming ----------------------------------------------------------------------
+
+
+def stream_of(t, name):
+    return jobs.follow(t.spark, f"{t.dir}/{name}*.parquet", t.raw(name).schema)
+
+
+@query("stream_reports", "start:s job:l metric:s sum100:l n:l", """
+with top as (select max(ts) - interval 10 minute as mark from metrics), w as (select time_bucket(interval 1 hour, ts) as start, job, metric, sum(value100) as sum100, count(*) as n from metrics group by all)
+select strftime(start, '%Y-%m-%d %H:%M:%S') as start, job, metric, sum100, n from w, top where start + interval 1 hour <= mark""", "metrics")
+def _(t):
+    """Windows the watermark has closed when the stream's data end."""
+    e = stream_of(t, "events")
+    log = e.select((F.col("user_id") % 3).cast("int").alias("job"), F.col("event_type").alias("metric"),
+                   F.round(F.col("value") * 100).cast("bigint").alias("value100"), F.col("ts").cast("timestamp").alias("ts"))
+    out = jobs.run_to_end(jobs.windowed_reports(log), "reports")
+    return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("stream_extremes", "volume_id:l step:l low:d p_low:d high:d p_high:d", """
+with p as (select slab * 40 + z as step, slab % 2 as volume_id, min(raw) as low, round(quantile_cont(raw, 0.01), 4) as p_low, max(raw) as high, round(quantile_cont(raw, 0.99), 4) as p_high from slabs group by slab, z),
+r as (select volume_id, step, min(low) over w as low, min(p_low) over w as p_low, max(high) over w as high, max(p_high) over w as p_high from p window w as (partition by volume_id order by step rows between unbounded preceding and current row)),
+c as (select *, lag(low) over o as a, lag(p_low) over o as b, lag(high) over o as c, lag(p_high) over o as d from r window o as (partition by volume_id order by step))
+select volume_id, step, low, p_low, high, p_high from c where a is null or a <> low or b <> p_low or c <> high or d <> p_high""", "slabs")
+def _(t):
+    """Slice statistics are written as a table first and then followed as a stream."""
+    per_slice = t.slabs.groupBy("slab", "z").agg(F.min("raw").cast("double").alias("low"), F.max("raw").cast("double").alias("high"))
+    tails = stacks.exact_percentiles(t.slabs, ["slab", "z"], "raw", {"p_low": 0.01, "p_high": 0.99}, 65536)
+    rows = per_slice.join(tails, ["slab", "z"]).select(
+        (F.col("slab") % 2).cast("int").alias("volume_id"), (F.col("slab") * 40 + F.col("z")).cast("bigint").alias("step"), "low",
+        F.round("p_low", 4).alias("p_low"), "high", F.round("p_high", 4).alias("p_high"))
+    path = scratch_path(t.spark, "slices")
+    rows.write.parquet(path)
+    return jobs.run_to_end(jobs.running_extremes(jobs.follow(t.spark, path, rows.schema)), "extremes")
+
+
+@query("stream_upserts", "region:l epoch:l px:l py:l p255:l", """
+select region, epoch, px, py, p255 from (select *, row_number() over (partition by region, epoch, px, py order by seq desc, tie1 desc, tie2 desc, p255 desc) as rn from predictions) where rn = 1""", "predictions")
+def _(t):
+    """Predictions arrive in several micro-batches."""
+    spread = scratch_path(t.spark, "incoming")
+    t.predictions.repartition(6, "seq").write.parquet(spread)
+    stream = jobs.follow(t.spark, spread, t.predictions.schema, files_per_trigger=2)
+    path = scratch_path(t.spark, "upserts")
+    keys = ["region", "epoch", "px", "py"]
+    jobs.upsert_predictions(stream, keys, "p255", WRITE_ORDER, path).awaitTermination()
+    return jobs.current(t.spark, path, keys, "p255", WRITE_ORDER)
