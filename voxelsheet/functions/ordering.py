@@ -63,6 +63,16 @@ def number_by_draw(df: DataFrame, draw: Column, ties: list, name: str = "rn", by
     return number_rows(marked, bucket, ["_draw", *ties], name, by).drop("_draw")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Even out rows over the shuffle width ahead of a step that multiplies them.
+
+    The number is explicit, so AQE does not fold short but productive
+    partitions back into one task.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(width, *keys)
+
+
 def explode_count(df: DataFrame, count: Column, name: str, chunk: int = 65536) -> DataFrame:
     """Rows ``0 .. count-1`` per input row; long ranges spread over tasks first."""
     start = F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1, F.lit(chunk).cast("bigint")))

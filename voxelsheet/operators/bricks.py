@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as g
+from ..functions.ordering import spread
 from ..functions.scalars import int_div
 from .blocks import limit_arrow_batches
 from .gather import BlockOptions, place_centers
@@ -167,7 +168,7 @@ def _chunks(points: DataFrame, options: BlockOptions, shape, edge: int, portable
     brick = ["volume_id", "bz", "by", "bx"]
     counts = touched.groupBy(*brick).agg(F.ceil(F.count("*") / CHUNK_POINTS).alias("chunks"))
     salted = touched.join(counts, brick).withColumn("chunk", F.pmod(F.xxhash64("point_id"), F.col("chunks")))
-    return salted.groupBy(*brick, "chunk").agg(
+    return spread(salted, *brick, "chunk").groupBy(*brick, "chunk").agg(
         F.collect_list(F.struct("point_id", "cx", "cy", "cz", *_BASIS)).alias("points")
     )
 

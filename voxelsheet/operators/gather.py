@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import chance, geometry as g, scalars, tensors as t
+from ..functions.ordering import spread
 from .blocks import dense_blocks
 
 
@@ -88,7 +89,7 @@ def _basis_columns() -> g.Basis:
 def explode_cells(placed: DataFrame, keys: list[str], options: BlockOptions) -> DataFrame:
     """One row per sample cell and the marker: keys, ``cell``, position ``qx, qy, qz``."""
     nz, ny, nx = options.shape
-    cells = placed.withColumn("cell", F.explode(F.sequence(F.lit(-1), F.lit(options.cells - 1))))
+    cells = spread(placed, *keys).withColumn("cell", F.explode(F.sequence(F.lit(-1), F.lit(options.cells - 1))))
     z, y, x = scalars.unflatten(F.col("cell"), ny, nx)
     offset = g.Vec(g.centered_offset(x, nx), g.centered_offset(y, ny), g.centered_offset(z, nz))
     position = g.sample_position(g.vec("cx", "cy", "cz"), _basis_columns(), offset, options.ratio)
@@ -221,7 +222,7 @@ def axis_aligned(points: DataFrame, voxels: DataFrame, keys: list[str], block, s
             fits = fits & (F.col(f"c{a}") - h >= 0) & (F.col(f"c{a}") + h <= size[a])
         usable = usable | ((F.col("axis") == case) & fits)
     reach = F.when(usable, F.sequence(F.lit(-1), F.lit(sz * sy * sx - 1))).otherwise(F.array(F.lit(-1)))
-    cells = start.withColumn("cell", F.explode(reach))
+    cells = spread(start, *keys).withColumn("cell", F.explode(reach))
     a, b, c = scalars.unflatten(F.col("cell"), sy, sx)
     a = F.when(F.col("turned"), sz - 1 - a).otherwise(a)
     b = F.when(F.col("turned"), sy - 1 - b).otherwise(b)
@@ -239,7 +240,7 @@ def oblique_slice(requests: DataFrame, voxels: DataFrame, keys: list[str], radiu
     the transposed picture. Requests carry ``x, y, z, ax, ay, az``.
     """
     side = 2 * radius + 1
-    cells = requests.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))))
+    cells = spread(requests, *keys).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))))
     i = scalars.int_div(F.col("cell"), side)
     j = F.col("cell") % side
     flat = g.Vec((i - radius).cast("double"), (j - radius).cast("double"), F.lit(0.0))
@@ -326,7 +327,7 @@ def request_blocks(requests: DataFrame, voxels: DataFrame, shape, interval: floa
         *[(F.col(n) if n in requests.columns else F.lit(v)).alias(n) for n, v in axes.items()],
     )
     side = [2 * F.col(f"r{a}") + 1 for a in "zyx"]
-    cells = placed.withColumn("cell", F.explode(F.sequence(F.lit(-1), side[0] * side[1] * side[2] - 1)))
+    cells = spread(placed, "request_id").withColumn("cell", F.explode(F.sequence(F.lit(-1), side[0] * side[1] * side[2] - 1)))
     index = scalars.unflatten(F.col("cell"), side[1], side[2])
     oz, oy, ox = (i - F.col(f"r{a}") for i, a in zip(index, "zyx"))
     at = g.sample_position(g.vec("cx", "cy", "cz"), _basis_columns(), g.Vec(ox, oy, oz), (interval, interval, interval))
@@ -341,7 +342,7 @@ def label_hits(points: DataFrame, raster: DataFrame, keys: list[str], value: Col
     surface, read as 0. ``points`` carry ``face_id, px, py``.
     """
     h, w = patch
-    cells = points.withColumn("cell", F.explode(F.sequence(F.lit(-1), F.lit(h * w - 1))))
+    cells = spread(points, *keys).withColumn("cell", F.explode(F.sequence(F.lit(-1), F.lit(h * w - 1))))
     row = F.col("py") - h // 2 + scalars.int_div(F.col("cell"), w)
     at = cells.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], "cell", "face_id",

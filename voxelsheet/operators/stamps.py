@@ -41,6 +41,12 @@ def stamp_patches(patches: DataFrame, patch: tuple[int, int], values: str, width
 
 
 def prediction_image(points: DataFrame, size: int, width: int, height: int, keys: list[str], value: str, order: list[str]) -> DataFrame:
-    """Stamped prediction image per ``keys``; later writes win. A new iteration is a new key."""
-    stamped = stamp(points, size, width, height, [*keys, value, *order])
+    """Stamped prediction image per ``keys``; later writes win. A new iteration is a new key.
+
+    Writes around the same centre cover the same pixels, so only the last of
+    them is stamped: rows are reduced before they are multiplied.
+    """
+    entry = points.groupBy(*keys, "px", "py").agg(F.max(F.struct(*order, value)).alias("_top"))
+    latest = entry.select(*keys, "px", "py", "_top.*")
+    stamped = stamp(latest, size, width, height, [*keys, value, *order])
     return last_write(stamped, [*keys, "px", "py"], value, order)
