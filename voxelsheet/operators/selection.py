@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import chance, ordering
+from .gather import BlockOptions
 from .stencils import dilate, find_edges
 
 
@@ -87,6 +88,13 @@ def select_points(raster: DataFrame, box, options: PointOptions, width: int, hei
     return points
 
 
+def two_dimensional(block: BlockOptions) -> tuple[BlockOptions, tuple[int, int], int]:
+    """Settings for models that predict a plane: the label patch is the block's
+    face, the grid spacing its width, and samples are not flipped."""
+    _, height, width = block.shape
+    return replace(block, augment=False), (height, width), width
+
+
 # --- class balance -------------------------------------------------------------
 
 
