@@ -217,7 +217,9 @@ def mutual_information(pairs: DataFrame, keys: list[str], a: str, b: str, bins:
 
 
 def pearson(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    return pairs.groupBy(*keys).agg(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("score"))
+    """Correlation; null where an image is flat."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    return pairs.groupBy(*keys).agg(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("score"))
 
 
 COMPARISONS = {"mutual_information": mutual_information, "pearson": pearson}

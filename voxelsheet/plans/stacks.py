@@ -233,9 +233,9 @@ def _(t):
 
 
 @query("pearson_top_k", "pair:l start:l score:d rank:l", f"""
-with {DENSE_SLABS}, {MEDIAN}, c as (select m.slab as pair, m.z as start, round(corr(cast(m.v as double), cast(f.v as double)), 6) as score
+with {DENSE_SLABS}, {MEDIAN}, c as (select m.slab as pair, m.z as start, round(covar_pop(cast(m.v as double), cast(f.v as double)) / nullif(stddev_pop(cast(m.v as double)) * stddev_pop(cast(f.v as double)), 0), 6) as score
   from med m join med f on f.slab = m.slab - 1 and f.z = 0 and f.px = m.px and f.py = m.py group by m.slab, m.z)
-select * from (select *, row_number() over (partition by pair order by score desc, start) as rank from c) where rank <= 5""", "slabs")
+select * from (select *, row_number() over (partition by pair order by score desc nulls last, start) as rank from c) where rank <= 5""", "slabs")
 def _(t):
     scores = overlap(t, 1, "pearson").withColumn("score", F.round("score", 6))
     return stacks.best_candidates(scores, ["pair"], 5)
