@@ -107,7 +107,8 @@ def _meet(cells: DataFrame, voxels: DataFrame, shape) -> DataFrame:
     """Left join with the voxels; markers get a key no voxel has, spread over y and x."""
     marked = cells.withColumn("z", F.when(F.col("cell") < 0, -1).otherwise(F.col("z")))
     kept = marked.filter((F.col("cell") < 0) | _inside(shape))
-    return kept.join(voxels.select("z", "y", "x", "v"), ["z", "y", "x"], "left")
+    # A volume is never a side to broadcast, however small its files look.
+    return kept.join(voxels.select("z", "y", "x", "v").hint("merge"), ["z", "y", "x"], "left")
 
 
 def nearest_hits(placed: DataFrame, voxels: DataFrame, keys: list[str], options: BlockOptions, shape) -> DataFrame:

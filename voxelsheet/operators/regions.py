@@ -12,10 +12,14 @@ def in_boxes(pixels: DataFrame, boxes: DataFrame, closed: bool, on: tuple[str, .
 
     The range condition becomes an equi join on tiles: a box is listed for each
     tile it overlaps, a pixel has one tile. ``closed`` keeps the right and
-    bottom edge, as evaluation does; point generation is half open. A null box
-    holds the whole surface. ``on`` are further equal columns, such as the face.
+    bottom edge, as evaluation does; point generation is half open. ``on`` are
+    further equal columns, such as the face; with them a null box holds the
+    whole surface. Without, null boxes must be filled in first (an error).
     """
     end = 0 if closed else 1
+    if not on:
+        missing = F.raise_error(F.lit("a box is null: give it the surface's bounds")).cast("int")
+        boxes = boxes.withColumn("x0", F.coalesce("x0", missing))
     whole = boxes.filter(F.col("x0").isNull())
     finite = boxes.filter(F.col("x0").isNotNull() & (F.col("x1") - end >= F.col("x0")) & (F.col("y1") - end >= F.col("y0")))
     tiled = finite.withColumn("_ty", F.explode(F.sequence((F.col("y0") / tile).cast("int"), ((F.col("y1") - end) / tile).cast("int"))))
@@ -55,18 +59,23 @@ def merge_on_face(images: DataFrame, rank: str, value: str, keys=("face_id",)) -
 
     The first image of a face is taken whole, each later one only inside its
     half-open box (null box: whole). Per pixel the highest rank wins, a maximum
-    that combines before the shuffle.
+    that combines before the shuffle. Where the list of images is at hand, give
+    each row its face's lowest rank as ``first_rank`` and the join is saved.
     """
     keys = list(keys)
-    first = images.groupBy(*keys).agg(F.min(rank).alias("_first"))
     inside = F.col("x0").isNull() | (
         (F.col("px") >= F.col("x0")) & (F.col("px") < F.col("x1")) & (F.col("py") >= F.col("y0")) & (F.col("py") < F.col("y1"))
     )
     entry = F.struct(F.col(rank).alias("r"), F.col(value).alias("v"))
     # One row per pixel before the short list of first ranks is joined.
-    pixels = images.groupBy(*keys, "px", "py").agg(F.max(F.when(inside, entry)).alias("_top"), F.min(entry).alias("_low"))
+    parts = [F.max(F.when(inside, entry)).alias("_top"), F.min(entry).alias("_low")]
+    if "first_rank" in images.columns:
+        joined = images.groupBy(*keys, "px", "py").agg(*parts, F.min("first_rank").alias("_first"))
+    else:
+        first = images.groupBy(*keys).agg(F.min(rank).alias("_first"))
+        joined = images.groupBy(*keys, "px", "py").agg(*parts).join(first, keys)
     base = F.when(F.col("_low.r") == F.col("_first"), F.col("_low.v"))
-    merged = pixels.join(first, keys).select(*keys, "px", "py", F.coalesce("_top.v", base).alias(value))
+    merged = joined.select(*keys, "px", "py", F.coalesce("_top.v", base).alias(value))
     return merged.filter(F.col(value).isNotNull())
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import chance, ordering
+from ..session import materialize
 from .gather import BlockOptions
 from .stencils import dilate, find_edges
 
@@ -98,22 +99,16 @@ def two_dimensional(block: BlockOptions) -> tuple[BlockOptions, tuple[int, int],
 # --- class balance -------------------------------------------------------------
 
 
-def _positives(points: DataFrame) -> Column:
-    return points.agg(F.count_if(is_ink())).scalar()
-
-
-def _negatives(points: DataFrame) -> Column:
-    return points.agg(F.count_if(~is_ink())).scalar()
-
-
 def undersample(points: DataFrame, ratio: float, id_column: str, seed: int = 0, portable: bool = False) -> DataFrame:
     """All positives, and int(P * (1-r) / r) negatives drawn with replacement.
 
     Draws are spread over the positives (the i-th makes its share of the
     total), so they are generated in parallel; a draw picks a negative by its
-    row number in hash order.
+    row number in hash order. The points are written once, as they are counted,
+    numbered and joined.
     """
-    positives, negatives = _positives(points), _negatives(points)
+    points = materialize(points, "points")
+    positives, negatives = (points.agg(F.count_if(c)).scalar() for c in (is_ink(), ~is_ink()))
     draws = F.floor(positives * F.lit((1.0 - ratio)) / F.lit(ratio)).cast("bigint")
     numbered = ordering.number_by_draw(
         points.withColumn("_ink", is_ink()), chance.draw(seed, id_column, portable=portable), [id_column], "_rn", by=["_ink"]
@@ -132,7 +127,8 @@ def undersample(points: DataFrame, ratio: float, id_column: str, seed: int = 0,
 
 def oversample(points: DataFrame, ratio: float) -> DataFrame:
     """Positives repeated max(1, int(need / P)) times, then negatives."""
-    positives, negatives = _positives(points), _negatives(points)
+    points = materialize(points, "points")
+    positives, negatives = (points.agg(F.count_if(c)).scalar() for c in (is_ink(), ~is_ink()))
     need = F.floor(negatives * F.lit(ratio) / F.lit(1.0 - ratio))
     reps = F.greatest(F.floor(F.try_divide(need, positives)).cast("bigint"), F.lit(1).cast("bigint"))
     repeated = ordering.explode_count(points.filter(is_ink()), reps, "rep")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from .catalog import asof_join
 from .regions import merge_on_face
 
 EPOCH_STEP = 10_000_000_000
@@ -24,13 +25,13 @@ def face_as_of(images: DataFrame) -> DataFrame:
     wanted = seen.select("epoch", "batch", "k").distinct()
     regions = seen.agg(F.collect_set("region")).scalar()
     asked = wanted.withColumn("region", F.explode(regions))
-    from .catalog import asof_join
-
     latest = asof_join(
         asked.withColumnsRenamed({"epoch": "as_epoch", "batch": "as_batch"}), seen.select("region", "k", "epoch", "batch"),
         ["region"], "k", ["epoch", "batch"], EPOCH_STEP,
     ).filter(F.col("matched_key").isNotNull())
-    chosen = latest.select("region", "epoch", "batch", "as_epoch", "as_batch")
+    # One row per image here, so the first rank of each merge is a short window.
+    first = F.min("region").over(Window.partitionBy("as_epoch", "as_batch"))
+    chosen = latest.select("region", "epoch", "batch", "as_epoch", "as_batch", first.alias("first_rank"))
     pixels = images.join(chosen, ["region", "epoch", "batch"]).drop("epoch", "batch")
     merged = merge_on_face(pixels, "region", "p255", keys=("as_epoch", "as_batch"))
     return merged.withColumnsRenamed({"as_epoch": "epoch", "as_batch": "batch"})
