@@ -24,7 +24,7 @@ from .blocks import limit_arrow_batches
 from .gather import BlockOptions, place_centers
 
 CHUNK_POINTS = 4096
-CELLS_PER_STEP = 1 << 20
+CELLS_PER_BATCH = 1 << 22
 _BASIS = [f"b{a}{b}" for a in "xyz" for b in "xyz"]
 
 
@@ -109,55 +109,64 @@ def touched_bricks(placed: DataFrame, options: BlockOptions, shape, edge: int) -
 def _read_cells(options: BlockOptions, shape, edge: int, summary: bool):
     nz, ny, nx = options.shape
     rz, ry, rx = options.ratio
-    # Same arithmetic, in the same order, as geometry.sample_position.
-    oz, oy, ox = (
-        o.ravel().astype("f8")
-        for o in np.meshgrid(*[np.trunc(np.arange(n) - (n - 1) / 2.0 + 0.5) for n in (nz, ny, nx)], indexing="ij")
-    )
-    step = max(1, CELLS_PER_STEP // options.cells)
-    depth, height, width = shape
-
-    def positions(p, axis):
-        return (
-            p[f"c{axis}"][:, None]
-            + ox * p[f"bx{axis}"][:, None] * rx
-            + oy * p[f"by{axis}"][:, None] * ry
-            + oz * p[f"bz{axis}"][:, None] * rz
-        )
+    oz, oy, ox = (np.trunc(np.arange(n) - (n - 1) / 2.0 + 0.5) for n in (nz, ny, nx))
+    per_batch = max(1, CELLS_PER_BATCH // options.cells)
+    size = dict(zip("zyx", shape))
+
+    def local_index(axis, p, corner):
+        """Voxel index inside the brick for every cell, as unsigned: cells below
+        the brick wrap to large numbers, so one comparison bounds both sides.
+
+        The grid is separable, so rows and planes are added up instead of all
+        three terms for every cell; additions run in the same order as in
+        geometry.sample_position, which keeps both forms equal to the last bit.
+        """
+        row = p[f"c{axis}"] + ox * p[f"bx{axis}"] * rx
+        plane = row[None, :] + (oy * p[f"by{axis}"] * ry)[:, None]
+        cells = plane[None] + (oz * p[f"bz{axis}"] * rz)[:, None, None]
+        cells += 0.5
+        index = cells.astype("i4").ravel()
+        index -= corner
+        return index.view("u4")
+
+    def one_point(cube, p, corner):
+        index = {a: local_index(a, p, corner[a]) for a in "zyx"}
+        owned = index["z"] < min(edge, size["z"] - corner["z"])
+        for a in "yx":
+            owned &= index[a] < min(edge, size[a] - corner[a])
+        at = np.flatnonzero(owned)
+        z, y, x = (index[a][at] for a in "zyx")
+        return owned, cube[(z * np.uint32(edge) + y) * np.uint32(edge) + x]
+
+    def rows_of(cube, points, corner):
+        columns = {c: points.field(c).to_numpy(zero_copy_only=False) for c in ("cx", "cy", "cz", *_BASIS)}
+        ids = points.field("point_id")
+        inside = all(0 <= corner[a] < size[a] for a in "zyx")
+        for start in range(0, len(points), per_batch):
+            first, second = [], []
+            for i in range(start, min(start + per_batch, len(points))):
+                if cube is None or not inside:
+                    owned, values = np.zeros(options.cells, bool), np.zeros(0, "<u2")
+                else:
+                    owned, values = one_point(cube, {c: v[i] for c, v in columns.items()}, corner)
+                if summary:
+                    first.append(int(values.sum(dtype="i8")))
+                    second.append(int(values.max()) if len(values) else 0)
+                else:
+                    first.append(np.packbits(owned).tobytes())
+                    second.append(values.tobytes())
+            kinds, names = ((pa.int64(), pa.int32()), ("sum_v", "max_v")) if summary else ((pa.binary(),) * 2, ("mask", "cells"))
+            yield pa.RecordBatch.from_arrays(
+                [ids.slice(start, per_batch), pa.array(first, kinds[0]), pa.array(second, kinds[1])], ["point_id", *names]
+            )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 data = batch.column("data")[i]
-                cube = np.frombuffer(data.as_buffer(), "<u2") if data.is_valid else np.zeros(edge**3, "<u2")
+                cube = np.frombuffer(data.as_buffer(), "<u2") if data.is_valid else None
                 corner = {a: batch.column(f"b{a}")[i].as_py() * edge for a in "zyx"}
-                points = batch.column("points")[i].values
-                ids = points.field("point_id")
-                columns = {
-                    c: points.field(c).to_numpy(zero_copy_only=False) for c in ("cx", "cy", "cz", *_BASIS)
-                }
-                for start in range(0, len(points), step):
-                    part = {c: v[start:start + step] for c, v in columns.items()}
-                    index = {a: np.trunc(positions(part, a) + 0.5).astype("i8") for a in "xyz"}
-                    owned = np.ones(index["x"].shape, bool)
-                    for a, size in (("x", width), ("y", height), ("z", depth)):
-                        local = index[a]
-                        owned &= (local >= corner[a]) & (local < min(corner[a] + edge, size)) & (local >= 0)
-                    at = ((index["z"] - corner["z"]) * edge + index["y"] - corner["y"]) * edge + index["x"] - corner["x"]
-                    values = np.where(owned, cube[np.where(owned, at, 0)], 0)
-                    keys = ids.slice(start, step)
-                    if summary:
-                        yield pa.RecordBatch.from_arrays(
-                            [keys, pa.array(values.sum(1, dtype="i8")), pa.array(values.max(1).astype("i4"))],
-                            ["point_id", "sum_v", "max_v"],
-                        )
-                    else:
-                        masks = [np.packbits(m).tobytes() for m in owned]
-                        cells = [v[m].astype("<u2").tobytes() for v, m in zip(values, owned)]
-                        yield pa.RecordBatch.from_arrays(
-                            [keys, pa.array(masks, pa.binary()), pa.array(cells, pa.binary())],
-                            ["point_id", "mask", "cells"],
-                        )
+                yield from rows_of(cube, batch.column("points")[i].values, corner)
 
     return read
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .session import ship_package
 from .tables import CTES, Tables
 
 _SPARK_TYPES = {"l": "bigint", "d": "double", "s": "string", "b": "boolean"}
@@ -22,6 +23,7 @@ class Query:
     uses: tuple[str, ...]
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
         out = self.build(Tables(spark, sf_dir))
         return out.select(*[F.col(c).cast(_SPARK_TYPES[t]).alias(c) for c, t in self.columns])
 

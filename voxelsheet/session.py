@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -28,7 +29,24 @@ def session(master: str | None = None, name: str = "voxelsheet", **conf) -> Spar
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    built = builder.getOrCreate()
+    ship_package(built)
+    return built
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, wherever the driver was started from."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = __package__.split(".")[0]
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="voxelsheet-"), name), "zip", root, name)
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -6,9 +6,11 @@ a query whose checkpoint lies in the shared folder.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -79,6 +81,8 @@ class ExtremesProcessor(StatefulProcessor):
 def running_extremes(slices: DataFrame) -> DataFrame:
     """``slices``: volume_id, step, low, p_low, high, p_high; one row per slice."""
     slices.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # The runner that starts stateful processors does not see shipped files.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     return slices.groupBy("volume_id").transformWithStateInPandas(
         ExtremesProcessor(), "volume_id int, step long, low double, p_low double, high double, p_high double", "Append", "None"
     )
