@@ -77,6 +77,19 @@ def test_trilinear_at_whole_positions_is_nearest(spark, scene):
     assert blocks_of("interpolated") == blocks_of("nearest_neighbor")
 
 
+@pytest.mark.parametrize("compat", [False, True])
+def test_trilinear_bricks_equal_the_row_form(spark, scene, compat):
+    cube, _, _, voxels, points = scene
+    options = gather.BlockOptions(shape=(3, 4, 2), method="interpolated", compat_corner=compat)
+    hits = gather.gather(points, voxels, ["point_id"], options, cube.shape)
+    want = [r.block for r in gather.as_blocks(hits, ["point_id"], options.cells).orderBy("point_id").collect()]
+    packed = bricks.pack_bricks(voxels, edge=4)
+    got = bricks.gather_blocks(points, packed, options, cube.shape, edge=4).orderBy("point_id").collect()
+    assert [np.frombuffer(r.block, "<u2").tolist() for r in got] == want
+    sums = bricks.gather_summary(points, packed, options, cube.shape, edge=4).orderBy("point_id").collect()
+    assert [(r.sum_v, r.max_v) for r in sums] == [(sum(w), max(w)) for w in want]
+
+
 def test_unknown_method(spark, scene):
     with pytest.raises(ValueError):
         gather.gather(scene[4], scene[3], ["point_id"], gather.BlockOptions(method="cubic"), scene[0].shape)

@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import geometry as g
 from ..functions.ordering import spread
 from ..functions.scalars import int_div
-from .blocks import limit_arrow_batches
 from .gather import BlockOptions, place_centers
 
 CHUNK_POINTS = 4096
@@ -34,7 +33,6 @@ def pack_bricks(voxels: DataFrame, edge: int = 64) -> DataFrame:
     grouped = voxels.groupBy(
         "volume_id", *[int_div(F.col(a), edge).alias(f"b{a}") for a in "zyx"]
     ).agg(F.collect_list(F.struct(cell.cast("int").alias("cell"), F.col("v").cast("int").alias("v"))).alias("cells"))
-    limit_arrow_batches(voxels, edge**3 * 8)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,7 +55,6 @@ def pack_bricks(voxels: DataFrame, edge: int = 64) -> DataFrame:
 
 def unpack_bricks(bricks: DataFrame, edge: int = 64) -> DataFrame:
     """Non-zero voxels of packed bricks."""
-    limit_arrow_batches(bricks, edge**3 * 2)
 
     def decode(batches):
         for batch in batches:
@@ -99,23 +96,29 @@ def touched_bricks(placed: DataFrame, options: BlockOptions, shape, edge: int) -
             b = F.col(f"b{name}{axis}")
             low = low + F.least(b * lo, b * hi)
             high = high + F.greatest(b * lo, b * hi)
-        first = F.greatest(g.truncate(low + 0.5 - 1e-6), F.lit(0))
-        last = F.least(g.truncate(high + 0.5 + 1e-6), F.lit(size - 1))
-        reach = F.when((high > -1.6) & (last >= first), F.sequence(int_div(first, edge), int_div(last, edge)))
+        first = F.greatest(g.truncate(low - 1e-6), F.lit(0))
+        beyond = 1.0 if options.method == "interpolated" else 0.5  # the upper corner
+        last = F.least(g.truncate(high + beyond + 1e-6), F.lit(size - 1))
+        reach = F.when((high > -2.1) & (last >= first), F.sequence(int_div(first, edge), int_div(last, edge)))
         out = out.withColumn(f"b{axis}", F.explode(F.coalesce(reach, F.array(F.lit(-1)))))
     return out
 
 
+def _part_kind(options: BlockOptions) -> str:
+    """Parts hold values for nearest reads, shares of sums for trilinear ones."""
+    return "<f8" if options.method == "interpolated" else "<u2"
+
+
 def _read_cells(options: BlockOptions, shape, edge: int, summary: bool):
     nz, ny, nx = options.shape
     rz, ry, rx = options.ratio
     oz, oy, ox = (np.trunc(np.arange(n) - (n - 1) / 2.0 + 0.5) for n in (nz, ny, nx))
     per_batch = max(1, CELLS_PER_BATCH // options.cells)
     size = dict(zip("zyx", shape))
+    kind = _part_kind(options)
 
-    def local_index(axis, p, corner):
-        """Voxel index inside the brick for every cell, as unsigned: cells below
-        the brick wrap to large numbers, so one comparison bounds both sides.
+    def position(axis, p):
+        """Volume position of every cell along one axis.
 
         The grid is separable, so rows and planes are added up instead of all
         three terms for every cell; additions run in the same order as in
@@ -123,20 +126,46 @@ def _read_cells(options: BlockOptions, shape, edge: int, summary: bool):
         """
         row = p[f"c{axis}"] + ox * p[f"bx{axis}"] * rx
         plane = row[None, :] + (oy * p[f"by{axis}"] * ry)[:, None]
-        cells = plane[None] + (oz * p[f"bz{axis}"] * rz)[:, None, None]
-        cells += 0.5
-        index = cells.astype("i4").ravel()
-        index -= corner
-        return index.view("u4")
-
-    def one_point(cube, p, corner):
-        index = {a: local_index(a, p, corner[a]) for a in "zyx"}
-        owned = index["z"] < min(edge, size["z"] - corner["z"])
+        return (plane[None] + (oz * p[f"bz{axis}"] * rz)[:, None, None]).ravel()
+
+    def owned_cells(index, corner):
+        """Which voxel indexes lie in the brick, and where those are in its cube.
+
+        Seen as unsigned, indexes below the brick wrap to large numbers, so one
+        comparison bounds both sides.
+        """
+        local = {a: (index[a] - np.int32(corner[a])).view("u4") for a in "zyx"}
+        owned = local["z"] < min(edge, size["z"] - corner["z"])
         for a in "yx":
-            owned &= index[a] < min(edge, size[a] - corner[a])
+            owned &= local[a] < min(edge, size[a] - corner[a])
         at = np.flatnonzero(owned)
-        z, y, x = (index[a][at] for a in "zyx")
-        return owned, cube[(z * np.uint32(edge) + y) * np.uint32(edge) + x]
+        z, y, x = (local[a][at] for a in "zyx")
+        return owned, at, (z * np.uint32(edge) + y) * np.uint32(edge) + x
+
+    def nearest(cube, p, corner):
+        index = {a: (position(a, p) + 0.5).astype("i4") for a in "zyx"}
+        owned, _, place = owned_cells(index, corner)
+        return owned, cube[place]
+
+    def trilinear(cube, p, corner):
+        """This brick's share of the eight-corner sums."""
+        at = {a: position(a, p) for a in "zyx"}
+        base = {a: v.astype("i4") for a, v in at.items()}
+        part = {a: at[a] - base[a] for a in "zyx"}
+        total, any_owned = np.zeros(options.cells), np.zeros(options.cells, bool)
+        for bx, by, bz in np.ndindex(2, 2, 2):
+            row = 0 if options.compat_corner and bx == 1 and bz == 0 else by
+            bits = {"x": bx, "y": by, "z": bz}
+            index = {"x": base["x"] + np.int32(bx), "y": base["y"] + np.int32(row), "z": base["z"] + np.int32(bz)}
+            owned, cells, place = owned_cells(index, corner)
+            weight = np.ones(len(cells))
+            for a in "xyz":
+                weight *= part[a][cells] if bits[a] else 1.0 - part[a][cells]
+            total[cells] += weight * cube[place]
+            any_owned |= owned
+        return any_owned, total[any_owned]
+
+    one_point = trilinear if options.method == "interpolated" else nearest
 
     def rows_of(cube, points, corner):
         columns = {c: points.field(c).to_numpy(zero_copy_only=False) for c in ("cx", "cy", "cz", *_BASIS)}
@@ -146,7 +175,7 @@ def _read_cells(options: BlockOptions, shape, edge: int, summary: bool):
             first, second = [], []
             for i in range(start, min(start + per_batch, len(points))):
                 if cube is None or not inside:
-                    owned, values = np.zeros(options.cells, bool), np.zeros(0, "<u2")
+                    owned, values = np.zeros(options.cells, bool), np.zeros(0, kind)
                 else:
                     owned, values = one_point(cube, {c: v[i] for c, v in columns.items()}, corner)
                 if summary:
@@ -184,8 +213,13 @@ def _chunks(points: DataFrame, options: BlockOptions, shape, edge: int, portable
 
 def gather_summary(points: DataFrame, bricks: DataFrame, options: BlockOptions, shape, edge: int = 64,
                    portable: bool = False) -> DataFrame:
-    """``point_id, n, sum_v, max_v``; points carry ``point_id, volume_id, x..nz``."""
-    limit_arrow_batches(points, edge**3 * 2 + options.cells * 2)
+    """``point_id, n, sum_v, max_v``; points carry ``point_id, volume_id, x..nz``.
+
+    Nearest reads are summed brick by brick. Trilinear cells are whole only
+    after their shares have met, so those are summed from finished blocks.
+    """
+    if options.method == "interpolated":
+        return _block_sums(gather_blocks(points, bricks, options, shape, edge, portable), options.cells, _id_type(points))
     met = _chunks(points, options, shape, edge, portable).join(bricks, ["volume_id", "bz", "by", "bx"], "left")
     parts = met.mapInArrow(_read_cells(options, shape, edge, True), f"point_id {_id_type(points)}, sum_v bigint, max_v int")
     return parts.groupBy("point_id").agg(
@@ -200,21 +234,22 @@ def gather_blocks(points: DataFrame, bricks: DataFrame, options: BlockOptions, s
     Each part carries a bit per cell it owns and only those values, so every
     cell value travels once. A point has at most 27 parts.
     """
-    limit_arrow_batches(points, edge**3 * 2 + options.cells * 2)
     met = _chunks(points, options, shape, edge, portable).join(bricks, ["volume_id", "bz", "by", "bx"], "left")
     kind = _id_type(points)
     parts = met.mapInArrow(_read_cells(options, shape, edge, False), f"point_id {kind}, mask binary, cells binary")
     grouped = parts.groupBy("point_id").agg(F.collect_list(F.struct("mask", "cells")).alias("parts"))
-    cells = options.cells
+    cells, part_kind = options.cells, _part_kind(options)
 
     def merge(batches):
         for batch in batches:
             blocks = []
             for parts in batch.column("parts").to_pylist():
-                block = np.zeros(cells, "<u2")
+                block = np.zeros(cells, part_kind)
                 for part in parts:
                     mask = np.unpackbits(np.frombuffer(part["mask"], "u1"), count=cells).astype(bool)
-                    block[mask] = np.frombuffer(part["cells"], "<u2")
+                    block[mask] += np.frombuffer(part["cells"], part_kind)
+                if part_kind == "<f8":
+                    block = np.mod(np.floor(block + 1e-6), 65536).astype("<u2")
                 blocks.append(block.tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("point_id"), pa.array(blocks, pa.binary())], ["point_id", "block"]
@@ -223,5 +258,17 @@ def gather_blocks(points: DataFrame, bricks: DataFrame, options: BlockOptions, s
     return grouped.mapInArrow(merge, f"point_id {kind}, block binary")
 
 
+def _block_sums(blocks: DataFrame, cells: int, kind: str) -> DataFrame:
+    def add(batches):
+        for batch in batches:
+            rows = [np.frombuffer(b.as_buffer(), "<u2") for b in batch.column("block")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("point_id"), pa.array([int(r.sum(dtype="i8")) for r in rows], pa.int64()),
+                 pa.array([int(r.max()) for r in rows], pa.int32())], ["point_id", "sum_v", "max_v"])
+
+    sums = blocks.mapInArrow(add, f"point_id {kind}, sum_v bigint, max_v int")
+    return sums.select("point_id", F.lit(cells).cast("bigint").alias("n"), "sum_v", "max_v")
+
+
 def _id_type(points: DataFrame) -> str:
     return points.schema["point_id"].dataType.simpleString()

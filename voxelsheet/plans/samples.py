@@ -115,6 +115,15 @@ def _(t):
     return gather.summarize(hits, KEYS, options.cells)
 
 
+@query("gather_trilinear_bricks", "point_id:l n:l sum_v:l max_v:l", f"""
+with pts as (select *, 0e0 as d from surface), {PLACED}, {cells_sql(4, 4, 4)}, {TRILINEAR.format(row="uy")}
+select py * 50 + px as point_id, count(*) as n, sum(v) as sum_v, max(v) as max_v from gathered group by all""", "voxels surface")
+def _(t):
+    options = gather.BlockOptions(shape=(4, 4, 4), method="interpolated")
+    packed = bricks.pack_bricks(t.voxels, edge=16)
+    return bricks.gather_summary(with_point_id(t.surface), packed, options, t.volume_shape, edge=16)
+
+
 @query("gather_trilinear_compat", "face_id:l px:l py:l n:l sum_v:l max_v:l", f"""
 with pts as (select *, 0e0 as d from surface), {PLACED}, {cells_sql(2, 2, 2)}, {TRILINEAR.format(row="case when ux = 1 and uz = 0 then 0 else uy end")}
 {PER_POINT.format(keys="face_id, px, py", more="")}""", "voxels surface")
