@@ -53,19 +53,27 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster shares for checkpoints and intermediate tables.
 
     Read from ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a fresh folder is made and configured.
+    machine) the context's own folder is used, or a fresh one is made.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    current = context._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        current = context._jsc.sc().getCheckpointDir()
         folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="voxelsheet-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if not context._jsc.sc().getCheckpointDir().isDefined():
+    if not current.isDefined():
         context.setCheckpointDir(folder)
     return folder
 
 
+def mounted_path(path: str) -> str:
+    """A path Python can open; files read by position need a mounted file system."""
+    if path.startswith("file:"):
+        return "/" + path.removeprefix("file:").lstrip("/")
+    if "://" in path:
+        raise ValueError(f"{path} is not on a mounted file system; use the Parquet form there")
+    return path
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from ..session import mounted_path
+
 SCHEMA = "face_id int, px int, py int, x double, y double, z double, nx double, ny double, nz double"
 NAMES = ["face_id", "px", "py", "x", "y", "z", "nx", "ny", "nz"]
 RECORD = 6 * 8
@@ -58,7 +60,7 @@ class _RowRange(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.path = options["path"]
+        self.path = mounted_path(options["path"])
         self.face = int(options.get("face_id", "0"))
         self.rows = int(options.get("rows_per_task", "256"))
         self.head = read_header(self.path)
@@ -89,7 +91,7 @@ class _Done(WriterCommitMessage):
 
 class _Writer(DataSourceArrowWriter):
     def __init__(self, options):
-        self.path = options["path"]
+        self.path = mounted_path(options["path"])
         self.width, self.height = int(options["width"]), int(options["height"])
         head = header_bytes(self.width, self.height, options.get("ordered", "true") == "true", options.get("version", "1.0"))
         self.offset = len(head)

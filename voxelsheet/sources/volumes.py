@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from ..session import scratch_path
+from ..session import mounted_path, scratch_path
 
 VOLUME_SCHEMA = "volume_id int, z int, y int, x int, v int"
 META_SCHEMA = (
@@ -74,7 +74,7 @@ def _slice_files(folder: str, suffix: str) -> list[str]:
 
 class SliceReader(DataSourceReader):
     def __init__(self, options):
-        self.folder = options["path"]
+        self.folder = mounted_path(options["path"])
         self.volume_id = int(options.get("volume_id", "0"))
         self.rows = int(options.get("rows_per_task", "1024"))
         with open(os.path.join(self.folder, "meta.json")) as f:
@@ -121,7 +121,7 @@ class SliceWriter(DataSourceWriter):
     """Writes rows ``(z, y, cells)``; a slice's rows must be in one task, ordered by y."""
 
     def __init__(self, options, overwrite):
-        self.folder = options["path"]
+        self.folder = mounted_path(options["path"])
         self.digits = int(options.get("digits", "5"))
         os.makedirs(self.folder, exist_ok=True)
 
@@ -197,7 +197,7 @@ def write_slices(volume: DataFrame, path: str, shape, meta: dict) -> None:
     )
     whole = grid.unionByName(rows).groupBy("z", "y").agg(F.max("cells").alias("cells"))
     whole.repartition("z").sortWithinPartitions("z", "y").write.format("slices").mode("overwrite").save(path)
-    with open(os.path.join(path, "meta.json"), "w") as f:
+    with open(os.path.join(mounted_path(path), "meta.json"), "w") as f:
         json.dump({**meta, "slices": depth, "height": height, "width": width}, f)
 
 
