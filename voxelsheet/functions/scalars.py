@@ -114,8 +114,7 @@ def conv_output_size(size: Column, kernel: Column, stride: Column, padding: Colu
 RUN_STAMP = r"\d\d\d\d-\d\d-\d\d_\d\d\.\d\d\.\d\d"
 RUN_FOLDER = RUN_STAMP + r"$"
 FOLD_FOLDER = RUN_STAMP + r"_(\d+)$"
-STEP_FILE = r"^(.*)_prediction_(\d+_\d+)_(.*)\.png$"
-FINAL_FILE = r"^(.*)_prediction_(final)_(.*)\.png$"
+PREDICTION_FILE = r"^(.*)_prediction_(final|\d+_\d+)_(.*)\.png$"
 
 
 def file_name(path: Column) -> Column:
@@ -146,9 +145,7 @@ def fold_number(name: Column) -> Column:
 
 def prediction_file_part(name: Column, group: int) -> Column:
     """1 region, 2 iteration, 3 label type; null when the name does not fit."""
-    step = F.regexp_extract(name, STEP_FILE, group)
-    final = F.regexp_extract(name, FINAL_FILE, group)
-    return F.when(step != "", step).when(final != "", final)
+    return F.nullif(F.regexp_extract(name, PREDICTION_FILE, group), F.lit(""))
 
 
 def iteration_key(iteration: Column) -> Column:
