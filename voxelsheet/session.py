@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -52,14 +53,20 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster shares for checkpoints and intermediate tables.
 
-    Read from ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) the context's own folder is used, or a fresh one is made.
+    Read from ``spark.checkpoint.dir``, else the context's own checkpoint
+    folder. Only on one machine (tests) a fresh temporary folder is made; on a
+    cluster a missing setting is an error, as executors would write to disks
+    the others cannot see.
     """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and current.isDefined():
+        folder = current.get()
     if not folder:
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="voxelsheet-")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="voxelsheet-")
     if not current.isDefined():
         context.setCheckpointDir(folder)
     return folder
@@ -76,14 +83,25 @@ def mounted_path(path: str) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application below the shared one; it holds all staged tables."""
+    return f"{shared_dir(spark).rstrip('/')}/voxelsheet-{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete what this application has staged; results not yet written are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str = "table", partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, cutting its lineage.
 
     Parquet instead of ``checkpoint()`` where the next reader gains from column
-    pruning, filters and file statistics.
+    pruning, filters and file statistics. :func:`clean_up` removes the tables.
     """
     path = scratch_path(df.sparkSession, name)
     writer = df.write
