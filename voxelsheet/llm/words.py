@@ -58,6 +58,38 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator
         start = stop
 
 
+def runs(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Texts, and the index each belongs to, in runs of about ``limit`` bytes.
+
+    A text above the limit is cut at white space into pieces, so that the
+    memory of what follows is bounded however long a text is.
+    """
+    _, offsets = text_bytes(texts)
+    if offsets[-1] <= 2 * limit:
+        yield texts, np.arange(len(texts))
+        return
+    held, owner, size = [], [], 0
+    for k, text in enumerate(texts.to_pylist()):
+        for piece in _pieces(text or "", limit):
+            held.append(piece)
+            owner.append(k)
+            size += len(piece)
+            if size >= limit:
+                yield pa.array(held, pa.string()), np.array(owner)
+                held, owner, size = [], [], 0
+    yield pa.array(held, pa.string()), np.array(owner, int)
+
+
+def _pieces(text: str, limit: int) -> Iterator[str]:
+    start = 0
+    while len(text) - start > limit:
+        cut = max(text.rfind(" ", start, start + limit), text.rfind("\n", start, start + limit)) + 1
+        cut = cut if cut > start else start + limit
+        yield text[start:cut]
+        start = cut
+    yield text[start:]
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte start and end of every word, and for each text the index of its first word."""
     word = _tables()[0][data]
@@ -76,22 +108,30 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the lower-cased bytes of each span; spans are in order and do not overlap."""
+    return part_hashes(data, start, end, [(start, end)])[0]
+
+
+def part_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray,
+                parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Hashes of several parts (start and end arrays) of the same spans."""
     _, value, power, back = _tables()
-    out = np.zeros(len(start), _U)
+    out = [np.zeros(len(start), _U) for _ in parts]
     done = 0
     while done < len(start):
         low = start[done]
         stop = int(np.searchsorted(end, low + STRETCH, "right"))
         if stop <= done:  # one span longer than a stretch
-            out[done] = _long_hash(data[low:end[done]], value)
+            for k, (s, e) in enumerate(parts):
+                out[k][done] = _long_hash(data[s[done]:e[done]], value)
             done += 1
             continue
         part = value[data[low:end[stop - 1]]]
         part *= power[: len(part)]
         total = np.zeros(len(part) + 1, _U)
         np.cumsum(part, out=total[1:])
-        s, e = start[done:stop] - low, end[done:stop] - low
-        out[done:stop] = mix((total[e] - total[s]) * back[s] + (e - s).astype(_U))
+        for k, (s, e) in enumerate(parts):
+            s, e = s[done:stop] - low, e[done:stop] - low
+            out[k][done:stop] = mix((total[e] - total[s]) * back[s] + (e - s).astype(_U))
         done = stop
     return out
 
@@ -109,9 +149,13 @@ def _long_hash(data: np.ndarray, value: np.ndarray) -> int:
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, and for each text the index of its first word."""
-    data, offsets = text_bytes(column)
-    start, end, first = word_spans(data, offsets)
-    return span_hashes(data, start, end), first
+    hashes, counts = [], np.zeros(len(column), np.int64)
+    for texts, owner in runs(column):
+        data, offsets = text_bytes(texts)
+        start, end, first = word_spans(data, offsets)
+        hashes.append(span_hashes(data, start, end))
+        np.add.at(counts, owner, np.diff(first))
+    return np.concatenate(hashes), np.r_[0, np.cumsum(counts)]
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
