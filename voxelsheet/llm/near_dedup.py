@@ -323,7 +323,6 @@ def classes(docs: DataFrame, similar: float = SIMILAR, max_broadcast: int = 2_00
     first = members.filter("row = node").select("node")
     nodes = sketched.filter("words > 0").join(first, sketched["row"] == first["node"], "left_semi").withColumnRenamed("row", "node")
     bands = materialize(nodes.select("node", "draws").mapInArrow(_band_rows, "node bigint, band bigint, draws binary"), "bands")
-    shared_bands = bands.groupBy("band").count().filter("count > 1").select("band")
     least = least_agreement(similar)
     found = materialize(_dealt(_blocks(bands, 1, max_broadcast)).mapInArrow(_closest(least), "a bigint, b bigint, open bigint"), "pairs")
     pairs = found.filter("a is not null").select("a", "b").distinct()
