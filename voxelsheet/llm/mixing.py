@@ -90,10 +90,10 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, total: float = 1.5, limit: float
     return ranged.drop("bucket"), materialize(cuts, "cuts")
 
 
-def _copies(key: Column) -> Column:
+def _copies(key: Column, epochs: str = "epochs", last: str = "last") -> Column:
     """Times a document is taken: all whole epochs, once more up to the last key."""
-    chosen = F.struct(key.alias("key"), F.col("doc_id").alias("id")) <= F.col("last")
-    return F.col("epochs") + F.when(chosen, F.lit(1)).otherwise(F.lit(0))
+    chosen = F.struct(key.alias("key"), F.col("doc_id").alias("id")) <= F.col(last)
+    return F.col(epochs) + F.when(chosen, F.lit(1)).otherwise(F.lit(0))
 
 
 def mixture(docs: DataFrame, weights=WEIGHTS, total: float = 1.5, limit: float = 2.0) -> DataFrame:
@@ -115,7 +115,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, total: float = 1.5, limit: float = 2.0
     Texts are not shuffled; the key is drawn anew and compared with the last one taken of the source.
     """
     _, cuts = plan_mix(docs, weights, total, limit)
-    joined = _with_shares(docs, cuts)
-    copies = F.sequence(F.lit(1).cast("bigint"), _copies(sampling_key(quality_weight())))
-    taken = joined.filter(_copies(sampling_key(quality_weight())) > 0).withColumn("copy", F.explode(copies))
-    return taken.select(*docs.columns, "copy")
+    joined = _with_shares(docs, cuts.select("source", F.col("epochs").alias("_epochs"), F.col("last").alias("_last")))
+    copies = _copies(sampling_key(quality_weight()), "_epochs", "_last")
+    taken = joined.filter(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
+    return taken.select(*[c for c in docs.columns if c != "copy"], F.col("_copy").alias("copy"))
