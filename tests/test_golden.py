@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Row, functions as F
 
+from voxelsheet import session
 from voxelsheet.functions import geometry as g, scalars, tensors
 from voxelsheet.operators import catalog, gather, manifests, regions, scoring, selection, stacks
 
@@ -117,8 +118,20 @@ def test_output_names(spark):
         ("r/2024-01-02_03.04.05/predictions/a_prediction_final_ink_classes.png",),
         ("r/2024-01-02_03.04.05/predictions/notes.txt",), ("r/misc/predictions/a_prediction_final_ink_classes.png",),
     ], "path string")
-    rows = catalog.parse_outputs(files).orderBy("n_from_k_fold").select("n_from_k_fold", "region_name", "iteration_str", "prediction_type").collect()
-    assert [tuple(r) for r in rows] == [(-1, "a", "final", "ink_classes"), (3, "a_prediction_b", "1_20", "rgb_values")]
+    rows = catalog.parse_outputs(files).orderBy("n_from_k_fold", "region_name").select("n_from_k_fold", "region_name", "iteration_str", "prediction_type", "error").collect()
+    assert [tuple(r) for r in rows] == [(-1, None, None, None, "name"), (-1, "a", "final", "ink_classes", None), (3, "a_prediction_b", "1_20", "rgb_values", None)]
+
+
+def test_shared_folder_must_be_set_on_a_cluster(spark, monkeypatch):
+    class Conf:
+        get = staticmethod(lambda key, default=None: None)
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(type("Session", (), {"conf": Conf, "sparkContext": Context}))
 
 
 def test_unknown_label_type_is_an_error(spark):

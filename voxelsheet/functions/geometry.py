@@ -63,66 +63,37 @@ def normalize(a: Vec) -> Vec:
     return Vec(*[F.when(size > 0, c / F.when(size > 0, size).otherwise(1.0)).otherwise(F.lit(0.0)) for c in a])
 
 
-def safe_asin(c: Column) -> Column:
-    return F.asin(F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0)))
-
-
 def angle_between(a: Vec, b: Vec) -> Column:
-    """Angle of two unit vectors, from the half chord (accurate near 0 and pi)."""
-    return F.when(dot(a, b) >= 0, 2.0 * safe_asin(length(subtract(b, a)) / 2.0)).otherwise(
-        F.lit(math.pi) - 2.0 * safe_asin(length(add(a, b)) / 2.0)
-    )
+    return F.atan2(length(cross(a, b)), dot(a, b))
 
 
 def dominant_axis(a: Vec) -> Column:
     """0, 1 or 2 for the component of largest size; later axes win ties."""
-    x, y, z = F.abs(a.x), F.abs(a.y), F.abs(a.z)
-    return F.when(x > y, F.when(x > z, 0).otherwise(2)).otherwise(F.when(y > z, 1).otherwise(2))
+    sizes = F.array(*[F.abs(c) for c in a])
+    return F.lit(3) - F.array_position(F.reverse(sizes), F.array_max(sizes)).cast("int")
 
 
-def perpendicular(a: Vec) -> Vec:
-    """Some vector at a right angle, built around the dominant axis."""
-    axis = dominant_axis(a)
+def orthogonal(a: Vec) -> Vec:
+    """A vector at a right angle to ``a``: its cross product with (1, -1, 0), or with +z where ``a`` lies flat.
 
-    def pick(first, second, third):
-        return F.when(axis == 0, first).when(axis == 1, second).otherwise(third)
-
-    return Vec(
-        pick(-a.y - a.z, a.y, a.z),
-        pick(a.x, -a.x - a.z, a.z),
-        pick(a.x, a.y, -a.x - a.y),
-    )
-
-
-def quaternion_from_axis_angle(axis: Vec, angle: Column) -> tuple[Column, Column, Column, Column]:
-    """(w, x, y, z); a zero axis gives the identity."""
-    unit, size = normalize(axis), length(axis)
-    half = angle / 2.0
-    w = F.when(size > 0, F.cos(half)).otherwise(F.lit(1.0))
-    return (w, *[c * F.sin(half) for c in unit])
+    Fixed value: for +z this is (1, 1, 0), the axis of the half turn to -z.
+    """
+    flat = F.abs(a.z) * 4 < F.abs(a.x) + F.abs(a.y)
+    return Vec(F.when(flat, a.y).otherwise(a.z), F.when(flat, -a.x).otherwise(a.z), F.when(flat, 0.0).otherwise(-a.x - a.y))
 
 
 def with_quaternion_between(df: DataFrame, a: Vec, b: Vec, name: str) -> DataFrame:
     """Add ``{name}w .. {name}z``: the shortest rotation from ``a`` to ``b``.
 
-    Done in steps, so that each step reads columns instead of repeating the
-    expressions below it.
+    For unit vectors that is (1 + a . b, a x b), scaled to length 1; opposed
+    vectors have no such axis and take an orthogonal one.
     """
-    steps = df.select("*", *[c.alias(f"_a{n}") for n, c in zip("xyz", normalize(a))],
-                      *[c.alias(f"_b{n}") for n, c in zip("xyz", normalize(b))])
-    a, b = vec("_ax", "_ay", "_az"), vec("_bx", "_by", "_bz")
-    steps = steps.select("*", *[c.alias(f"_c{n}") for n, c in zip("xyz", cross(a, b))],
-                         angle_between(a, b).alias("_angle"), (dot(a, b) > 0).alias("_same"))
-    axis = vec("_cx", "_cy", "_cz")
-    steps = steps.withColumn("_flat", length(axis) <= 2.220446049250313e-16)
-    turned = quaternion_from_axis_angle(axis, F.col("_angle"))
-    half_turn = quaternion_from_axis_angle(perpendicular(a), F.lit(math.pi))
-    identity = [F.lit(v) for v in (1.0, 0.0, 0.0, 0.0)]
-    parts = [
-        F.when(F.col("_flat") & F.col("_same"), i).when(F.col("_flat"), h).otherwise(t).alias(f"{name}{n}")
-        for n, i, h, t in zip("wxyz", identity, half_turn, turned)
-    ]
-    return steps.select(*df.columns, *parts)
+    a, b = normalize(a), normalize(b)
+    opposed = 1.0 + dot(a, b) < 1e-15
+    parts = zip("wxyz", (1.0 + dot(a, b), *cross(a, b)), (F.lit(0.0), *orthogonal(a)))
+    raw = df.select("*", *[F.when(opposed, half).otherwise(c).alias(f"_{n}") for n, c, half in parts])
+    size = F.sqrt(sum((F.col(f"_{n}") * F.col(f"_{n}") for n in "xyz"), F.col("_w") * F.col("_w")))
+    return raw.select(*df.columns, *[(F.col(f"_{n}") / size).alias(f"{name}{n}") for n in "wxyz"])
 
 
 def rotate(v: Vec, q) -> Vec:

@@ -55,9 +55,14 @@ def number_rows(df: DataFrame, bucket: Column, order: list, name: str = "rn", by
     return joined.select(*[F.col(c) for c in df.columns], (F.col("_rn") + F.coalesce("_b_n", F.lit(0))).alias(name))
 
 
-def number_by_draw(df: DataFrame, draw: Column, ties: list, name: str = "rn", by=(), buckets: int = 1024) -> DataFrame:
-    """Row number in the order of a uniform draw from [0, 2^31)."""
-    width = 2147483648 // buckets
+def draw_buckets(df: DataFrame, rows: int = 1 << 17) -> int:
+    """Buckets of a uniform draw that hold about ``rows`` rows each, from the counted size."""
+    return max(1, -(-df.count() // rows))
+
+
+def number_by_draw(df: DataFrame, draw: Column, ties: list, name: str = "rn", by=(), buckets: int | None = None) -> DataFrame:
+    """Row number in the order of a uniform draw from [0, 2^31), in buckets of a counted number."""
+    width = max(1, 2147483648 // (buckets or draw_buckets(df)))
     marked = df.withColumn("_draw", draw)
     bucket = (F.col("_draw") / width).cast("int")
     return number_rows(marked, bucket, ["_draw", *ties], name, by).drop("_draw")

@@ -12,8 +12,9 @@ SET_TYPES = ("training", "prediction", "validation")
 def parse_outputs(files: DataFrame) -> DataFrame:
     """Prediction files of job folders: job, fold, region, iteration and label type.
 
-    ``files`` has ``path`` = ``<job folder>/predictions/<name>``. Files in other
-    folders, and names that do not fit, are left out.
+    ``files`` has ``path`` = ``<job folder>/predictions/<name>``; files in other
+    folders are no outputs. A name that does not fit stays, with its parts null
+    and ``error`` = ``name``.
     """
     parts = F.split("path", "/")
     rows = files.select("*", F.element_at(parts, -1).alias("name"), F.element_at(parts, -3).alias("job_dir"))
@@ -24,13 +25,23 @@ def parse_outputs(files: DataFrame) -> DataFrame:
         scalars.prediction_file_part(name, 1).alias("region_name"),
         scalars.prediction_file_part(name, 2).alias("iteration_str"),
         scalars.prediction_file_part(name, 3).alias("prediction_type"),
-    ).filter(F.col("region_name").isNotNull())
+        F.when(scalars.prediction_file_part(name, 1).isNull(), "name").alias("error"),
+    )
 
 
 def with_set_flags(outputs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Attach source data by region name = stem of the source path."""
-    named = sources.withColumn("region_name", scalars.stem(F.col("path"))).drop("path")
-    return outputs.join(named, "region_name")
+    """Attach source data by region name = stem of the source path.
+
+    An output of a region no source has stays, with ``error`` = ``region``.
+    """
+    named = sources.withColumn("region_name", scalars.stem(F.col("path"))).drop("path").withColumn("_known", F.lit(True))
+    joined = outputs.join(named, "region_name", "left")
+    error = F.coalesce("error", F.when(F.col("_known").isNull(), "region"))
+    return joined.withColumn("error", error).drop("_known")
+
+
+def usable(outputs: DataFrame) -> DataFrame:
+    return outputs.filter("error is null").drop("error")
 
 
 def names_in_paths(names: DataFrame, paths: DataFrame, name: str, path: str) -> DataFrame:

@@ -14,10 +14,10 @@ def _bucket(order: str) -> Column:
     return F.floor(F.col(order) / BUCKET)
 
 
-def source_lengths(sources: DataFrame, points: DataFrame) -> DataFrame:
-    """Samples per source: counted points for regions, a fixed count for volumes."""
+def source_lengths(sources: DataFrame, points: DataFrame, volume_samples: int = VOLUME_SAMPLES) -> DataFrame:
+    """Samples per source: counted points for regions, ``volume_samples`` for volumes."""
     counted = points.groupBy("path").agg(F.count("*").alias("_n"))
-    n = F.when(F.col("type") == "volume", VOLUME_SAMPLES).otherwise(F.coalesce("_n", F.lit(0)))
+    n = F.when(F.col("type") == "volume", volume_samples).otherwise(F.coalesce("_n", F.lit(0)))
     return sources.join(counted, "path", "left").withColumn("n", n.cast("bigint")).drop("_n")
 
 

@@ -6,7 +6,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import chance, ordering
+from ..functions import chance, ordering, scalars
 from ..session import materialize
 from .gather import BlockOptions
 from .stencils import dilate, find_edges
@@ -152,9 +152,22 @@ def volume_points(ids: DataFrame, shape, seed: int, portable: bool = False) -> D
 
 
 def random_subset(samples: DataFrame, id_column: str, size: int, seed: int, portable: bool = False) -> DataFrame:
-    """``size`` rows in hash order, with their rank ``rn``; no task sees all rows."""
-    numbered = ordering.number_by_draw(samples, chance.draw(seed, id_column, portable=portable), [id_column])
-    return numbered.filter(F.col("rn") <= size)
+    """``size`` rows in hash order, with their rank ``rn``; no task sees all rows.
+
+    Rows are counted per bucket of the draw first; only the buckets that hold
+    the lowest ``size`` rows are numbered.
+    """
+    buckets = ordering.draw_buckets(samples)
+    drawn = samples.withColumn("_d", chance.draw(seed, id_column, portable=portable))
+    bucket = scalars.int_div(F.col("_d"), max(1, chance.SPAN // buckets))
+    below, last = 0, -1
+    for last, n in drawn.groupBy(bucket.alias("b")).count().orderBy("b").toLocalIterator():
+        below += n
+        if below >= size:
+            break
+    low = drawn.filter(bucket <= last)
+    numbered = ordering.number_by_draw(low, F.col("_d"), [id_column], buckets=buckets)
+    return numbered.filter(F.col("rn") <= size).drop("_d")
 
 
 def shuffled_batches(samples: DataFrame, id_column: str, batch_size: int, seed: int, portable: bool = False) -> DataFrame:

@@ -124,12 +124,13 @@ def global_stats(per_slice: DataFrame, prefixes=("", "blurred_")) -> DataFrame:
     ])
 
 
-def exact_percentiles(rows: DataFrame, keys: list[str], value: str, fractions: dict[str, float], width: int) -> DataFrame:
-    """Linear-interpolated percentiles of whole numbers, without sorting a group.
+def exact_percentiles(rows: DataFrame, keys: list[str], value: str, percents: dict[str, int], width: int) -> DataFrame:
+    """Linear-interpolated percentiles of whole numbers in hundredths, as whole numbers, without sorting a group.
 
-    Values are counted, counts are summed over value ranges of ``width``, and
-    only the ranges that hold a wanted rank are ordered: a task sees at most
-    ``width`` distinct values however many rows a slice has.
+    Percents are whole, so hundredths are exact. Values are counted, counts are
+    summed over value ranges of ``width``, and only the ranges that hold a wanted
+    rank are ordered: a task sees at most ``width`` distinct values however many
+    rows a slice has.
     """
     counts = rows.groupBy(*keys, value).agg(F.count("*").alias("n")).withColumn("_b", F.floor(F.col(value) / width))
     ranges = counts.groupBy(*keys, "_b").agg(F.sum("n").alias("_size"))
@@ -138,30 +139,37 @@ def exact_percentiles(rows: DataFrame, keys: list[str], value: str, fractions: d
     placed = ranges.withColumns({
         "_below": F.coalesce(F.sum("_size").over(earlier), F.lit(0)), "_total": F.sum("_size").over(everything),
     })
-    rank = {n: (F.col("_total") - 1) * F.lit(f) for n, f in fractions.items()}
-    ends = [e(r) for r in rank.values() for e in (F.floor, F.ceil)]
+    scaled = {n: (F.col("_total") - 1) * p for n, p in percents.items()}
+    ranks = {(n, e): scalars.int_div(r + more, 100) for n, r in scaled.items() for e, more in (("low", 0), ("high", 99))}
     wanted = F.lit(False)
-    for e in ends:
-        wanted = wanted | ((e >= F.col("_below")) & (e < F.col("_below") + F.col("_size")))
+    for r in ranks.values():
+        wanted = wanted | ((r >= F.col("_below")) & (r < F.col("_below") + F.col("_size")))
     near = counts.join(placed.filter(wanted), [*keys, "_b"])
     upto = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranked = near.withColumn("_last", F.col("_below") + F.sum("n").over(upto) - 1)
     holds = lambda r: (r <= F.col("_last")) & (r > F.col("_last") - F.col("n"))
     found = ranked.groupBy(*keys).agg(
         F.first("_total").alias("_total"),
-        *[F.max(F.when(holds(e(r)), F.col(value))).alias(f"_{n}_{e.__name__}") for n, r in rank.items() for e in (F.floor, F.ceil)],
+        *[F.max(F.when(holds(r), F.col(value))).alias(f"_{n}_{e}") for (n, e), r in ranks.items()],
     )
-    part = lambda n: rank[n] - F.floor(rank[n])
     return found.select(*keys, *[
-        (F.col(f"_{n}_floor") + (F.col(f"_{n}_ceil") - F.col(f"_{n}_floor")) * part(n)).cast("double").alias(n) for n in fractions
+        (F.col(f"_{n}_low") * 100 + (F.col(f"_{n}_high") - F.col(f"_{n}_low")) * (scaled[n] % 100)).cast("bigint").alias(n) for n in percents
     ])
 
 
-def auto_window(slices: DataFrame, keys: list[str], value: str, low: float, high: float, width: int, draws: DataFrame | None = None) -> DataFrame:
-    """Mean low and high percentile over slices, or over drawn slices (with repeats)."""
-    per_slice = exact_percentiles(slices, keys, value, {"low": low / 100, "high": high / 100}, width)
+def rounded_mean(hundredths: str, digits: int) -> Column:
+    """Mean of whole hundredths, rounded half up to ``digits`` (2 or more) by whole-number arithmetic."""
+    total, n = F.sum(F.col(hundredths).cast("decimal(28,0)")), F.count(hundredths).cast("decimal(18,0)")
+    unit = 10 ** (digits - 2)
+    return F.floor((total * (2 * unit) + n) / (2 * n)).cast("bigint") / F.lit(float(10**digits))
+
+
+def auto_window(slices: DataFrame, keys: list[str], value: str, low: int, high: int, width: int, draws: DataFrame | None = None,
+                digits: int = 4) -> DataFrame:
+    """Mean low and high percentile over slices, or over drawn slices (with repeats), to ``digits`` places."""
+    per_slice = exact_percentiles(slices, keys, value, {"low": low, "high": high}, width)
     chosen = per_slice if draws is None else draws.join(per_slice, keys)
-    return chosen.agg(F.avg("low").alias("window_min"), F.avg("high").alias("window_max"))
+    return chosen.agg(rounded_mean("low", digits).alias("window_min"), rounded_mean("high", digits).alias("window_max"))
 
 
 def running_extremes(draws: DataFrame, step: str, low: list[str], high: list[str], bucket_width: int = 65536) -> DataFrame:

@@ -8,6 +8,10 @@ from ..functions import scalars
 
 VALUES = ("x", "y", "z", "nx", "ny", "nz")
 
+# Colours of label pictures, as red, green, blue.
+OFF_SHEET = (0, 51, 160)
+SHEET = (210, 180, 140)
+
 
 def is_mapped() -> Column:
     """Pixels with all six values zero hold no point."""
@@ -46,12 +50,12 @@ def from_grey_image(image: DataFrame, value: str, z: float = 0.0) -> DataFrame:
     """Flat surface, mask and labels of a grey image: 0 off the sheet (blue
     0, 51, 160), 1..254 sheet (tan 210, 180, 140), 255 ink (black)."""
     v = F.col(value)
-    rgb = lambda blue, tan: F.when(v == 0, blue).when(v < 255, tan).otherwise(0)
+    rgb = [F.when(v == 0, off).when(v < 255, on).otherwise(0).alias(c) for c, off, on in zip("rgb", OFF_SHEET, SHEET)]
     return image.select(
         "px", "py", F.col("px").cast("double").alias("x"), F.col("py").cast("double").alias("y"), F.lit(float(z)).alias("z"),
         F.lit(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"),
         F.when(v == 0, 0).otherwise(255).alias("mask"), F.when(v == 255, 255).otherwise(0).alias("ink"),
-        rgb(0, 210).alias("r"), rgb(51, 180).alias("g"), rgb(160, 140).alias("b"),
+        *rgb,
     )
 
 

@@ -145,24 +145,27 @@ def _(t):
 # --- run outputs --------------------------------------------------------------------
 
 PARSED = r"""
-parsed as (select event_id, path, split_part(path, '/', 2) as job_dir, cast(regexp_extract(split_part(path, '/', 2), '_(\d+)$', 1) as bigint) as n_from_k_fold,
-  regexp_extract(path, '([^/]*)_prediction_', 1) as region_name, regexp_extract(path, '_prediction_(final|\d+_\d+)_', 1) as iteration_str, 'ink_classes' as prediction_type from job_files),
+every_file as (select event_id, path, split_part(path, '/', 2) as job_dir, cast(regexp_extract(split_part(path, '/', 2), '_(\d+)$', 1) as bigint) as n_from_k_fold,
+  nullif(regexp_extract(path, '([^/]*)_prediction_', 1), '') as region_name, nullif(regexp_extract(path, '_prediction_(final|\d+_\d+)_', 1), '') as iteration_str,
+  case when contains(path, '_prediction_') then 'ink_classes' end as prediction_type, case when not contains(path, '_prediction_') then 'name' end as error from job_files),
+parsed as (select * exclude (error) from every_file where error is null),
 keyed as (select *, case when iteration_str = 'final' then 9223372036854775807 else cast(split_part(iteration_str, '_', 1) as bigint) * 10000000000 + cast(split_part(iteration_str, '_', 2) as bigint) end as k from parsed),
 named as (select *, replace(path, '.json', '') as region_name from sources),
 cataloged as (select p.*, s.ppm, s.invert_normals, s.training, s.prediction, s.validation, s.source_ord from keyed p join named s using (region_name))"""
 
 
 def outputs(t):
-    return catalog.parse_outputs(t.job_files)
+    return catalog.usable(catalog.parse_outputs(t.job_files))
 
 
 def cataloged(t):
-    return catalog.with_set_flags(outputs(t), t.sources)
+    return catalog.usable(catalog.with_set_flags(catalog.parse_outputs(t.job_files), t.sources))
 
 
-@query("job_name_parse", "event_id:l job_dir:s n_from_k_fold:l region_name:s iteration_str:s prediction_type:s", f"with {PARSED} select * from parsed", "job_files sources")
+@query("job_name_parse", "event_id:l job_dir:s n_from_k_fold:l region_name:s iteration_str:s prediction_type:s error:s", f"with {PARSED} select * from every_file", "job_files sources")
 def _(t):
-    return outputs(t)
+    """Names that do not fit show as errors."""
+    return catalog.parse_outputs(t.job_files)
 
 
 @query("job_order", "job_dir:s place:l", f"""
@@ -174,9 +177,13 @@ def _(t):
     return ordering.number_rows(jobs, F.col("n_from_k_fold"), ["n_from_k_fold", "job_dir"], "place")
 
 
-@query("prediction_catalog", "event_id:l region_name:s ppm:s invert_normals:b training:b prediction:b validation:b", f"with {PARSED} select * from cataloged", "job_files sources")
+@query("prediction_catalog", "event_id:l region_name:s ppm:s invert_normals:b training:b prediction:b validation:b error:s", f"""
+with {PARSED} select p.event_id, p.region_name, s.ppm, s.invert_normals, s.training, s.prediction, s.validation,
+       coalesce(p.error, case when s.ppm is null then 'region' end) as error
+from every_file p left join named s on s.region_name = p.region_name""", "job_files sources")
 def _(t):
-    return cataloged(t)
+    """Outputs without a source show as errors."""
+    return catalog.with_set_flags(catalog.parse_outputs(t.job_files), t.sources)
 
 
 @query("names_in_paths", "event_id:l region_name:s", """

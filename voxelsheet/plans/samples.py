@@ -387,7 +387,7 @@ def _(t):
     n, up = g.vec("nx", "ny", "nz"), g.Vec(zero, zero, one)
     return t.surface.select(
         "px", "py", g.dominant_axis(n).alias("axis"), F.round(g.angle_between(n, up), 6).alias("angle"),
-        F.abs(F.round(g.dot(n, g.perpendicular(n)), 6)).alias("px_dot"), F.round(g.length(g.cross(n, up)), 6).alias("cross_len"),
+        F.abs(F.round(g.dot(n, g.orthogonal(n)), 6)).alias("px_dot"), F.round(g.length(g.cross(n, up)), 6).alias("cross_len"),
     )
 
 

@@ -90,23 +90,34 @@ def _(t):
     return stacks.slice_numbers(t.slabs.select("slab", "z").distinct(), "slab", 4)
 
 
-@query("window_rescale", "slab:l z:l y:l x:l v:l", """
-with p as (select slab, z, quantile_cont(raw, 0.05) as low, quantile_cont(raw, 0.95) as high from slabs group by slab, z),
-w as (select round(avg(low), 3) as a, round(avg(high), 3) as b from p)
+def percentile_sql(percents: dict[str, int], tables: str = "slabs") -> str:
+    """Twin of the percentiles: per slice, whole hundredths by rank."""
+    at = lambda p, more: f"max(case when i = ((n - 1) * {p} + {more}) // 100 then raw end)"
+    parts = ", ".join(f"{at(p, 0)} * 100 + ({at(p, 99)} - {at(p, 0)}) * max((n - 1) * {p} % 100) as {name}" for name, p in percents.items())
+    return f"""ranked as (select slab, z, raw, row_number() over (partition by slab, z order by raw) - 1 as i, count(*) over (partition by slab, z) as n from {tables}),
+p as (select slab, z, {parts} from ranked group by slab, z)"""
+
+
+def mean_sql(name: str, digits: int) -> str:
+    return f"cast((sum({name}) * {2 * 10 ** (digits - 2)} + count({name})) // (2 * count({name})) as double) / {10 ** digits}e0"
+
+
+@query("window_rescale", "slab:l z:l y:l x:l v:l", f"""
+with {percentile_sql(dict(low=5, high=95))},
+w as (select {mean_sql('low', 3)} as a, {mean_sql('high', 3)} as b from p)
 select slab, z, y, x, cast(trunc(least(greatest((raw - a) / (b - a) * (65535e0 - 0e0) + 0e0, 0e0), 65535e0)) as bigint) as v from slabs, w""", "slabs")
 def _(t):
-    """Percentile window from the data, applied through two scalar subqueries."""
-    window = stacks.auto_window(t.slabs, ["slab", "z"], "raw", 5.0, 95.0, 65536)
-    low, high = (window.select(F.round(c, 3)).scalar() for c in ("window_min", "window_max"))
-    return stacks.rewindow(t.slabs.withColumnRenamed("raw", "v"), "v", (low, high))
+    """Percentile window from the data, both bounds from one scalar subquery."""
+    window = stacks.auto_window(t.slabs, ["slab", "z"], "raw", 5, 95, 65536, digits=3)
+    bounds = window.select(F.struct("window_min", "window_max")).scalar()
+    return stacks.rewindow(t.slabs.withColumnRenamed("raw", "v"), "v", (bounds["window_min"], bounds["window_max"]))
 
 
-@query("auto_window", "window_min:d window_max:d", """
-with p as (select slab, z, quantile_cont(raw, 0.01) as low, quantile_cont(raw, 0.99) as high from slabs group by slab, z)
-select round(avg(low), 4) as window_min, round(avg(high), 4) as window_max from p""", "slabs")
+@query("auto_window", "window_min:d window_max:d", f"""
+with {percentile_sql(dict(low=1, high=99))}
+select {mean_sql('low', 4)} as window_min, {mean_sql('high', 4)} as window_max from p""", "slabs")
 def _(t):
-    out = stacks.auto_window(t.slabs, ["slab", "z"], "raw", 1.0, 99.0, 65536)
-    return out.select(F.round("window_min", 4).alias("window_min"), F.round("window_max", 4).alias("window_max"))
+    return stacks.auto_window(t.slabs, ["slab", "z"], "raw", 1, 99, 65536)
 
 
 DRAWN = "draws as (select event_id as step, user_id % 6 as slab, event_id % 40 as z from events)"
@@ -119,12 +130,11 @@ def drawn(t):
 
 
 @query("drawn_window", "window_min:d window_max:d", f"""
-with p as (select slab, z, quantile_cont(raw, 0.01) as low, quantile_cont(raw, 0.99) as high from slabs group by slab, z), {DRAWN}
-select round(avg(low), 4) as window_min, round(avg(high), 4) as window_max from draws join p using (slab, z)""", "slabs")
+with {percentile_sql(dict(low=1, high=99))}, {DRAWN}
+select {mean_sql('low', 4)} as window_min, {mean_sql('high', 4)} as window_max from draws join p using (slab, z)""", "slabs")
 def _(t):
     """Slices drawn with replacement."""
-    out = stacks.auto_window(t.slabs, ["slab", "z"], "raw", 1.0, 99.0, 65536, drawn(t))
-    return out.select(F.round("window_min", 4).alias("window_min"), F.round("window_max", 4).alias("window_max"))
+    return stacks.auto_window(t.slabs, ["slab", "z"], "raw", 1, 99, 65536, drawn(t))
 
 
 BLUR = f"""
@@ -173,15 +183,16 @@ def _(t):
 
 
 @query("running_extremes", "step:l min_low:l max_high:l min_p1:d max_p99:d", f"""
-with p as (select slab, z, min(raw) as low, max(raw) as high, round(quantile_cont(raw, 0.01), 4) as p1, round(quantile_cont(raw, 0.99), 4) as p99 from slabs group by slab, z), {DRAWN},
+with {percentile_sql(dict(c1=1, c99=99)).replace('p as (', 'q as (')},
+p as (select slab, z, min(raw) as low, max(raw) as high, any_value(c1) / 100e0 as p1, any_value(c99) / 100e0 as p99 from slabs join q using (slab, z) group by slab, z), {DRAWN},
 r as (select step, low, high, p1, p99, min(low) over w as min_low, max(high) over w as max_high, min(p1) over w as min_p1, max(p99) over w as max_p99
       from draws join p using (slab, z) window w as (order by step rows between unbounded preceding and current row)),
 c as (select *, lag(min_low) over o as a, lag(max_high) over o as b, lag(min_p1) over o as c, lag(max_p99) over o as d from r window o as (order by step))
 select step, min_low, max_high, min_p1, max_p99 from c where a is null or min_low <> a or max_high <> b or min_p1 <> c or max_p99 <> d""", "slabs")
 def _(t):
     per_slice = t.slabs.groupBy("slab", "z").agg(F.min("raw").alias("low"), F.max("raw").alias("high"))
-    tails = stacks.exact_percentiles(t.slabs, ["slab", "z"], "raw", {"p1": 0.01, "p99": 0.99}, 65536)
-    tails = tails.withColumns({"p1": F.round("p1", 4), "p99": F.round("p99", 4)})
+    tails = stacks.exact_percentiles(t.slabs, ["slab", "z"], "raw", {"p1": 1, "p99": 99}, 65536)
+    tails = tails.withColumns({"p1": F.col("p1") / 100.0, "p99": F.col("p99") / 100.0})
     rows = drawn(t).join(per_slice.join(tails, ["slab", "z"]), ["slab", "z"])
     return stacks.running_extremes(rows, "step", ["low", "p1"], ["high", "p99"], bucket_width=4096)
 

@@ -10,6 +10,7 @@ from ..registry import query
 from ..session import scratch_path
 from ..streaming import jobs
 from .evaluation import WRITE_ORDER
+from .stacks import percentile_sql
 
 LOG = """
 log as (select *, case when batch % 50 = 0 then 1 else 0 end as flag from metrics),
@@ -121,29 +122,32 @@ def stream_of(t, name):
 
 
 @query("stream_reports", "start:s job:l metric:s sum100:l n:l", """
-with top as (select max(ts) - interval 10 minute as mark from metrics), w as (select time_bucket(interval 1 hour, ts) as start, job, metric, sum(value100) as sum100, count(*) as n from metrics group by all)
-select strftime(start, '%Y-%m-%d %H:%M:%S') as start, job, metric, sum100, n from w, top where start + interval 1 hour <= mark""", "metrics")
-def _(t):
-    """Windows the watermark has closed when the stream's data end."""
-    e = stream_of(t, "events")
-    log = e.select((F.col("user_id") % 3).cast("int").alias("job"), F.col("event_type").alias("metric"),
-                   F.round(F.col("value") * 100).cast("bigint").alias("value100"), F.col("ts").cast("timestamp").alias("ts"))
-    out = jobs.run_to_end(jobs.windowed_reports(log), "reports")
+select strftime(time_bucket(interval 1 hour, ts), '%Y-%m-%d %H:%M:%S') as start, job, metric, sum(value100) as sum100, count(*) as n from metrics
+group by time_bucket(interval 1 hour, ts), job, metric""", "metrics")
+def _(t):
+    """Windows the watermark has closed, and those still open when the stream's data end."""
+    def log(events):
+        return events.select((F.col("user_id") % 3).cast("int").alias("job"), F.col("event_type").alias("metric"),
+                             F.round(F.col("value") * 100).cast("bigint").alias("value100"), F.col("ts").cast("timestamp").alias("ts"))
+
+    closed = jobs.run_to_end(jobs.windowed_reports(log(stream_of(t, "events"))), "reports")
+    out = closed.unionByName(jobs.open_reports(closed, log(t.raw("events"))))
     return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("stream_extremes", "volume_id:l step:l low:d p_low:d high:d p_high:d", """
-with p as (select slab * 40 + z as step, slab % 2 as volume_id, min(raw) as low, round(quantile_cont(raw, 0.01), 4) as p_low, max(raw) as high, round(quantile_cont(raw, 0.99), 4) as p_high from slabs group by slab, z),
+@query("stream_extremes", "volume_id:l step:l low:d p_low:d high:d p_high:d", f"""
+with {percentile_sql(dict(c1=1, c99=99)).replace('p as (', 'q as (')},
+p as (select slab * 40 + z as step, slab % 2 as volume_id, min(raw) as low, any_value(c1) / 100e0 as p_low, max(raw) as high, any_value(c99) / 100e0 as p_high from slabs join q using (slab, z) group by slab, z),
 r as (select volume_id, step, min(low) over w as low, min(p_low) over w as p_low, max(high) over w as high, max(p_high) over w as p_high from p window w as (partition by volume_id order by step rows between unbounded preceding and current row)),
 c as (select *, lag(low) over o as a, lag(p_low) over o as b, lag(high) over o as c, lag(p_high) over o as d from r window o as (partition by volume_id order by step))
 select volume_id, step, low, p_low, high, p_high from c where a is null or a <> low or b <> p_low or c <> high or d <> p_high""", "slabs")
 def _(t):
     """Slice statistics are written as a table first and then followed as a stream."""
     per_slice = t.slabs.groupBy("slab", "z").agg(F.min("raw").cast("double").alias("low"), F.max("raw").cast("double").alias("high"))
-    tails = stacks.exact_percentiles(t.slabs, ["slab", "z"], "raw", {"p_low": 0.01, "p_high": 0.99}, 65536)
+    tails = stacks.exact_percentiles(t.slabs, ["slab", "z"], "raw", {"p_low": 1, "p_high": 99}, 65536)
     rows = per_slice.join(tails, ["slab", "z"]).select(
         (F.col("slab") % 2).cast("int").alias("volume_id"), (F.col("slab") * 40 + F.col("z")).cast("bigint").alias("step"), "low",
-        F.round("p_low", 4).alias("p_low"), "high", F.round("p_high", 4).alias("p_high"))
+        (F.col("p_low") / 100.0).alias("p_low"), "high", (F.col("p_high") / 100.0).alias("p_high"))
     path = scratch_path(t.spark, "slices")
     rows.write.parquet(path)
     return jobs.run_to_end(jobs.running_extremes(jobs.follow(t.spark, path, rows.schema)), "extremes")

@@ -45,12 +45,21 @@ def windowed_reports(log: DataFrame, every: str = "1 hour", lateness: str = "10
     Sums and counts are kept as whole numbers of hundredths, so late rows and
     restarts cannot change a result's last digit.
     """
-    marked = log.withWatermark("ts", lateness)
-    grouped = marked.groupBy(F.window("ts", every).alias("w"), "job", "metric")
+    return _reports(log.withWatermark("ts", lateness), every)
+
+
+def _reports(log: DataFrame, every: str) -> DataFrame:
+    grouped = log.groupBy(F.window("ts", every).alias("w"), "job", "metric")
     summed = grouped.agg(F.sum("value100").alias("sum100"), F.count("*").alias("n"))
     return summed.select(F.col("w.start").alias("start"), "job", "metric", "sum100", "n")
 
 
+def open_reports(closed: DataFrame, log: DataFrame, every: str = "1 hour") -> DataFrame:
+    """Windows the watermark had not closed when the stream ended, from the log's rows after the last closed one."""
+    end = closed.agg(F.max("start")).scalar() + F.expr(f"interval {every}")
+    return _reports(log.filter(F.coalesce(F.col("ts") >= end, F.lit(True))), every)
+
+
 class ExtremesProcessor(StatefulProcessor):
     """Keeps four extremes per key and emits a row whenever one changes."""
 

@@ -182,8 +182,10 @@ class Tables:
             "event_id",
             F.concat(
                 F.lit("out/2024-01-"), day, F.lit("_10.00.00_"), F.col("user_id") % 5,
-                F.lit("/predictions/n"), F.col("user_id") % 25, F.lit("_prediction_"), iteration,
-                F.lit("_ink_classes.png"),
+                F.lit("/predictions/"),
+                F.when(F.col("event_id") % 97 == 0, "notes.txt").otherwise(F.concat(
+                    F.lit("n"), F.when(F.col("event_id") % 89 == 0, 99).otherwise(F.col("user_id") % 25), F.lit("_prediction_"), iteration,
+                    F.lit("_ink_classes.png"))),
             ).alias("path"),
         )
 
@@ -257,9 +259,10 @@ CTES = {
         from nation""",
     "job_files": """
         select event_id, concat('out/2024-01-', case when user_id % 28 < 9 then '0' else '' end, cast(user_id % 28 + 1 as varchar),
-               '_10.00.00_', cast(user_id % 5 as varchar), '/predictions/n', cast(user_id % 25 as varchar), '_prediction_',
+               '_10.00.00_', cast(user_id % 5 as varchar), '/predictions/',
+               case when event_id % 97 = 0 then 'notes.txt' else concat('n', cast(case when event_id % 89 = 0 then 99 else user_id % 25 end as varchar), '_prediction_',
                case when event_id % 11 = 0 then 'final' else concat(cast(event_id % 4 as varchar), '_', cast(event_id % 200 as varchar)) end,
-               '_ink_classes.png') as path
+               '_ink_classes.png') end) as path
         from events""",
     "requests": """
         select s_suppkey as request_id, 0 as volume_id, (s_suppkey % 100) * 1.0e0 as cx, (s_suppkey % 90) * 1.0e0 as cy, 3.0e0 as cz,
