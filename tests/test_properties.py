@@ -161,6 +161,28 @@ def test_blur_equals_brute_force(spark, height, width):
         assert row.v == pytest.approx(sum(w[k + 12] * down[row.py, reflect(row.px + k, width)] for k in range(-12, 13)))
 
 
+@pytest.mark.parametrize("tile", [3, 5, 64])
+def test_tiles_do_not_show(spark, tile):
+    """Blur, median and statistics are the same whatever the tile size, with absent pixels as 0."""
+    rng = np.random.default_rng(8)
+    height, width = 11, 17
+    cells = [(z, int(y), int(x), int(rng.integers(1, 9000))) for z in range(3) for y in range(height) for x in range(width) if rng.random() < 0.1 * z + 0.02]
+    df = spark.createDataFrame(cells, "z int, py int, px int, v int")
+    full = {z: np.zeros((height, width), int) for z in sorted({c[0] for c in cells})}
+    for z, y, x, v in cells:
+        full[z][y, x] = v
+    w = stencils.gaussian_weights(3.0)
+    blurred = {z: stencils.blur_patch(np.pad(a, 12, mode="symmetric"), w) for z, a in full.items()}
+    medians = {z: np.median(np.stack([np.pad(a, 1, mode="symmetric")[i:i + height, j:j + width] for i in range(3) for j in range(3)]), axis=0) for z, a in full.items()}
+    for made, want in ((stencils.gaussian_blur(df, ["z"], "v", width, height, tile=tile), blurred), (stencils.dense(df, ["z"], "v", width, height, tile=tile), full),
+                       (stencils.median3(df, ["z"], "v", width, height, tile=tile), medians)):
+        rows = made.collect()
+        assert len(rows) == len(full) * height * width and all(r.v == want[r.z][r.py, r.px] for r in rows)
+    for r in stencils.raw_and_blurred(df, ["z"], "v", width, height, tile=tile).collect():
+        for a, got in ((full[r.z], (r.min, r.max, r.mean)), (blurred[r.z], (r.blurred_min, r.blurred_max, r.blurred_mean))):
+            assert got == (a.min(), a.max(), pytest.approx(a.mean()))
+
+
 def test_dense_blocks_keep_empty_keys(spark):
     df = spark.createDataFrame([(1, 2, 5), (1, 0, 7), (2, None, None)], "k int, cell int, v int")
     rows = blocks.dense_blocks(df, ["k"], "cell", "v", 3, F.col("cell").isNotNull()).orderBy("k").collect()

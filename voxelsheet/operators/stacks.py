@@ -111,10 +111,10 @@ def slice_stats(image: DataFrame, keys: list[str], value: str, prefix: str = "")
     )
 
 
-def raw_and_blurred_stats(image: DataFrame, keys: list[str], value: str, width: int, height: int, sigma: float = 3.0) -> DataFrame:
-    """Statistics of each slice and of its blur."""
-    blurred = stencils.gaussian_blur(image, keys, value, width, height, sigma)
-    return slice_stats(image, keys, value).join(slice_stats(blurred, keys, value, "blurred_"), keys)
+def raw_and_blurred_stats(image: DataFrame, keys: list[str], value: str, width: int, height: int, sigma: float = 3.0,
+                          px: str = "px", py: str = "py") -> DataFrame:
+    """Statistics of each slice and of its blur; absent pixels count as 0."""
+    return stencils.raw_and_blurred(image, keys, value, width, height, sigma, px, py)
 
 
 def global_stats(per_slice: DataFrame, prefixes=("", "blurred_")) -> DataFrame:
@@ -202,20 +202,24 @@ def slice_windows(images: DataFrame, keys: list[str], count: int, length: int, w
     return kept.withColumn("px", F.col("px") + F.col("_j") * width).drop("_j", "z")
 
 
-def mutual_information(pairs: DataFrame, keys: list[str], a: str, b: str, bins: int = 20) -> DataFrame:
-    """From the joint histogram over each image's own value range; flat images have one bin.
+def binned(image: DataFrame, keys: list[str], value: str, bins: int = 20) -> DataFrame:
+    """``value`` replaced by its bin over the image's own value range; a flat image has one bin.
 
-    Histogram cells (at most bins^2 per image) are all that leaves the first
-    aggregate.
+    Images that are compared cover the same pixels, so their ranges are known before they meet.
     """
-    spans = pairs.groupBy(*keys).agg(F.min(a).alias("_a0"), F.max(a).alias("_a1"), F.min(b).alias("_b0"), F.max(b).alias("_b1"))
+    spans = image.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    spread = F.when(F.col("_high") > F.col("_low"), F.floor((F.col(value) - F.col("_low")) * bins / (F.col("_high") - F.col("_low"))))
+    place = F.least(F.coalesce(spread, F.lit(bins // 2)), F.lit(bins - 1))
+    return image.join(spans, keys).withColumn(value, place).drop("_low", "_high")
+
 
-    def cell(v, low, high):
-        spread = F.when(F.col(high) > F.col(low), F.floor((F.col(v) - F.col(low)) * bins / (F.col(high) - F.col(low))))
-        return F.least(F.coalesce(spread, F.lit(bins // 2)), F.lit(bins - 1))
+def mutual_information(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """From the joint histogram of two binned images.
 
-    binned = pairs.join(spans, keys).select(*keys, cell(a, "_a0", "_a1").alias("_x"), cell(b, "_b0", "_b1").alias("_y"))
-    joint = binned.groupBy(*keys, "_x", "_y").agg(F.count("*").alias("n"))
+    Histogram cells (at most bins^2 per image) are all that leaves the first
+    aggregate.
+    """
+    joint = pairs.select(*keys, F.col(a).alias("_x"), F.col(b).alias("_y")).groupBy(*keys, "_x", "_y").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy(*keys))
     sized = joint.select(
         *keys, (F.col("n") / total).alias("p"), (F.sum("n").over(Window.partitionBy(*keys, "_x")) / total).alias("px"),
@@ -233,17 +237,20 @@ def pearson(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
 COMPARISONS = {"mutual_information": mutual_information, "pearson": pearson}
 
 
-def overlap_scores(moving: DataFrame, fixed: DataFrame, pair: list[str], function: str) -> DataFrame:
-    """Score of every moving window against its pair's fixed window.
+def overlap_scores(moving: DataFrame, fixed: DataFrame, pair: list[str], function: str, width: int, height: int) -> DataFrame:
+    """Score of every moving window against its pair's fixed window, both ``width`` x ``height``.
 
     ``moving`` has ``pair, start, px, py, v``; ``fixed`` the same without
-    ``start``. Pearson compares 3x3 medians, as the images must be dense.
+    ``start``; all pixels must be there. Pearson compares 3x3 medians. The two
+    sides meet in one join, after what each needs alone.
     """
     if function not in COMPARISONS:
         raise ValueError(f"unknown comparison {function!r}")
     if function == "pearson":
-        moving = stencils.median3(moving, [*pair, "start"], "v")
-        fixed = stencils.median3(fixed, pair, "v")
+        moving = stencils.median3(moving, [*pair, "start"], "v", width, height)
+        fixed = stencils.median3(fixed, pair, "v", width, height)
+    else:
+        moving, fixed = binned(moving, [*pair, "start"], "v"), binned(fixed, pair, "v")
     pairs = moving.join(fixed.withColumnRenamed("v", "w"), [*pair, "px", "py"])
     return COMPARISONS[function](pairs, [*pair, "start"], "v", "w")
 

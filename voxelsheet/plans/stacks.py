@@ -147,15 +147,10 @@ over_at as (select z, y, x, w, ((x + o) % 256 + 256) % 256 as m from down, kerne
 blurred as (select a.z, a.y, a.x, cast(floor(sum(w * d.v) + 1e-6) as bigint) as v from over_at a join down d on d.z = a.z and d.y = a.y and d.x = case when m < 128 then m else 255 - m end group by all)"""
 
 
-def dense_volume(t):
-    _, height, width = t.volume_shape
-    return stencils.dense(t.voxels, ["z"], "v", width, height, "x", "y")
-
-
 @query("gaussian_blur", "z:l y:l x:l v:l", f"with {BLUR} select * from blurred", "voxels volume_shape")
 def _(t):
     _, height, width = t.volume_shape
-    return stencils.gaussian_blur(dense_volume(t), ["z"], "v", width, height, 3.0, px="x", py="y")
+    return stencils.gaussian_blur(t.voxels, ["z"], "v", width, height, 3.0, px="x", py="y")
 
 
 @query("slice_stats", "z:l min:l max:l mean:d blurred_min:l blurred_max:l blurred_mean:d", f"""
@@ -168,9 +163,7 @@ def _(t):
 
 def volume_stats(t):
     _, height, width = t.volume_shape
-    image = dense_volume(t)
-    blurred = stencils.gaussian_blur(image, ["z"], "v", width, height, 3.0, px="x", py="y")
-    return stacks.slice_stats(image, ["z"], "v").join(stacks.slice_stats(blurred, ["z"], "v", "blurred_"), ["z"])
+    return stacks.raw_and_blurred_stats(t.voxels, ["z"], "v", width, height, 3.0, px="x", py="y")
 
 
 @query("global_stats", "min:l max:l mean:d blurred_min:l blurred_max:l blurred_mean:d", f"""
@@ -182,19 +175,41 @@ def _(t):
     return stacks.global_stats(volume_stats(t)).withColumns({"mean": F.round("mean", 6), "blurred_mean": F.round("blurred_mean", 6)})
 
 
-@query("running_extremes", "step:l min_low:l max_high:l min_p1:d max_p99:d", f"""
-with {percentile_sql(dict(c1=1, c99=99)).replace('p as (', 'q as (')},
-p as (select slab, z, min(raw) as low, max(raw) as high, any_value(c1) / 100e0 as p1, any_value(c99) / 100e0 as p99 from slabs join q using (slab, z) group by slab, z), {DRAWN},
-r as (select step, low, high, p1, p99, min(low) over w as min_low, max(high) over w as max_high, min(p1) over w as min_p1, max(p99) over w as max_p99
-      from draws join p using (slab, z) window w as (order by step rows between unbounded preceding and current row)),
-c as (select *, lag(min_low) over o as a, lag(max_high) over o as b, lag(min_p1) over o as c, lag(max_p99) over o as d from r window o as (order by step))
-select step, min_low, max_high, min_p1, max_p99 from c where a is null or min_low <> a or max_high <> b or min_p1 <> c or max_p99 <> d""", "slabs")
-def _(t):
-    per_slice = t.slabs.groupBy("slab", "z").agg(F.min("raw").alias("low"), F.max("raw").alias("high"))
+SLAB_BLUR = f"""
+taps(o, w) as (values {', '.join(f'({k - 12}, {w!r}e0)' if 'e' not in repr(w) else f'({k - 12}, {w!r})' for k, w in enumerate(stencils.gaussian_weights(3.0)))}),
+full_slabs as (select s.i as slab, z.i as z, y.i as y, x.i as x, coalesce(v.raw, 0) as v from (select distinct slab, z from slabs) k join range(6) s(i) on s.i = k.slab join range(40) z(i) on z.i = k.z,
+               range(16) y(i), range(7) x(i) left join slabs v on v.slab = s.i and v.z = z.i and v.y = y.i and v.x = x.i + 1),
+slab_down as (select a.slab, a.z, a.y, a.x, cast(floor(sum(w * d.v) + 1e-6) as bigint) as v from (select *, ((y + o) % 32 + 32) % 32 as m from full_slabs, taps) a
+              join full_slabs d on d.slab = a.slab and d.z = a.z and d.x = a.x and d.y = case when m < 16 then m else 31 - m end group by all),
+slab_blur as (select a.slab, a.z, a.y, a.x, cast(floor(sum(w * d.v) + 1e-6) as bigint) as v from (select *, ((x + o) % 14 + 14) % 14 as m from slab_down, taps) a
+              join slab_down d on d.slab = a.slab and d.z = a.z and d.y = a.y and d.x = case when m < 7 then m else 13 - m end group by all),
+six as (select slab, z, min(f.v) as low, max(f.v) as high, any_value(c1) / 100e0 as p1, any_value(c99) / 100e0 as p99, any_value(b.low) as b_low, any_value(b.high) as b_high
+        from full_slabs f join q using (slab, z) join (select slab, z, min(v) as low, max(v) as high from slab_blur group by slab, z) b using (slab, z) group by slab, z)"""
+SIX_SQL = f"{percentile_sql(dict(c1=1, c99=99)).replace('p as (', 'q as (')},{SLAB_BLUR}"
+
+
+def slab_image(t):
+    return t.slabs.select("slab", "z", F.col("y").alias("py"), (F.col("x") - 1).alias("px"), F.col("raw").alias("v"))
+
+
+def six_extremes(t):
+    """Per slice: extremes (absent pixels are 0), 1 % and 99 % percentile of the pixels there are, extremes of the blur."""
     tails = stacks.exact_percentiles(t.slabs, ["slab", "z"], "raw", {"p1": 1, "p99": 99}, 65536)
-    tails = tails.withColumns({"p1": F.col("p1") / 100.0, "p99": F.col("p99") / 100.0})
-    rows = drawn(t).join(per_slice.join(tails, ["slab", "z"]), ["slab", "z"])
-    return stacks.running_extremes(rows, "step", ["low", "p1"], ["high", "p99"], bucket_width=4096)
+    stats = stencils.raw_and_blurred(slab_image(t), ["slab", "z"], "v", 7, 16)
+    return stats.join(tails, ["slab", "z"]).select(
+        "slab", "z", F.col("min").alias("low"), F.col("max").alias("high"), (F.col("p1") / 100.0).alias("p1"), (F.col("p99") / 100.0).alias("p99"),
+        F.col("blurred_min").alias("b_low"), F.col("blurred_max").alias("b_high"))
+
+
+@query("running_extremes", "step:l min_low:l max_high:l min_p1:d max_p99:d min_b_low:l max_b_high:l", f"""
+with {SIX_SQL}, {DRAWN},
+r as (select step, min(low) over w as min_low, max(high) over w as max_high, min(p1) over w as min_p1, max(p99) over w as max_p99, min(b_low) over w as min_b_low, max(b_high) over w as max_b_high
+      from draws join six using (slab, z) window w as (order by step rows between unbounded preceding and current row)),
+c as (select *, row(min_low, max_high, min_p1, max_p99, min_b_low, max_b_high) as now, lag(row(min_low, max_high, min_p1, max_p99, min_b_low, max_b_high)) over (order by step) as before from r)
+select step, min_low, max_high, min_p1, max_p99, min_b_low, max_b_high from c where before is null or now <> before""", "slabs")
+def _(t):
+    rows = drawn(t).join(six_extremes(t), ["slab", "z"])
+    return stacks.running_extremes(rows, "step", ["low", "p1", "b_low"], ["high", "p99", "b_high"], bucket_width=4096)
 
 
 # --- overlap and merge ------------------------------------------------------------
@@ -209,15 +224,14 @@ fixed as (select slab + 1 as pair, py, px + 7 * z as px, v as w from dense where
 
 
 def dense_slabs(t):
-    image = t.slabs.select("slab", "z", F.col("y").alias("py"), (F.col("x") - 1).alias("px"), F.col("raw").alias("v"))
-    return stencils.dense(image, ["slab", "z"], "v", 7, 16)
+    return stencils.dense(slab_image(t), ["slab", "z"], "v", 7, 16)
 
 
 def overlap(t, n, function):
     image = dense_slabs(t).withColumn("v", F.col("v").cast("bigint"))
     moving = stacks.slice_windows(image.filter("slab >= 1").withColumnRenamed("slab", "pair"), ["pair"], SLAB_DEPTH, n, 7)
     fixed = stacks.slice_windows(image.filter("slab <= 4").withColumn("pair", F.col("slab") + 1).drop("slab"), ["pair"], n, n, 7)
-    return stacks.overlap_scores(moving, fixed.filter("start = 0").drop("start"), ["pair"], function)
+    return stacks.overlap_scores(moving, fixed.filter("start = 0").drop("start"), ["pair"], function, 7 * n, 16)
 
 
 @query("mutual_information", "pair:l start:l score:d", f"""
@@ -240,7 +254,7 @@ med as (select a.slab, a.z, a.py, a.px, list_sort(list(b.v))[5] as v from (selec
 
 @query("median3", "slab:l z:l py:l px:l v:l", f"with {DENSE_SLABS}, {MEDIAN} select * from med", "slabs")
 def _(t):
-    return stencils.median3(dense_slabs(t), ["slab", "z"], "v")
+    return stencils.median3(slab_image(t), ["slab", "z"], "v", 7, 16)
 
 
 @query("pearson_top_k", "pair:l start:l score:d rank:l", f"""

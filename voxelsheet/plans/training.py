@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import chance
-from ..operators import models, stacks, training
+from ..operators import models, training
 from ..registry import query
 from ..session import scratch_path
 from ..streaming import jobs
 from .evaluation import WRITE_ORDER
-from .stacks import percentile_sql
+from .stacks import SIX_SQL, six_extremes
 
 LOG = """
 log as (select *, case when batch % 50 = 0 then 1 else 0 end as flag from metrics),
@@ -135,22 +135,21 @@ def _(t):
     return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("stream_extremes", "volume_id:l step:l low:d p_low:d high:d p_high:d", f"""
-with {percentile_sql(dict(c1=1, c99=99)).replace('p as (', 'q as (')},
-p as (select slab * 40 + z as step, slab % 2 as volume_id, min(raw) as low, any_value(c1) / 100e0 as p_low, max(raw) as high, any_value(c99) / 100e0 as p_high from slabs join q using (slab, z) group by slab, z),
-r as (select volume_id, step, min(low) over w as low, min(p_low) over w as p_low, max(high) over w as high, max(p_high) over w as p_high from p window w as (partition by volume_id order by step rows between unbounded preceding and current row)),
-c as (select *, lag(low) over o as a, lag(p_low) over o as b, lag(high) over o as c, lag(p_high) over o as d from r window o as (partition by volume_id order by step))
-select volume_id, step, low, p_low, high, p_high from c where a is null or a <> low or b <> p_low or c <> high or d <> p_high""", "slabs")
+@query("stream_extremes", "volume_id:l step:l low:d p_low:d b_low:d high:d p_high:d b_high:d", f"""
+with {SIX_SQL},
+p as (select slab * 40 + z as step, slab % 2 as volume_id, low, p1 as p_low, b_low, high, p99 as p_high, b_high from six),
+r as (select volume_id, step, min(low) over w as low, min(p_low) over w as p_low, min(b_low) over w as b_low, max(high) over w as high, max(p_high) over w as p_high, max(b_high) over w as b_high
+      from p window w as (partition by volume_id order by step rows between unbounded preceding and current row)),
+c as (select *, row(low, p_low, b_low, high, p_high, b_high) as now, lag(row(low, p_low, b_low, high, p_high, b_high)) over (partition by volume_id order by step) as before from r)
+select volume_id, step, low, p_low, b_low, high, p_high, b_high from c where before is null or now <> before""", "slabs")
 def _(t):
     """Slice statistics are written as a table first and then followed as a stream."""
-    per_slice = t.slabs.groupBy("slab", "z").agg(F.min("raw").cast("double").alias("low"), F.max("raw").cast("double").alias("high"))
-    tails = stacks.exact_percentiles(t.slabs, ["slab", "z"], "raw", {"p_low": 1, "p_high": 99}, 65536)
-    rows = per_slice.join(tails, ["slab", "z"]).select(
-        (F.col("slab") % 2).cast("int").alias("volume_id"), (F.col("slab") * 40 + F.col("z")).cast("bigint").alias("step"), "low",
-        (F.col("p_low") / 100.0).alias("p_low"), "high", (F.col("p_high") / 100.0).alias("p_high"))
+    rows = six_extremes(t).select(
+        (F.col("slab") % 2).cast("int").alias("volume_id"), (F.col("slab") * 40 + F.col("z")).cast("bigint").alias("step"),
+        *[F.col(c).cast("double").alias(n) for c, n in (("low", "low"), ("p1", "p_low"), ("b_low", "b_low"), ("high", "high"), ("p99", "p_high"), ("b_high", "b_high"))])
     path = scratch_path(t.spark, "slices")
     rows.write.parquet(path)
-    return jobs.run_to_end(jobs.running_extremes(jobs.follow(t.spark, path, rows.schema)), "extremes")
+    return jobs.run_to_end(jobs.running_extremes(jobs.follow(t.spark, path, rows.schema, files_per_trigger=64)), "extremes")
 
 
 @query("stream_upserts", "region:l epoch:l px:l py:l p255:l", """

@@ -9,6 +9,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -60,40 +61,45 @@ def open_reports(closed: DataFrame, log: DataFrame, every: str = "1 hour") -> Da
     return _reports(log.filter(F.coalesce(F.col("ts") >= end, F.lit(True))), every)
 
 
+LOW = ("low", "p_low", "b_low")
+HIGH = ("high", "p_high", "b_high")
+
+
 class ExtremesProcessor(StatefulProcessor):
-    """Keeps four extremes per key and emits a row whenever one changes."""
+    """Keeps six extremes per key and emits a row whenever one changes.
 
-    LOW = ("low", "p_low")
-    HIGH = ("high", "p_high")
+    Rows of a micro-batch are put in order of their step; a file holds whole
+    ranges of steps, and files per trigger bound what is held at once.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "low double, p_low double, high double, p_high double")
+        self.seen = handle.getValueState("seen", ", ".join(f"{c} double" for c in (*LOW, *HIGH)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.seen.get() if self.seen.exists() else None
-        now = list(state) if state is not None else [float("inf")] * 2 + [float("-inf")] * 2
+        now = list(self.seen.get()) if self.seen.exists() else [float("inf")] * 3 + [float("-inf")] * 3
         # One row per slice arrives here, never voxels.
         batch = pd.concat(rows).sort_values("step", kind="stable")
-        out = []
-        for row in batch.itertuples(index=False):
-            new = [min(now[0], row.low), min(now[1], row.p_low), max(now[2], row.high), max(now[3], row.p_high)]
-            if new != now:
-                out.append((key[0], row.step, *new))
-                now = new
-        self.seen.update(tuple(now))
-        yield pd.DataFrame(out, columns=["volume_id", "step", *self.LOW, *self.HIGH])
+        values = np.vstack([now, batch[[*LOW, *HIGH]].to_numpy(float)])
+        values[:, :3] = np.minimum.accumulate(values[:, :3])
+        values[:, 3:] = np.maximum.accumulate(values[:, 3:])
+        changed = (values[1:] != values[:-1]).any(axis=1)
+        self.seen.update(tuple(float(v) for v in values[-1]))
+        out = pd.DataFrame(values[1:][changed], columns=[*LOW, *HIGH])
+        out.insert(0, "step", batch["step"].to_numpy()[changed])
+        out.insert(0, "volume_id", key[0])
+        yield out
 
     def close(self) -> None:
         pass
 
 
 def running_extremes(slices: DataFrame) -> DataFrame:
-    """``slices``: volume_id, step, low, p_low, high, p_high; one row per slice."""
+    """``slices``: volume_id, step and the six values; one row per slice."""
     slices.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     # The runner that starts stateful processors does not see shipped files.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     return slices.groupBy("volume_id").transformWithStateInPandas(
-        ExtremesProcessor(), "volume_id int, step long, low double, p_low double, high double, p_high double", "Append", "None"
+        ExtremesProcessor(), "volume_id int, step long, " + ", ".join(f"{c} double" for c in (*LOW, *HIGH)), "Append", "None"
     )
 
 
