@@ -2,12 +2,13 @@
 
 import json
 import os
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxelsheet.functions import ordering
+from voxelsheet.functions import ordering, tensors
 from voxelsheet.operators import blocks, bricks, catalog, datasets, gather, manifests, models, patches, regions, stacks, stamps, stencils
 from voxelsheet.sources import surface_maps, tables, volumes
 
@@ -183,6 +184,23 @@ def test_tiles_do_not_show(spark, tile):
             assert got == (a.min(), a.max(), pytest.approx(a.mean()))
 
 
+def test_permutations_of_large_blocks(spark):
+    """Building and running all turns of the default sample shape takes seconds, and agrees with numpy."""
+    shape = (48, 48, 48)
+    block = np.random.default_rng(3).integers(0, 65536, shape)
+    df = spark.createDataFrame([(block.ravel().tolist(),)], "b array<int>")
+    started = time.time()
+    columns = [tensors.turn_and_mirror(F.col("b"), shape, k, m).alias(f"t{k}{int(m)}") for k in range(4) for m in (False, True)]
+    row = df.select(*columns, tensors.mirror_x(F.col("b"), shape).alias("x"), tensors.mirror_y(F.col("b"), shape).alias("y"),
+                    *[c.alias(f"c{i}") for i, c in enumerate(tensors.central_slices(F.col("b"), shape))]).first()
+    assert time.time() - started < 30
+    for k in range(4):
+        turned = np.rot90(block, k, axes=(1, 2))
+        assert row[f"t{k}0"] == turned.ravel().tolist() and row[f"t{k}1"] == turned[:, :, ::-1].ravel().tolist()
+    assert row.x == block[:, :, ::-1].ravel().tolist() and row.y == block[:, ::-1].ravel().tolist()
+    assert row.c0 == block[24].ravel().tolist() and row.c1 == block[:, 24].ravel().tolist() and row.c2 == block[:, :, 24].ravel().tolist()
+
+
 def test_dense_blocks_keep_empty_keys(spark):
     df = spark.createDataFrame([(1, 2, 5), (1, 0, 7), (2, None, None)], "k int, cell int, v int")
     rows = blocks.dense_blocks(df, ["k"], "cell", "v", 3, F.col("cell").isNotNull()).orderBy("k").collect()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .scalars import unflatten
+
 
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once.
@@ -14,21 +16,22 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _permute(block: Column, order: list[int]) -> Column:
-    """Reorder with a literal index list: one array pass per row."""
-    index = F.array(*[F.lit(i + 1) for i in order])
-    return let(block, lambda b: F.transform(index, lambda i: F.element_at(b, i)))
-
+def _gather(block: Column, shape, source) -> Column:
+    """A block of ``shape`` whose cell (z, y, x) is cell ``source(z, y, x)`` (a flat index) of ``block``.
 
-def _order(shape, source):
+    Indices are worked out per cell, so the expression has the same size for every shape.
+    """
     nz, ny, nx = shape
-    out = []
-    for z in range(nz):
-        for y in range(ny):
-            for x in range(nx):
-                sz, sy, sx = source(z, y, x)
-                out.append((sz * ny + sy) * nx + sx)
-    return out
+    places = F.sequence(F.lit(0), F.lit(nz * ny * nx - 1))
+
+    def cell(b):
+        def at(i):
+            z, y, x = unflatten(i, ny, nx)
+            return F.element_at(b, (source(z, y, x) + 1).cast("int"))
+
+        return F.transform(places, at)
+
+    return let(block, cell)
 
 
 def turn_and_mirror(block: Column, shape, turns: int = 0, mirror: bool = False) -> Column:
@@ -42,9 +45,9 @@ def turn_and_mirror(block: Column, shape, turns: int = 0, mirror: bool = False)
             x = n - 1 - x
         for _ in range(turns % 4):
             y, x = x, n - 1 - y
-        return z, y, x
+        return (z * n + y) * n + x
 
-    return _permute(block, _order(shape, source))
+    return _gather(block, shape, source)
 
 
 def undo_turn_and_mirror(block: Column, shape, turns: int = 0, mirror: bool = False) -> Column:
@@ -54,12 +57,12 @@ def undo_turn_and_mirror(block: Column, shape, turns: int = 0, mirror: bool = Fa
 
 def mirror_x(block: Column, shape) -> Column:
     nz, ny, nx = shape
-    return _permute(block, _order(shape, lambda z, y, x: (z, y, nx - 1 - x)))
+    return _gather(block, shape, lambda z, y, x: (z * ny + y) * nx + (nx - 1 - x))
 
 
 def mirror_y(block: Column, shape) -> Column:
     nz, ny, nx = shape
-    return _permute(block, _order(shape, lambda z, y, x: (z, ny - 1 - y, x)))
+    return _gather(block, shape, lambda z, y, x: (z * ny + (ny - 1 - y)) * nx + x)
 
 
 def central_slices(block: Column, shape) -> tuple[Column, Column, Column]:
@@ -67,8 +70,8 @@ def central_slices(block: Column, shape) -> tuple[Column, Column, Column]:
     nz, ny, nx = shape
     z, y, x = nz // 2, ny // 2, nx // 2
     by_z = F.slice(block, z * ny * nx + 1, ny * nx)
-    by_y = _permute(block, [(i * ny + y) * nx + j for i in range(nz) for j in range(nx)])
-    by_x = _permute(block, [(i * ny + j) * nx + x for i in range(nz) for j in range(ny)])
+    by_y = _gather(block, (1, nz, nx), lambda _, i, j: (i * ny + y) * nx + j)
+    by_x = _gather(block, (1, nz, ny), lambda _, i, j: (i * ny + j) * nx + x)
     return by_z, by_y, by_x
 
 

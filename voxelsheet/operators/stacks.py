@@ -140,7 +140,7 @@ def exact_percentiles(rows: DataFrame, keys: list[str], value: str, percents: di
         "_below": F.coalesce(F.sum("_size").over(earlier), F.lit(0)), "_total": F.sum("_size").over(everything),
     })
     scaled = {n: (F.col("_total") - 1) * p for n, p in percents.items()}
-    ranks = {(n, e): scalars.int_div(r + more, 100) for n, r in scaled.items() for e, more in (("low", 0), ("high", 99))}
+    ranks = {(n, e): F.call_function("div", r + more, F.lit(100)) for n, r in scaled.items() for e, more in (("low", 0), ("high", 99))}
     wanted = F.lit(False)
     for r in ranks.values():
         wanted = wanted | ((r >= F.col("_below")) & (r < F.col("_below") + F.col("_size")))
