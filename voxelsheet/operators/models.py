@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
@@ -31,6 +31,12 @@ def channel_regressors(**params) -> Pipeline:
     return Pipeline(stages=[LinearRegression(featuresCol="features", labelCol=c, predictionCol=f"{c}_pred", **params) for c in CHANNELS])
 
 
+def texture_head(scores: str, **params) -> Pipeline:
+    """Texture from a column of ink scores alone."""
+    return Pipeline(stages=[VectorAssembler(inputCols=[scores], outputCol="_score"),
+                            LinearRegression(featuresCol="_score", labelCol="texture", predictionCol="texture_pred", **params)])
+
+
 def texture_regressor(**params) -> Pipeline:
     """Texture from ink scores: a linear model on the classifier's probability."""
     return Pipeline(stages=[
@@ -49,6 +55,7 @@ MODELS: dict[str, tuple[Callable[..., Pipeline], tuple[str, ...]]] = {
     "ink_perceptron": (perceptron, ("ink_classes",)),
     "rgb_regressor": (channel_regressors, ("rgb_values",)),
     "texture_from_ink": (texture_regressor, ("ink_classes", "volcart_texture")),
+    "texture_head": (texture_head, ("volcart_texture",)),
     "autoencoder": (components, ("autoencoded",)),
 }
 
@@ -74,10 +81,24 @@ def score_ink(model: PipelineModel, samples: DataFrame, block: str) -> DataFrame
     return scored.select(*rest, vector_to_array("probability")[1].alias("p1"))
 
 
-def score_averaged(model: PipelineModel, samples: DataFrame, block: str, shape, keys: list[str], averaging: bool = True) -> DataFrame:
-    """Mean probability over turned and mirrored copies of each sample."""
+Score = Callable[[DataFrame, str], DataFrame]
+
+
+def ink_scorer(model: PipelineModel) -> Score:
+    return lambda samples, block: score_ink(model, samples, block)
+
+
+def score_averaged(score: Score, samples: DataFrame, block: str, shape, keys: list[str], averaging: bool = True) -> DataFrame:
+    """Mean probability over turned and mirrored copies of each sample; ``score`` adds ``p1`` to rows with a block."""
     rows = augment.variant_rows(samples.select(*keys, block), block, shape, averaging)
-    return augment.merge_variants(score_ink(model, rows, block), keys, "p1")
+    return augment.merge_variants(score(rows, block), keys, "p1")
+
+
+def optimality(scored: DataFrame, block: str, p1: str = "p1", label: str = "ink") -> DataFrame:
+    """One row: the largest component of the mean log-likelihood gradient; 0 at the optimum of an unpenalised fit."""
+    miss = F.col(p1) - F.col(label)
+    per_cell = scored.select(F.posexplode(block).alias("cell", "v"), miss.alias("m")).groupBy("cell").agg(F.abs(F.avg(F.col("v") * F.col("m"))).alias("g"))
+    return per_cell.agg(F.max("g").alias("gradient"))
 
 
 def reconstruct(model: PipelineModel, samples: DataFrame, block: str, keys: list[str]) -> DataFrame:
@@ -144,10 +165,10 @@ def warm_start(layers: list[int], earlier: PipelineModel, **params) -> Pipeline:
     return pipeline
 
 
-def quantile_knots(samples: DataFrame, block: str, knots: int = 17) -> list[float]:
-    """Intensity quantiles of a sample set; a fixed, short list."""
+def quantile_knots(samples: DataFrame, block: str, knots: int = 17, accuracy: int = 1_000_000) -> list[float]:
+    """Intensity quantiles of a sample set; a fixed, short list. Ranks are exact up to ``accuracy`` cells, and within their ``accuracy``-th part beyond."""
     shares = [i / (knots - 1) for i in range(knots)]
-    return samples.select(F.explode(block).alias("v")).agg(F.percentile_approx("v", shares, 10000)).first()[0]
+    return samples.select(F.explode(block).alias("v")).agg(F.percentile_approx("v", shares, accuracy)).first()[0]
 
 
 def match_intensity(block: Column, source: list[float], target: list[float]) -> Column:

@@ -45,21 +45,66 @@ def _(t):
 
 @query("descriptor_roundtrip", "name:s kind:s n_errors:l has_box:b", "select path as name, type as kind, 0 as n_errors, type = 'region' as has_box from sources", "sources")
 def _(t):
+    """One file per descriptor, found again by the reader."""
     path = scratch_path(t.spark, "descriptors")
-    tables.write_descriptors(descriptor_rows(t), path, scalars.file_name(F.col("path")))
-    texts = t.spark.read.option("wholetext", "true").text(path).select(F.col("name").alias("path"), F.col("value").alias("text"))
-    from ..operators.manifests import parse_descriptors
+    tables.write_descriptors(descriptor_rows(t), path, scalars.stem(F.col("path")))
+    out = tables.read_descriptors(t.spark, path)
+    return out.select(scalars.file_name(F.col("path")).alias("name"), "kind", F.size("errors").alias("n_errors"), F.col("bounding_box").isNotNull().alias("has_box"))
 
-    out = parse_descriptors(texts)
-    return out.select(F.col("path").alias("name"), "kind", F.size("errors").alias("n_errors"), F.col("bounding_box").isNotNull().alias("has_box"))
 
+@query("manifest_roundtrip", "list:s child:s ord:l", """
+select s as list, path as child, row_number() over (partition by s order by source_ord) - 1 as ord
+from (select *, unnest(['training', 'prediction', 'validation']) as s from sources) q where case s when 'training' then training when 'prediction' then prediction else validation end""", "sources")
+def _(t):
+    """Three lists written as files and read back with their order."""
+    path = scratch_path(t.spark, "manifest")
+    listed = _set_members(t)
+    tables.write_manifests(listed, path, ["source_ord"])
+    edges = tables.read_manifest_edges(t.spark, path)
+    return edges.select(scalars.stem(F.col("parent")).alias("list"), scalars.file_name(F.col("child")).alias("child"), "ord")
 
-@query("manifest_roundtrip", "child:s", "select path as child from sources where training", "sources")
+
+@query("manifest_files_expanded", "place:l path:s", """
+with members as (select *, row_number() over (partition by path order by s, source_ord) as seen, row_number() over (order by s, source_ord) as place
+  from (select *, unnest([1, 2, 3]) as s from sources) q where case s when 1 then training when 2 then prediction else validation end)
+select row_number() over (order by place) - 1 as place, path from members where seen = 1""", "sources")
 def _(t):
+    """A list of three lists, written as files, read and flattened."""
+    from ..operators import manifests
+
     path = scratch_path(t.spark, "manifest")
-    tables.write_manifest(t.sources.filter("training"), path, ["source_ord"])
+    tables.write_manifests(_set_members(t), path, ["source_ord"])
+    heads = t.spark.createDataFrame([("all", k, f"{s}.txt") for k, s in enumerate(tables.SET_TYPES)], "list string, source_ord int, path string")
+    tables.write_manifests(heads, path, ["source_ord"])
     edges = tables.read_manifest_edges(t.spark, path)
-    return edges.select(scalars.file_name(F.col("child")).alias("child"))
+    names = edges.withColumns({c: scalars.file_name(F.col(c)) for c in ("parent", "child")})
+    flat = manifests.flatten(names, t.spark.createDataFrame([("all.txt", 0)], "path string, ord bigint"))
+    return flat.select(F.col("position").alias("place"), "path")
+
+
+def _set_members(t):
+    listed = F.array(*[F.when(F.col(s), s) for s in tables.SET_TYPES])
+    return t.sources.select("source_ord", "path", F.explode(F.array_compact(listed)).alias("list"))
+
+
+@query("run_metadata", "job_dir:s region_name:s ppm:s invert_normals:b x0:l training:b prediction:b validation:b error:s", """
+with jobs as (select r_regionkey as fold, concat('2024-01-02_03.04.05_', cast(r_regionkey as varchar)) as job_dir from region)
+select job_dir, replace(path, '.json', '') as region_name, ppm, invert_normals, x0, training and source_ord % 5 <> fold as training, prediction, validation, cast(null as varchar) as error
+from jobs, sources where fold < 4 and (training and source_ord % 5 <> fold or prediction or validation)
+union all select job_dir, null, null, null, null, false, false, false, 'metadata' from jobs where fold = 4""", "sources")
+def _(t):
+    """metadata.json of five job folders, the last of them broken."""
+    path = scratch_path(t.spark, "runs")
+    jobs = t.raw("region").select(F.col("r_regionkey").alias("fold"), F.concat(F.lit("2024-01-02_03.04.05_"), "r_regionkey").alias("job_dir"))
+    info = F.to_json(F.struct("ppm", "invert_normals", F.array("x0", "y0", "x1", "y1").alias("bounding_box")))
+    entry = F.concat(F.lit('"'), "path", F.lit('":'), info)
+    own = jobs.filter("fold < 4").join(t.sources, F.lit(True) & (F.col("fold") >= 0))
+    sets = [F.array_join(F.collect_list(F.when(F.col(s) & ((F.lit(s) != "training") | (F.col("source_ord") % 5 != F.col("fold"))), entry)), ",") for s in tables.SET_TYPES]
+    text = F.concat(F.lit('{"Date": "2024-01-02", "Data": {'), *[p for k, (s, e) in enumerate(zip(tables.SET_TYPES, sets)) for p in (F.lit(f'{"," if k else ""}"{s}": {{'), e, F.lit("}"))], F.lit("}}"))
+    texts = own.groupBy("job_dir").agg(text.alias("text")).unionByName(jobs.filter("fold = 4").select("job_dir", F.lit("{broken").alias("text")))
+    tables.write_named_texts(texts.select(F.concat("job_dir", F.lit("/metadata.json")).alias("name"), "text"), path)
+    out = tables.read_run_metadata(t.spark, path)
+    return out.withColumn("x0", F.get("bounding_box", 0))
 
 
 @query("raster_scan", "px:l py:l r:d g:d b:d texture:d luma:l", """

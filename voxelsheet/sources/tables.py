@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import scalars
 from ..operators.manifests import descriptor_text, lines_to_edges, parse_descriptors
+from ..session import scratch_path
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -22,8 +24,8 @@ def read_bytes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _whole_texts(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-    return reader.text(folder).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("path"), F.col("value").alias("text"))
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    return reader.text(folder, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("path"), F.col("value").alias("text"))
 
 
 def read_manifest_edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,14 +36,61 @@ def read_descriptors(spark: SparkSession, folder: str) -> DataFrame:
     return parse_descriptors(_whole_texts(spark, folder, "*.json"))
 
 
+def write_named_texts(texts: DataFrame, path: str) -> None:
+    """Write each row (name, text) as the file ``path/name``; names may hold folders and must be distinct.
+
+    Executors write one file per name beside the target; the driver then only
+    renames them, so a failed write leaves no half file under a final name.
+    """
+    spark = texts.sparkSession
+    staged = scratch_path(spark, "texts")
+    texts.select(F.col("name"), F.col("text").alias("value")).repartition("name").write.partitionBy("name").option("lineSep", "\n").text(staged)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(staged)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in system.globStatus(hadoop.Path(staged + "/name=*/part-*")) or []:
+        source = status.getPath()
+        target = hadoop.Path(f"{path}/{unquote(source.getParent().getName().removeprefix('name='))}")
+        system.mkdirs(target.getParent())
+        if not system.rename(source, target):
+            raise OSError(f"{target} cannot be written; is it there already?")
+    system.delete(folder, True)
+
+
 def write_descriptors(sources: DataFrame, path: str, name: Column) -> None:
-    """One folder per descriptor name, JSON text inside."""
-    sources.select(name.alias("name"), descriptor_text(sources).alias("value")).write.partitionBy("name").text(path)
+    """One ``<name>.json`` per descriptor."""
+    write_named_texts(sources.select(F.concat(name, F.lit(".json")).alias("name"), descriptor_text(sources).alias("text")), path)
+
+
+def write_manifests(entries: DataFrame, path: str, order: list) -> None:
+    """One ``<list>.txt`` per list (columns list, path): one path per line, in order.
 
+    A list is one file, so its lines meet in one row; lists are spread over tasks.
+    """
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col("path").alias("_line")))), lambda e: e["_line"])
+    texts = entries.groupBy("list").agg(F.array_join(lines, "\n").alias("text"))
+    write_named_texts(texts.select(F.concat("list", F.lit(".txt")).alias("name"), "text"), path)
+
+
+REGION = "struct<ppm: string, invert_normals: boolean, bounding_box: array<int>>"
+SET_TYPES = ("training", "prediction", "validation")
 
-def write_manifest(paths: DataFrame, path: str, order: list) -> None:
-    """One path per line, in order."""
-    paths.orderBy(*order).select("path").write.text(path)
+
+def read_run_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """Regions of the ``metadata.json`` of every job folder.
+
+    Columns: job_dir, date, region_name, ppm, invert_normals, bounding_box and a
+    flag per set type. A file that is no such record gives one row with ``error``.
+    """
+    texts = _whole_texts(spark, folder, "metadata.json")
+    record = F.from_json("text", f"struct<Date: string, Data: map<string, map<string, {REGION}>>>")
+    parsed = texts.select(F.element_at(F.split("path", "/"), -2).alias("job_dir"), record.alias("r"))
+    sets = parsed.select("job_dir", F.col("r.Date").alias("date"), F.explode_outer("r.Data").alias("set_type", "regions"))
+    rows = sets.select("job_dir", "date", "set_type", F.explode_outer("regions").alias("name", "region"))
+    flags = [F.coalesce(F.bool_or(F.col("set_type") == s), F.lit(False)).alias(s) for s in SET_TYPES]
+    merged = rows.groupBy("job_dir", F.col("name")).agg(F.max("date").alias("date"), F.min_by("region", "set_type").alias("region"), *flags)
+    return merged.select("job_dir", "date", scalars.stem(F.col("name")).alias("region_name"), "region.*", *SET_TYPES,
+                         F.when(F.col("date").isNull(), "metadata").alias("error"))
 
 
 def normalize_raster(raster: DataFrame) -> DataFrame:
