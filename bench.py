@@ -17,12 +17,12 @@ from voxelsheet.registry import load_all
 from voxelsheet.session import session
 
 HEADLINE = [
-    "gather_nearest", "gather_bricks", "gather_trilinear", "label_patch_rgb", "oblique_slice", "request_blocks",
+    "gather_nearest", "gather_bricks", "gather_trilinear", "gather_trilinear_bricks", "gather_default_shape", "label_patch_rgb", "oblique_slice", "request_blocks",
     "on_surface", "ambiguous_filter", "undersample", "oversample", "shuffled_batches",
     "confusion", "metric_rollup", "ranked_auc", "pooled_scores", "f1_sweep", "stamp_last_write", "face_merge", "summary_metrics",
-    "slice_stats", "auto_window", "running_extremes", "mutual_information", "pearson_top_k", "slab_merge", "downsample_volume",
+    "slice_stats", "global_stats", "gaussian_blur", "window_rescale", "auto_window", "running_extremes", "mutual_information", "pearson_top_k", "slab_merge", "downsample_volume",
     "patch_extract", "patch_stitch", "rot90_flip", "tta_average", "standardize",
-    "job_name_parse", "prediction_catalog", "asof_prediction", "report_values", "global_index", "surface_map_roundtrip",
+    "job_name_parse", "prediction_catalog", "asof_prediction", "report_values", "global_index", "surface_map_roundtrip", "stream_extremes", "kfold_scores",
 ]
 
 

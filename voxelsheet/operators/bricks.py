@@ -15,11 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as g
 from ..functions.ordering import spread
 from ..functions.scalars import int_div
+from ..session import materialize
 from .gather import BlockOptions, place_centers
 
 CHUNK_POINTS = 4096
@@ -53,21 +54,32 @@ def pack_bricks(voxels: DataFrame, edge: int = 64) -> DataFrame:
     return grouped.mapInArrow(encode, "volume_id int, bz int, by int, bx int, data binary")
 
 
+def write_bricks(bricks: DataFrame, path: str) -> None:
+    """Parquet in brick order, so that a range of bricks is a few row groups."""
+    brick = ["volume_id", "bz", "by", "bx"]
+    bricks.repartitionByRange(*brick).sortWithinPartitions(*brick).write.mode("overwrite").parquet(path)
+
+
+def read_bricks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("volume_id int, bz int, by int, bx int, data binary").parquet(path)
+
+
 def unpack_bricks(bricks: DataFrame, edge: int = 64) -> DataFrame:
     """Non-zero voxels of packed bricks."""
 
     def decode(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                cube = np.frombuffer(row["data"], "<u2")
+            corners = {c: batch.column(c).to_numpy() for c in ("volume_id", "bz", "by", "bx")}
+            for k, data in enumerate(batch.column("data")):
+                cube = np.frombuffer(data.as_buffer(), "<u2")
                 at = np.flatnonzero(cube)
                 n = len(at)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(n, row["volume_id"], "i4")),
-                        pa.array((row["bz"] * edge + at // (edge * edge)).astype("i4")),
-                        pa.array((row["by"] * edge + at // edge % edge).astype("i4")),
-                        pa.array((row["bx"] * edge + at % edge).astype("i4")),
+                        pa.array(np.full(n, corners["volume_id"][k], "i4")),
+                        pa.array((corners["bz"][k] * edge + at // (edge * edge)).astype("i4")),
+                        pa.array((corners["by"][k] * edge + at // edge % edge).astype("i4")),
+                        pa.array((corners["bx"][k] * edge + at % edge).astype("i4")),
                         pa.array(cube[at].astype("i4")),
                     ],
                     ["volume_id", "z", "y", "x", "v"],
@@ -202,7 +214,8 @@ def _read_cells(options: BlockOptions, shape, edge: int, summary: bool):
 
 def _chunks(points: DataFrame, options: BlockOptions, shape, edge: int, portable: bool) -> DataFrame:
     placed = place_centers(points, options, ["point_id"], portable).select("point_id", "volume_id", "cx", "cy", "cz", *_BASIS)
-    touched = touched_bricks(placed, options, shape, edge)
+    # listed once: the list is counted and joined
+    touched = materialize(touched_bricks(placed, options, shape, edge), "touched")
     brick = ["volume_id", "bz", "by", "bx"]
     counts = touched.groupBy(*brick).agg(F.ceil(F.count("*") / CHUNK_POINTS).alias("chunks"))
     salted = touched.join(counts, brick).withColumn("chunk", F.pmod(F.xxhash64("point_id"), F.col("chunks")))
@@ -243,11 +256,14 @@ def gather_blocks(points: DataFrame, bricks: DataFrame, options: BlockOptions, s
     def merge(batches):
         for batch in batches:
             blocks = []
-            for parts in batch.column("parts").to_pylist():
+            lists = batch.column("parts")
+            ends = lists.offsets.to_numpy()
+            masks, values = (lists.values.field(k) for k in range(2))
+            for low, high in zip(ends[:-1], ends[1:]):
                 block = np.zeros(cells, part_kind)
-                for part in parts:
-                    mask = np.unpackbits(np.frombuffer(part["mask"], "u1"), count=cells).astype(bool)
-                    block[mask] += np.frombuffer(part["cells"], part_kind)
+                for k in range(low, high):
+                    mask = np.unpackbits(np.frombuffer(masks[k].as_buffer(), "u1"), count=cells).astype(bool)
+                    block[mask] += np.frombuffer(values[k].as_buffer(), part_kind)
                 if part_kind == "<f8":
                     block = np.mod(np.floor(block + 1e-6), 65536).astype("<u2")
                 blocks.append(block.tobytes())

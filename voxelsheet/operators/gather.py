@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import chance, geometry as g, scalars, tensors as t
-from ..functions.ordering import spread
+from ..functions.ordering import explode_count, spread
 from .blocks import dense_blocks
 
 
@@ -328,11 +328,12 @@ def request_blocks(requests: DataFrame, voxels: DataFrame, shape, interval: floa
         *[(F.col(n) if n in requests.columns else F.lit(v)).alias(n) for n, v in axes.items()],
     )
     side = [2 * F.col(f"r{a}") + 1 for a in "zyx"]
-    cells = spread(placed, "request_id").withColumn("cell", F.explode(F.sequence(F.lit(-1), side[0] * side[1] * side[2] - 1)))
+    count = side[0].cast("bigint") * side[1] * side[2] + 1
+    cells = explode_count(placed, count, "cell").withColumn("cell", F.col("cell") - 1)
     index = scalars.unflatten(F.col("cell"), side[1], side[2])
     oz, oy, ox = (i - F.col(f"r{a}") for i, a in zip(index, "zyx"))
     at = g.sample_position(g.vec("cx", "cy", "cz"), _basis_columns(), g.Vec(ox, oy, oz), (interval, interval, interval))
-    keyed = cells.select("request_id", "cell", "rx", "ry", "rz", *[g.truncate(c + 0.5).alias(a) for c, a in zip(at, "xyz")])
+    keyed = cells.select("request_id", F.col("cell").cast("int").alias("cell"), "rx", "ry", "rz", *[g.truncate(c + 0.5).alias(a) for c, a in zip(at, "xyz")])
     return _meet(keyed, voxels, shape).select("request_id", "cell", "v")
 
 

@@ -14,14 +14,14 @@ def iteration_number(epoch: str = "epoch", batch: str = "batch"):
     return F.col(epoch).cast("bigint") * EPOCH_STEP + F.col(batch)
 
 
-def face_as_of(images: DataFrame) -> DataFrame:
+def face_as_of(images: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     """Merge all regions as of every iteration.
 
     Which image counts is decided on the list of images (a row per region and
-    iteration); only then do pixels join it. Columns: epoch, batch, px, py,
-    p255.
+    iteration), ``listed`` where it is at hand, so that pixels are not read for it;
+    only then do pixels join it. Columns: epoch, batch, px, py, p255.
     """
-    seen = images.select("region", "epoch", "batch", iteration_number().alias("k")).distinct()
+    seen = (images if listed is None else listed).select("region", "epoch", "batch", iteration_number().alias("k")).distinct()
     wanted = seen.select("epoch", "batch", "k").distinct()
     regions = seen.agg(F.collect_set("region")).scalar()
     asked = wanted.withColumn("region", F.explode(regions))

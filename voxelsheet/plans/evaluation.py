@@ -220,6 +220,6 @@ def _(t):
 
     boxes = t.sources.filter("validation").select("x0", "y0", "x1", "y1")
     width, height = t.surface_size
-    merged = summary.face_as_of(region_boxes(images(t), t))
+    merged = summary.face_as_of(region_boxes(images(t), t), t.predictions)
     rows = scoring.evaluation_pixels(merged, t.raster, boxes, keys=())
     return rounded(scoring.pooled(rows, ["epoch", "batch"], F.col("p255"), F.col("label")), ["epoch", "batch"])

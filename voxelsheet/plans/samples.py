@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g, scalars, tensors
 from ..operators import bricks, gather, selection
 from ..registry import query
+from ..session import scratch_path
 
 BLOCK = gather.BlockOptions(shape=(4, 4, 4))
 KEYS = ["face_id", "px", "py"]
@@ -91,19 +92,36 @@ def with_point_id(points):
     return points.withColumn("point_id", F.col("py").cast("bigint") * 50 + F.col("px")).withColumn("volume_id", F.lit(0))
 
 
+def stored_bricks(t, edge):
+    """The volume packed, written in brick order and read back."""
+    path = scratch_path(t.spark, "bricks")
+    bricks.write_bricks(bricks.pack_bricks(t.voxels, edge=edge), path)
+    return bricks.read_bricks(t.spark, path)
+
+
 @query("gather_bricks", "point_id:l n:l sum_v:l max_v:l", f"""
 with {SELECTED}, {PLACED}, {cells_sql(8, 8, 8)}, {NEAREST}
 select py * 50 + px as point_id, count(*) as n, sum(v) as sum_v, max(v) as max_v from gathered group by py * 50 + px""",
        "voxels surface raster")
 def _(t):
     options = gather.BlockOptions(shape=(8, 8, 8))
-    packed = bricks.pack_bricks(t.voxels, edge=16)
+    packed = stored_bricks(t, 16)
     return bricks.gather_summary(with_point_id(chosen_points(t)), packed, options, t.volume_shape, edge=16)
 
 
+@query("gather_default_shape", "point_id:l n:l sum_v:l max_v:l", f"""
+with pts as (select *, 0e0 as d from surface where px % 25 = 0 and py % 25 = 0), {PLACED}, {cells_sql(48, 48, 48)}, {NEAREST}
+select py * 50 + px as point_id, count(*) as n, sum(v) as sum_v, max(v) as max_v from gathered group by py * 50 + px""", "voxels surface")
+def _(t):
+    """Blocks of the default shape, 110,592 cells a point, at a coarse grid of points."""
+    options = gather.BlockOptions(shape=(48, 48, 48))
+    points = with_point_id(t.surface.filter("px % 25 = 0 and py % 25 = 0"))
+    return bricks.gather_summary(points, stored_bricks(t, 32), options, t.volume_shape, edge=32)
+
+
 @query("bricks_roundtrip", "volume_id:l z:l y:l x:l v:l", "select * from voxels where v <> 0", "voxels")
 def _(t):
-    return bricks.unpack_bricks(bricks.pack_bricks(t.voxels, edge=32), edge=32)
+    return bricks.unpack_bricks(stored_bricks(t, 32), edge=32)
 
 
 @query("gather_trilinear", "face_id:l px:l py:l n:l sum_v:l max_v:l", f"""
@@ -120,7 +138,7 @@ with pts as (select *, 0e0 as d from surface), {PLACED}, {cells_sql(4, 4, 4)}, {
 select py * 50 + px as point_id, count(*) as n, sum(v) as sum_v, max(v) as max_v from gathered group by all""", "voxels surface")
 def _(t):
     options = gather.BlockOptions(shape=(4, 4, 4), method="interpolated")
-    packed = bricks.pack_bricks(t.voxels, edge=16)
+    packed = stored_bricks(t, 16)
     return bricks.gather_summary(with_point_id(t.surface), packed, options, t.volume_shape, edge=16)
 
 
@@ -185,7 +203,7 @@ with {SELECTED}, {PLACED}, {cells_sql(4, 4, 4)}, {NEAREST}
 select py * 50 + px as point_id, 128 as bytes, max(case when cell = 0 then v else 0 end) as first_v from gathered group by all""",
        "voxels surface raster")
 def _(t):
-    packed = bricks.pack_bricks(t.voxels, edge=16)
+    packed = stored_bricks(t, 16)
     out = bricks.gather_blocks(with_point_id(chosen_points(t)), packed, BLOCK, t.volume_shape, edge=16)
     low, high = (F.conv(F.hex(F.substring("block", i, 1)), 16, 10).cast("int") for i in (1, 2))
     return out.select("point_id", F.octet_length("block").alias("bytes"), (high * 256 + low).alias("first_v"))
