@@ -1,10 +1,11 @@
 """Benchmark decontamination on built-in functions only.
 
-The benchmark's word windows become a broadcast hash set (behind a count; a
-larger set is joined by shuffle). Every window of every document is hashed in
-place and looked up; hits are verified against the window's words before they
-count. Documents themselves are not shuffled: only hits and one narrow row per
-document are.
+The benchmark's word windows become broadcast hash sets (behind a count; larger
+ones are joined by shuffle). Any run of ``len`` words holds a whole block of
+``(len + 1) // 2`` words that starts at a multiple of the block length, so only
+those blocks of a document are hashed and looked up among the blocks of the
+windows; around a found block the windows themselves are compared word by
+word. Documents are not shuffled: only hits and one narrow row per document are.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from ..session import materialize
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 WINDOW = 13
 
 
@@ -33,35 +35,56 @@ def _words(text: Column) -> Column:
     return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
 
 
+def _block(length: int) -> int:
+    return (length + 1) // 2
+
+
+def _get(at: Column, count: int) -> list[Column]:
+    """``count`` words from place ``at`` (from 0)."""
+    return [F.get("words", at + k) for k in range(count)]
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, len, h, win: every run of ``window`` words, or a shorter item's only one."""
+    """item_id, len, win: every run of ``window`` words, or a shorter item's only one."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), _words(_text()).alias("words"))
     items = items.filter(F.size("words") > 0).withColumn("len", F.least(F.size("words"), F.lit(window)))
     start = F.explode(F.sequence(F.lit(1), F.size("words") - F.col("len") + 1)).alias("start")
-    runs = items.select("item_id", "len", "words", start).withColumn("run", F.slice("words", F.col("start"), F.col("len")))
-    return runs.select("item_id", "len", F.xxhash64("run").alias("h"), F.array_join("run", " ").alias("win")).distinct()
+    return items.select("item_id", "len", "words", start).select(
+        "item_id", "len", F.array_join(F.slice("words", F.col("start"), F.col("len")), " ").alias("win")).distinct()
+
+
+def _starts(last: Column, step: int) -> Column:
+    """0, ``step``, ... up to ``last``; none if that is negative."""
+    return F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+
+def _hashed(length: int, step: int) -> Column:
+    block = _block(length)
+    return F.transform(_starts(F.size("words") - block, step), lambda i: F.struct(
+        i.alias("at"), F.lit(length).alias("len"), F.xxhash64(*_get(i, block)).alias("h")))
 
 
-def _runs(length: int) -> Column:
-    n = F.size("words")
-    starts = F.when(n >= length, F.sequence(F.lit(1), n - length + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len"), F.xxhash64(F.slice("words", i, length)).alias("h")))
+def _all(lengths: list[int], make, kind: str) -> Column:
+    return reduce(lambda a, b: F.concat(a, b), [make(n) for n in lengths]) if lengths else F.array().cast(kind)
 
 
 def hits(docs: DataFrame, windows: DataFrame, max_broadcast: int = 200_000) -> DataFrame:
-    """doc_id, text_key, pos, len, h: occurrences of the windows, by first word (from 1)."""
+    """doc_id, text_key, pos, len, win: occurrences of the windows, by first word (from 0)."""
     lengths = sorted(r.len for r in windows.select("len").distinct().collect())  # at most WINDOW values
-    wanted = windows.select("len", "h", "win").distinct()
-    if lengths and wanted.count() <= max_broadcast:
-        wanted = F.broadcast(wanted)
+    wanted = windows.select("len", "win").distinct()
+    kind = "array<struct<at:int,len:int,h:bigint>>"
+    blocks = wanted.withColumn("words", F.split("win", " ")).select(F.col("len").alias("own"), F.inline(_all(lengths, lambda n: _hashed(n, 1), kind)))
+    blocks = materialize(blocks.filter("own = len").select("len", "h").distinct(), "blocks")
+    if blocks.count() <= max_broadcast:
+        blocks, wanted = F.broadcast(blocks), F.broadcast(wanted)
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), _words(_text()).alias("words"))
-    if lengths:
-        runs = reduce(lambda a, b: F.concat(a, b), [_runs(n) for n in lengths])
-    else:
-        runs = F.array().cast("array<struct<pos:int,len:int,h:bigint>>")
-    found = texts.select("doc_id", "text_key", "words", F.inline(runs)).join(wanted, ["h", "len"])
-    verified = found.filter(F.array_join(F.slice("words", F.col("pos"), F.col("len")), " ") == F.col("win"))
-    return verified.select("doc_id", "text_key", "pos", "len", "h")
+    found = texts.select("doc_id", "text_key", "words", F.inline(_all(lengths, lambda n: _hashed(n, _block(n)), kind))).join(blocks, ["h", "len"])
+    low = F.greatest(F.lit(0), F.col("at") + F.floor((F.col("len") + 1) / 2).cast("int") - F.col("len"))
+    high = F.least(F.col("at"), F.size("words") - F.col("len"))
+    places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    near = found.select("doc_id", "text_key", "words", "len", F.explode(places).alias("pos"))
+    win = reduce(lambda rest, n: F.when(F.col("len") == n, F.concat_ws(" ", *_get(F.col("pos"), n))).otherwise(rest), lengths, F.lit(None).cast("string"))
+    return near.select("doc_id", "text_key", "pos", "len", win.alias("win")).join(wanted, ["win", "len"]).select("doc_id", "text_key", "pos", "len", "win")
 
 
 def _covered(runs: Column) -> Column:
@@ -89,7 +112,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = 20
     found = materialize(hits(docs, windows, max_broadcast), "hits")
     keys = ["doc_id", "text_key"]
     runs = found.groupBy(*keys).agg(F.collect_set(F.struct("pos", "len")).alias("runs")).select(*keys, _covered(F.col("runs")).alias("n_hit"))
-    names = found.select(*keys, "h", "len").distinct().join(windows.select("h", "len", "item_id"), ["h", "len"]).groupBy(*keys).agg(
+    names = found.select(*keys, "win").distinct().join(windows.select("win", "item_id"), "win").groupBy(*keys).agg(
         F.sort_array(F.collect_set("item_id")).alias("items"))
     base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.regexp_count(_text(), F.lit(WORD)).cast("bigint").alias("n_words"))
 
@@ -128,9 +151,9 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = 200
     spans = hits(docs, windows, max_broadcast).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("pos", "len")).alias("_runs"))
     spans = spans.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key")
     joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
-    lead = F.regexp_extract("text", r"^[\x00-\x2F\x3A-\x60\x7B-\x7F]*", 0)
-    parts = F.regexp_extract_all("text", F.lit(f"{WORD}{GAP[:-1]}*"), F.lit(0))
+    lead = F.regexp_extract("text", "^" + BETWEEN, 0)
+    parts = F.regexp_extract_all("text", F.lit(WORD + BETWEEN), F.lit(0))
     inside = F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["pos"], r["pos"] + r["len"] - 1))))
-    left = F.filter(parts, lambda x, i: ~F.array_contains(inside, i + 1))
+    left = F.filter(parts, lambda x, i: ~F.array_contains(inside, i))
     text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(left, "")))
     return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
