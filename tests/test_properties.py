@@ -345,7 +345,12 @@ def test_warm_start_and_reload(spark, tmp_path):
     assert np.allclose(again.stages[0].weights.toArray(), first.stages[0].weights.toArray())
     warm = models.warm_start([4, 3, 2], again, maxIter=1).getStages()[0]
     assert warm.isSet("initialWeights")
-    assert not models.warm_start([4, 2, 2], again, maxIter=1).getStages()[0].isSet("initialWeights")
+    assert np.allclose(warm.getInitialWeights().toArray(), first.stages[0].weights.toArray())
+    # only the second layer fits: 3 inputs, 2 outputs, and its biases
+    part = models.warm_start([4, 5, 3, 2], again, maxIter=1).getStages()[0].getInitialWeights().toArray()
+    assert len(part) == 25 + 18 + 8 and not np.allclose(part[-8:], first.stages[0].weights.toArray()[-8:])
+    part = models.warm_start([4, 3, 5], again, maxIter=1).getStages()[0].getInitialWeights().toArray()
+    assert np.allclose(part[:15], first.stages[0].weights.toArray()[:15]) and len(part) == 15 + 20
     with pytest.raises(ValueError):
         models.build("unet")
 

@@ -162,6 +162,14 @@ def label_column(label_type: Column) -> Column:
     return known.otherwise(F.raise_error(F.concat(F.lit("unknown prediction type "), label_type)).cast("string"))
 
 
+LABEL_TYPES = ("ink_classes", "rgb_values", "volcart_texture")
+
+
+def label_types(outputs: Column) -> Column:
+    """Those outputs of a model that have labels, in a fixed order."""
+    return F.array_intersect(F.array(*[F.lit(x) for x in LABEL_TYPES]), outputs)
+
+
 def is_absolute(path: Column) -> Column:
     return path.startswith("/") | path.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
 

@@ -49,6 +49,18 @@ def merge_variants(scored: DataFrame, keys: list[str], score: str) -> DataFrame:
     return scored.groupBy(*keys).agg(F.avg(score).alias(score))
 
 
+def merge_planes(scored: DataFrame, keys: list[str], plane: str, shape: tuple[int, int]) -> DataFrame:
+    """Mean of the prediction planes of a sample's variants (column ``variant``), each turned back first."""
+    back = F.col(plane)
+    for n, (turns, mirror) in enumerate(VARIANTS):
+        undone = tensors.undo_turn_and_mirror(F.col(plane), (1, *shape), turns, mirror)
+        back = F.when(F.col("variant") == n, undone).otherwise(back)
+    turned = scored.select(*keys, back.alias(plane))
+    sums = turned.groupBy(*keys).agg(F.collect_list(plane).alias("_planes"))  # a row per variant, eight at most
+    total = F.aggregate(F.slice("_planes", 2, len(VARIANTS)), F.get("_planes", 0), tensors.add_arrays)
+    return sums.select(*keys, F.transform(total, lambda v: v / F.size("_planes")).alias(plane))
+
+
 def mosaic(samples: DataFrame, rank: str, block: str, shape, count: int, pad: int = 20) -> DataFrame:
     """Samples with a border of ``pad``, laid out column by column in a square grid.
 

@@ -73,3 +73,21 @@ def union_of_sets(sources: DataFrame) -> DataFrame:
     """Paths of any of the three sets, once each."""
     parts = [sources.filter(s).select("path") for s in ("training", "prediction", "validation")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+
+
+def draw_slices(stacks: DataFrame, n: int, seed: int, portable: bool = False) -> DataFrame:
+    """``n`` slices drawn with replacement: step, slab, z.
+
+    ``stacks`` lists files with their depths (slab, depth; one row per file). A
+    draw picks a file first and then one of its slices, each by its own random
+    number, so a shallow file is drawn as often as a deep one.
+    """
+    from ..functions import chance
+
+    spark = stacks.sparkSession
+    numbered = ordering.number_rows(stacks, F.floor(F.col("slab") / BUCKET), ["slab"], "_rn")
+    files = stacks.count()
+    draws = spark.range(n).select(F.col("id").alias("step"))
+    picked = draws.withColumn("_rn", F.floor(chance.uniform(seed, "step", portable=portable) * files).cast("bigint") + 1)
+    placed = picked.join(numbered, "_rn")
+    return placed.select("step", "slab", F.floor(chance.uniform(seed + 1, "step", portable=portable) * F.col("depth")).cast("int").alias("z"))

@@ -10,6 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -156,12 +157,21 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def warm_start(layers: list[int], earlier: PipelineModel, **params) -> Pipeline:
-    """A perceptron that takes over earlier weights when all layer sizes match."""
+def warm_start(layers: list[int], earlier: PipelineModel, seed: int = 0, **params) -> Pipeline:
+    """A perceptron that takes over the earlier weights of every layer whose two sizes match.
+
+    Other layers start from small random weights. A layer's weights lie
+    together: inputs x outputs, then one bias per output.
+    """
     pipeline = perceptron(layers, **params)
-    old = earlier.stages[0]
-    if list(old.getLayers()) == list(layers):
-        pipeline.getStages()[0].setInitialWeights(old.weights)
+    before, old = list(earlier.stages[0].getLayers()), np.asarray(earlier.stages[0].weights.toArray())
+    places = np.cumsum([0] + [(a + 1) * b for a, b in zip(before, before[1:])])
+    draw = np.random.default_rng(seed)
+    parts = []
+    for k, (a, b) in enumerate(zip(layers, layers[1:])):
+        same = k + 1 < len(before) and (before[k], before[k + 1]) == (a, b)
+        parts.append(old[places[k]:places[k + 1]] if same else draw.normal(scale=1 / np.sqrt(a), size=(a + 1) * b))
+    pipeline.getStages()[0].setInitialWeights(Vectors.dense(np.concatenate(parts)))
     return pipeline
 
 

@@ -81,14 +81,29 @@ def squared_error(pred: Column, label: Column) -> Column:
     return (pred - label) * (pred - label)
 
 
-# Metric functions by label type; each takes (prediction, label) and gives a row
-# expression to be averaged, weighted by the factor beside it.
+def ink_loss(p1: Column, label: Column) -> Column:
+    return cross_entropy(1.0 - p1, p1, label)
+
+
+# Row losses by label type; each takes (prediction, label). The mean is taken
+# times the factor beside it, which a run may replace.
 LOSSES: dict[str, tuple[Callable[[Column, Column], Column], float]] = {
+    "ink_classes": (ink_loss, 1.0),
     "rgb_values": (smooth_l1, 1.0),
     "autoencoded": (squared_error, 1.0),
     "volcart_texture": (smooth_l1, 1.0),
 }
 
+
+def losses(rows: DataFrame, by: list[str], outputs: dict[str, tuple[Column, Column]], weights: dict[str, float] | None = None) -> DataFrame:
+    """Mean loss of each label type that has outputs (prediction, label), and their ``total``."""
+    parts = []
+    for name, (pred, label) in outputs.items():
+        row_loss, weight = LOSSES[name]
+        parts.append((F.avg(row_loss(pred, label)) * (weights or {}).get(name, weight)).alias(name))
+    means = rows.groupBy(*by).agg(*parts)
+    return means.withColumn("total", sum((F.col(n) for n in list(outputs)[1:]), F.col(next(iter(outputs)))))
+
 BATCH_METRICS: dict[str, Callable[[], Column]] = {
     "accuracy": accuracy,
     "precision": precision,

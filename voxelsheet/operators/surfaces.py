@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars
+from ..functions.ordering import explode_count
 
 VALUES = ("x", "y", "z", "nx", "ny", "nz")
 
@@ -33,19 +34,17 @@ def decimate(surface: DataFrame, factor: int, width: int, height: int) -> DataFr
     return small.filter((F.col("px") < width // factor) & (F.col("py") < height // factor))
 
 
-def flat(spark: SparkSession, width: int, height: int, z: float) -> DataFrame:
-    """A level surface with normals along +z."""
-    px, py = (F.col("id") % width).cast("int"), scalars.int_div(F.col("id"), width)
-    return spark.range(width * height).select(
-        F.lit(0).alias("face_id"), px.alias("px"), py.alias("py"), px.cast("double").alias("x"), py.cast("double").alias("y"),
-        F.lit(float(z)).alias("z"), F.lit(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"),
+def flat(volumes: DataFrame) -> DataFrame:
+    """For every volume (face_id, slices, height, width) a level surface through its middle, with normals along +z."""
+    sized = volumes.select("face_id", "width", ((F.col("slices") - 1) / 2.0).alias("z"), (F.col("width").cast("bigint") * F.col("height")).alias("pixels"))
+    cells = explode_count(sized, F.col("pixels"), "i")
+    px, py = (F.col("i") % F.col("width")).cast("int"), F.call_function("div", F.col("i"), F.col("width")).cast("int")
+    return cells.select(
+        "face_id", px.alias("px"), py.alias("py"), px.cast("double").alias("x"), py.cast("double").alias("y"),
+        "z", F.lit(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"),
     )
 
 
-def mid_slice(n_slices: int) -> float:
-    return (n_slices - 1) / 2.0
-
-
 def from_grey_image(image: DataFrame, value: str, z: float = 0.0) -> DataFrame:
     """Flat surface, mask and labels of a grey image: 0 off the sheet (blue
     0, 51, 160), 1..254 sheet (tan 210, 180, 140), 255 ink (black)."""

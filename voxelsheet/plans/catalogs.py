@@ -273,12 +273,17 @@ def _(t):
     return here.join(there, ["face", "invert_normals"])
 
 
-@query("label_types", "event_id:l label_key:s produced:s", f"""
-with {PARSED} select event_id, 'ink_label' as label_key, case when event_id % 2 = 0 then 'ink_classes' else 'ink_classes,volcart_texture' end as produced from parsed""", "job_files sources")
+@query("label_types", "event_id:l label_key:s produced:s", """
+select event_id, case event_id % 3 when 0 then 'ink_label' when 1 then 'rgb_label' else 'volcart_texture_label' end as label_key,
+  case event_id % 4 when 0 then 'ink_classes' when 1 then 'ink_classes,volcart_texture' when 2 then 'rgb_values' else '' end as produced from events""")
 def _(t):
-    known = F.array(*[F.lit(x) for x in ("ink_classes", "rgb_values", "volcart_texture")])
-    heads = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("autoencoded"), F.lit("ink_classes"))).otherwise(F.array(F.lit("ink_classes"), F.lit("volcart_texture")))
-    return outputs(t).select("event_id", scalars.label_column(F.col("prediction_type")).alias("label_key"), F.array_join(F.array_intersect(known, heads), ",").alias("produced"))
+    """Label keys of three prediction types, and what four kinds of model produce."""
+    kinds = F.array(*[F.lit(x) for x in scalars.LABEL_TYPES])
+    heads = F.array(*[F.array(*[F.lit(x) for x in h]) for h in (
+        ("autoencoded", "ink_classes"), ("volcart_texture", "ink_classes"), ("rgb_values",), ("autoencoded",))])
+    chosen = scalars.label_column(F.get(kinds, (F.col("event_id") % 3).cast("int")))
+    produced = scalars.label_types(F.get(heads, (F.col("event_id") % 4).cast("int")))
+    return t.raw("events").select("event_id", chosen.alias("label_key"), F.array_join(produced, ",").alias("produced"))
 
 
 @query("missing_folds", "fold:l", f"with {PARSED} select r_regionkey * 2 as fold from region where r_regionkey * 2 not in (select n_from_k_fold from parsed)", "job_files sources")

@@ -73,17 +73,13 @@ m as (select epoch, avg(ce) as ink, avg(case when abs(dr) < 1 then dr * dr * 0.5
 select epoch, round(ink, 6) as ink, round(rgb, 6) as rgb, round(auto, 6) as auto, round(texture, 6) as texture, round(ink + rgb + auto + texture, 6) as total from m""",
        "predictions raster")
 def _(t):
-    no, yes = scalars.pixel_scores(F.col("p255"))
+    _, yes = scalars.pixel_scores(F.col("p255"))
     red, tex = F.col("r") / 255.0, F.col("texture") / 65535.0
-    rows = paired(t).groupBy("epoch").agg(
-        F.avg(scoring.cross_entropy(no, yes, F.col("label"))).alias("ink"),
-        F.avg(scoring.smooth_l1(yes, red)).alias("rgb"),
-        (F.avg(scoring.squared_error(yes, red)) * 2.0).alias("auto"),
-        (F.avg(scoring.smooth_l1(F.col("p10") / 10.0, tex)) * 0.25).alias("texture"),
-    )
-    parts = ["ink", "rgb", "auto", "texture"]
-    total = F.round(F.col("ink") + F.col("rgb") + F.col("auto") + F.col("texture"), 6).alias("total")
-    return rows.select("epoch", *[F.round(p, 6).alias(p) for p in parts], total)
+    found = scoring.losses(paired(t), ["epoch"], {
+        "ink_classes": (yes, F.col("label")), "rgb_values": (yes, red), "autoencoded": (yes, red), "volcart_texture": (F.col("p10") / 10.0, tex),
+    }, {"autoencoded": 2.0, "volcart_texture": 0.25})
+    names = {"ink": "ink_classes", "rgb": "rgb_values", "auto": "autoencoded", "texture": "volcart_texture", "total": "total"}
+    return found.select("epoch", *[F.round(c, 6).alias(n) for n, c in names.items()])
 
 
 @query("class_scores", "px:l py:l no_ink:d ink:d", """

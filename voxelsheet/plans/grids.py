@@ -30,10 +30,14 @@ def _(t):
     return rounded_points(surfaces.translate(emptied, 5, -3, 2))
 
 
+def volume_sizes(t):
+    """Sizes of the volume from its table."""
+    return t.voxels.groupBy("volume_id").agg((F.max("z") + 1).alias("slices"), (F.max("y") + 1).alias("height")).withColumn("width", F.lit(128))
+
+
 @query("flat_surface", POINT + " nz:d", "select x.i as px, y.i as py, x.i as x, y.i as y, (depth - 1) / 2e0 as z, 1 as nz from volume_shape, lateral (select unnest(range(height)) as i) y, range(128) x(i)", "volume_shape")
 def _(t):
-    depth, height, width = t.volume_shape
-    return surfaces.flat(t.spark, width, height, surfaces.mid_slice(depth))
+    return surfaces.flat(volume_sizes(t).withColumn("face_id", F.lit(0)))
 
 
 @query("surface_from_image", POINT + " mask:l ink:l r:l g:l b:l", """

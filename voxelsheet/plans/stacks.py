@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import stacks, stencils
+from ..operators import datasets, stacks, stencils
 from ..registry import query
 from ..tables import N_SLABS, SLAB_DEPTH
 
@@ -175,6 +175,19 @@ def _(t):
     return stacks.global_stats(volume_stats(t)).withColumns({"mean": F.round("mean", 6), "blurred_mean": F.round("blurred_mean", 6)})
 
 
+@query("slice_draws", "step:l slab:l z:l window_min:d", f"""
+with {percentile_sql(dict(low=1))}, d as (select i as step, (i * 1103515245 + 12345 * 4 + 67) % 2147483648 / 2147483648e0 as u, (i * 1103515245 + 12345 * 5 + 67) % 2147483648 / 2147483648e0 as w
+  from (select unnest(range((select count(*) // 10 from events))) as i) q),
+f as (select slab, max(z) + 1 as depth, row_number() over (order by slab) as rn, count(*) over () as n from slabs group by slab),
+drawn_at as (select step, slab, cast(floor(w * depth) as bigint) as z from d join f on f.rn = cast(floor(u * n) as bigint) + 1)
+select step, a.slab, a.z, low / 100e0 as window_min from drawn_at a left join p on p.slab = a.slab and p.z = a.z""", "slabs")
+def _(t):
+    """A file, then one of its slices, drawn with replacement; with the slice's low percentile."""
+    drawn_at = datasets.draw_slices(stacks.depths(t.slabs, "slab").select("slab", "depth"), t.raw("events").count() // 10, 4, portable=True)
+    tails = stacks.exact_percentiles(t.slabs, ["slab", "z"], "raw", {"low": 1}, 65536)
+    return drawn_at.join(tails, ["slab", "z"], "left").withColumn("window_min", F.col("low") / 100.0)
+
+
 SLAB_BLUR = f"""
 taps(o, w) as (values {', '.join(f'({k - 12}, {w!r}e0)' if 'e' not in repr(w) else f'({k - 12}, {w!r})' for k, w in enumerate(stencils.gaussian_weights(3.0)))}),
 full_slabs as (select s.i as slab, z.i as z, y.i as y, x.i as x, coalesce(v.raw, 0) as v from (select distinct slab, z from slabs) k join range(6) s(i) on s.i = k.slab join range(40) z(i) on z.i = k.z,

@@ -165,6 +165,28 @@ def _(t):
     return models.write_back(placed, 4, width, height, [], ["vec_id"])
 
 
+@query("plane_predictions", "px:l py:l value:d", """
+with w as (select cast(max(px) as bigint) + 1 as width, cast(max(py) as bigint) + 1 as height from surface),
+cells as (select vec_id, i, cast(embedding[i + 1] as double) as v, vec_id % width + i % 4 - 2 as px, cast(floor(vec_id / cast(width as double)) as bigint) * 4 % height + i // 4 - 2 as py, width, height
+  from (select *, unnest(range(16)) as i from feat) f, w)
+select px, py, round(v, 5) as value from (select *, row_number() over (partition by px, py order by vec_id desc, v desc) as rn from cells where px >= 0 and py >= 0 and px < width and py < height) q where rn = 1""",
+       "feat surface")
+def _(t):
+    """Planes of 4 x 4 predictions, averaged over turned and mirrored inputs, written around their points.
+
+    The prediction of a block is its first plane, so the average over all variants is that plane again.
+    """
+    from ..operators import augment, stamps
+
+    width, height = t.surface_size
+    rows = augment.variant_rows(t.feat.select("vec_id", "embedding"), "embedding", SHAPE)
+    scored = rows.withColumn("plane", F.transform(F.slice("embedding", 1, 16), lambda v: v.cast("double")))
+    planes = augment.merge_planes(scored, ["vec_id"], "plane", (4, 4))
+    placed = planes.select("vec_id", "plane", (F.col("vec_id") % width).cast("int").alias("px"), F.pmod(F.floor(F.col("vec_id") / width) * 4, F.lit(height)).cast("int").alias("py"))
+    written = stamps.stamp_patches(placed, (4, 4), "plane", width, height, ["vec_id"])
+    return stamps.last_write(written, ["px", "py"], "value", ["vec_id"]).withColumn("value", F.round("value", 5))
+
+
 # --- streaming ----------------------------------------------------------------------
 
 

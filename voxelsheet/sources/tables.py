@@ -120,6 +120,12 @@ def read_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True)
 
 
+def read_lines(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+    """Lines of small text files with their numbers: file, n, text."""
+    texts = _whole_texts(spark, folder, pattern)
+    return texts.select(F.col("path").alias("file"), F.posexplode(F.split(F.regexp_replace("text", r"\r?\n$", ""), r"\r?\n")).alias("n", "text"))
+
+
 def read_metric_series(lines: DataFrame) -> DataFrame:
     """Date row / value row pairs (file, line number n, text) to date and values.
 
