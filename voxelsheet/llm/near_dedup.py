@@ -34,7 +34,6 @@ IDF = 0.2
 SKETCH_ROWS, SKETCH_BITS = 2, 18
 TABLE = 1 << 16
 KEY_BITS = 52
-PARTNERS = 4
 BLOCK = 4096
 _U = np.uint64
 
@@ -138,7 +137,7 @@ def _sketch(counts):
             short = (keys >> _U(KEY_BITS - 32)).astype(np.uint32)
             draws = sample(short, weights, first)
             packed = np.minimum(np.round(weights * 2048), 65535).astype(np.uint16)
-            sets = [short[a:b].tobytes() + packed[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
+            sets = [pack(short[a:b], packed[a:b]) for a, b in zip(first[:-1], first[1:])]
             return [*_identity(hashes, first_word), pa.array(np.diff(first_word)), pa.array([d.tobytes() for d in draws], pa.binary()),
                     pa.array(sets, pa.binary())]
 
@@ -157,9 +156,12 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = _bands(np.frombuffer(b"".join(batch.column("draws").to_pylist()), np.uint16).reshape(-1, DRAWS))
+        draws = np.frombuffer(b"".join(batch.column("draws").to_pylist()), np.uint16).reshape(-1, DRAWS)
+        keys = _bands(draws)
         again = pa.array(np.repeat(np.arange(len(keys)), BANDS))
-        yield pa.record_batch([batch.column("node").take(again), pa.array(keys.ravel()), batch.column("draws").take(again)], names=["node", "band", "draws"])
+        # a byte of each draw is enough to compare by
+        short = pa.array([row.tobytes() for row in draws.astype(np.uint8)], pa.binary())
+        yield pa.record_batch([batch.column("node").take(again), pa.array(keys.ravel()), short.take(again)], names=["node", "band", "draws"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -191,7 +193,7 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _draws(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("draws").to_pylist()), np.uint16).reshape(-1, DRAWS)
+    return np.frombuffer(b"".join(table.column("draws").to_pylist()), np.uint8).reshape(-1, DRAWS)
 
 
 def least_agreement(similar: float) -> int:
@@ -199,36 +201,85 @@ def least_agreement(similar: float) -> int:
     return int(np.floor(DRAWS * similar - 2.5 * np.sqrt(DRAWS * similar * (1 - similar))))
 
 
-def _closest(least: int, strip: int = 512):
-    """Each member's closest partners in its block, as pairs; the band where some had to be left out."""
+def strongest(draws: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """A spanning forest of strongest agreements of ``least`` or more, as pairs of rows; were other pairs left out?
+
+    Rows join in turn, each by its best partner so far, so a block of n rows
+    gives n - 1 pairs at most however alike its rows are.
+    """
+    n = len(draws)
+    if n == 2:
+        good = int((draws[0] == draws[1]).sum()) >= least
+        return np.zeros(int(good), int), np.ones(int(good), int), False
+    whole = _agreement(draws, draws) if n <= 64 else None
+    best, partner, out = np.zeros(n, np.int16), np.zeros(n, int), np.ones(n, bool)
+    a, b, close, at = [], [], 0, 0
+    for _ in range(n):
+        out[at] = False
+        row = whole[at] if whole is not None else _agreement(draws[at:at + 1], draws)[0]
+        close += int((row[out] >= least).sum())
+        better = row > best
+        best[better], partner[better] = row[better], at
+        left = np.where(out, best, -1)
+        following = int(left.argmax())
+        if left[following] >= least:
+            a.append(partner[following])
+            b.append(following)
+        at = following
+    return np.array(a, int), np.array(b, int), close > len(a)
+
+
+def _closest(least: int):
+    """The pairs to verify of each block, and the bands in which others are left."""
 
     def work(batches):
-        for band, table in _groups(batches):
-            if table.num_rows < 2:
-                continue
-            node, draws = table.column("node").to_numpy(), _draws(table)
-            pairs, left = [], False
-            for low in range(0, len(node), strip):
-                agree = _agreement(draws[low:low + strip], draws)
-                agree[np.arange(len(agree)), np.arange(low, low + len(agree))] = 0
-                left |= bool(((agree >= least).sum(axis=1) > PARTNERS).any())
-                top = np.argpartition(-agree.astype(np.int16), PARTNERS - 1, axis=1)[:, :PARTNERS] if len(node) > PARTNERS else \
-                    np.broadcast_to(np.arange(len(node)), (len(agree), len(node)))
-                row = np.repeat(np.arange(len(agree)), top.shape[1])
-                good = agree[row, top.ravel()] >= least
-                pairs.append(np.column_stack([node[low + row[good]], node[top.ravel()[good]]]))
-            pairs = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())], names=["a", "b", "open"])
-            if left:
-                yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([band])], names=["a", "b", "open"])
+        for bands in _batched(_groups(batches)):
+            a, b, more = [], [], []
+            for band, table in bands:
+                if table.num_rows < 2:
+                    continue
+                node = table.column("node").to_numpy()
+                i, j, left = strongest(_draws(table), least)
+                a.append(np.minimum(node[i], node[j]))
+                b.append(np.maximum(node[i], node[j]))
+                if left:
+                    more.append(band)
+            a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+            differ = a != b
+            for part in ([pa.array(a[differ]), pa.array(b[differ]), pa.nulls(int(differ.sum()), pa.int64())],
+                         [pa.nulls(len(more), pa.int64()), pa.nulls(len(more), pa.int64()), pa.array(more, pa.int64())]):
+                yield pa.RecordBatch.from_arrays(part, names=["a", "b", "open"])
 
     return work
 
 
+def _batched(groups: Iterator, size: int = 2000) -> Iterator[list]:
+    held: list = []
+    for group in groups:
+        held.append(group)
+        if len(held) >= size or group[1].num_rows > 256:
+            yield held
+            held = []
+    yield held
+
+
+_CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def pack(short: np.ndarray, weights: np.ndarray) -> bytes:
+    """A shingle set: sorted 32-bit keys as differences and 16-bit weights, byte by byte of their place, compressed."""
+    gaps = np.diff(short, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    parts = weights.astype("<u2").view(np.uint8).reshape(-1, 2).T
+    planes = np.concatenate([np.ascontiguousarray(gaps).ravel(), np.ascontiguousarray(parts).ravel()])
+    return len(short).to_bytes(4, "little") + _CODEC.compress(planes.tobytes(), asbytes=True)
+
+
 def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data) // 6
-    return np.frombuffer(data, np.uint32, n), np.frombuffer(data, np.uint16, n, 4 * n).astype(np.int64)
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(_CODEC.decompress(data[4:], 6 * n, asbytes=True), np.uint8)
+    gaps = np.ascontiguousarray(planes[:4 * n].reshape(4, n).T).view("<u4").ravel()
+    weights = np.ascontiguousarray(planes[4 * n:].reshape(2, n).T).view("<u2").ravel()
+    return np.cumsum(gaps, dtype=np.uint32), weights.astype(np.int64)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
