@@ -365,3 +365,13 @@ def test_intensity_matching(spark):
     df = spark.createDataFrame([([0.0, 1.0, 2.0, 3.0, 9.0],)], "b array<double>")
     out = df.select(models.match_intensity(F.col("b"), [0.0, 2.0, 4.0], [10.0, 20.0, 40.0])).first()[0]
     assert out == [10.0, 15.0, 20.0, 30.0, 40.0]
+
+
+def test_lists_that_share_lists_do_not_multiply(spark):
+    """A diamond of 12 levels, each naming the next list twice."""
+    edges = [(f"l{k}.txt", f"l{k + 1}.txt", o) for k in range(12) for o in (0, 1)] + [("l12.txt", f"d{k}.json", k) for k in range(3)]
+    frame = spark.createDataFrame(edges, "parent string, child string, ord bigint")
+    roots = spark.createDataFrame([("l0.txt", 0)], "path string, ord bigint")
+    assert manifests.expand(frame, roots, once=True).count() < 40
+    rows = manifests.flatten(frame, roots).orderBy("position").collect()
+    assert [(r.path, r.position) for r in rows] == [("d0.json", 0), ("d1.json", 1), ("d2.json", 2)]

@@ -12,13 +12,15 @@ REGION_KEYS = ("ppm", "mask", "invert_normals", "bounding_box", "ink_label", "rg
 SCHEMA_VERSION = "0.1"
 
 
-def expand(edges: DataFrame, roots: DataFrame) -> DataFrame:
+def expand(edges: DataFrame, roots: DataFrame, once: bool = False) -> DataFrame:
     """Every entry reached from the roots, level by level.
 
     ``edges``: parent, child, ord; ``roots``: path, ord. One join per nesting
     level, until a level holds no list; the levels are short tables and are
     checkpointed, so that the plan does not grow with depth. An entry that is
-    its own ancestor is marked ``loop`` and not followed.
+    its own ancestor is marked ``loop`` and not followed. With ``once`` a list
+    named several times on a level is followed from its first place only, so
+    lists that share lists do not multiply.
 
     Columns: path, parent, place (ordinals from the root), loop.
     """
@@ -31,6 +33,9 @@ def expand(edges: DataFrame, roots: DataFrame) -> DataFrame:
         lists = level.filter(F.col("path").endswith(".txt") & ~F.col("loop"))
         if lists.isEmpty():
             break
+        if once:
+            first = lists.groupBy("path").agg(F.min(F.struct("place", "line")).alias("first"))
+            lists = first.select("path", "first.*")
         step = lists.select("place", "line", F.col("path").alias("parent")).join(edges, "parent")
         level = step.select(
             F.col("child").alias("path"), "parent", F.concat("place", F.array("ord")).alias("place"),
@@ -45,7 +50,7 @@ def flatten(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
     ``error`` is set for entries that are neither list nor descriptor.
     """
-    leaves = expand(edges, roots).filter(~F.col("path").endswith(".txt"))
+    leaves = expand(edges, roots, once=True).filter(~F.col("path").endswith(".txt"))
     first = leaves.groupBy("path").agg(F.min("place").alias("place"))
     bucket = F.struct(F.col("place")[0], F.get("place", F.lit(1)))
     numbered = ordering.number_rows(first, bucket, ["place"], "position")
