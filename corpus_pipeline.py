@@ -9,24 +9,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from voxelsheet.llm import decontamination, exact_dedup, language, mixing, near_dedup
+from voxelsheet.llm.arrow import bound_batches
 from voxelsheet.session import materialize, ship_package
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, and those far from every language profile, go."""
     ship_package(spark)
+    bound_batches(spark)
     return language.known_language(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with the same text the one with the largest id stays."""
     ship_package(spark)
+    bound_batches(spark)
     return exact_dedup.keep_one(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays."""
     ship_package(spark)
+    bound_batches(spark)
     return near_dedup.keep_one(docs)
 
 

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from .words import slices
 
 
 def add_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], fields: str,
-                limit: int = 1 << 20) -> DataFrame:
+                limit: int = 1 << 18) -> DataFrame:
     """``df`` with the columns ``fields`` that ``make()`` (called once a task) computes for runs of rows.
 
     Rows come in runs of about ``limit`` bytes of the column ``text``, so memory does not
@@ -31,6 +31,11 @@ def add_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], lis
     return df.mapInArrow(work, StructType([*df.schema.fields, *added.fields]))
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Short Arrow batches for this session: rows here hold whole texts, and executors hold several batches at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def fold(divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; a null id counts as an empty one."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % divisor

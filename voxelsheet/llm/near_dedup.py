@@ -362,7 +362,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR, max_broadcast: int = 2_00
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(vector_sum(rows.select("text"), _count, (SKETCH_ROWS << SKETCH_BITS) + 1))
     fields = "k1 bigint, k2 bigint, words bigint, draws binary, set binary"
-    sketched = add_columns(rows, _sketch(shared), fields, 1 << 18)
+    sketched = add_columns(rows, _sketch(shared), fields)
     none = F.col("words") == 0
     text_key = F.xxhash64("text")
     sketched = materialize(sketched.select(

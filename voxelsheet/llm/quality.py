@@ -178,7 +178,8 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out:
     rows = docs.select("doc_id", (fold(3) == held_out).alias("held_out"), "text")
     known = materialize(with_statistics(rows).drop("text"), "statistics")
     marks = labels.filter(F.col(label).isNotNull() & (fold(3) != held_out)).select("doc_id", F.col(label).alias("label"))
-    model = fit(known.join(marks, "doc_id").select("stats", "label"))
+    # joined once: three passes read it
+    model = fit(materialize(known.join(marks, "doc_id").select("stats", "label"), "labelled"))
 
     def work(batches):
         for batch in batches:

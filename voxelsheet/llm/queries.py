@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
 from . import decontamination, exact_dedup, language, mixing, near_dedup, pii, quality, secret_scan, token_counts, toxicity
+from .arrow import bound_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

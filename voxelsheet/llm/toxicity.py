@@ -65,7 +65,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     """Documents that have each feature, the others' in front and the toxic ones' behind."""
     total = np.zeros(2 * BUCKETS + 2)
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 1 << 20):
             toxic = part.column("label").to_numpy().astype(int)
             total[2 * BUCKETS:] += np.bincount(toxic, minlength=2)
             keys = [np.unique((t.owner.astype(np.int64) * BUCKETS + t.features).ravel()) for t in _tokens(part)]
@@ -108,7 +108,7 @@ def _train(model: Model, markers: np.ndarray, inner: int = 8, rate: float = 0.5,
         grown, grown_chain, visits = np.full(BUCKETS, 1e-2), np.full(CHAIN, 1e-2), np.zeros(BUCKETS)
         some = 0.0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 toxic = part.column("label").to_numpy().astype(bool)
                 for tokens in _tokens(part):
                     seq, flat = tokens.sentences, tokens.features.ravel()

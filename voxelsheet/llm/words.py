@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 _U = np.uint64
 
 
@@ -48,7 +48,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``limit`` bytes of text, one row at least."""
     _, offsets = text_bytes(batch.column(column))
     start = 0
