@@ -259,6 +259,21 @@ def test_near_dedup_large_blocks(spark, monkeypatch):
     assert {r.class_id for r in near_dedup.classes(docs, max_broadcast=0).collect()} == {0}
 
 
+def test_near_dedup_small_classes_in_large_bands(spark, monkeypatch):
+    """Pairs of near copies in bands they share with very many texts of one template, none of them near its leader."""
+    draw = np.random.default_rng(4)
+    template = [f"t{k}" for k in range(160)]
+    words = lambda name, n: [f"{name}x{k}" for k in range(n)]
+    texts = [" ".join(template + words(f"u{n // 2}", 6) + words(f"v{n}", 14)) for n in range(240)]
+    texts += [" ".join(template + words("u", 18) + words(f"w{n}", 2)) for n in range(40)]
+    rows = [(int(k), texts[k]) for k in draw.permutation(len(texts))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    whole = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    assert len(set(whole.values())) > 100
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()} == whole
+
+
 def test_near_dedup_edges(edges, nothing):
     rows = near_dedup.classes(edges).collect()
     assert len(rows) == edges.count() and near_dedup.classes(nothing).count() == 0

@@ -304,17 +304,19 @@ def _verify(similar: float):
 
 
 def _join_up(similar: float, least: int):
-    """Links between different components inside each block, all of its pairs considered."""
+    """Links between different components inside each block; of a block with two sides, between these."""
 
     def work(batches):
         for _, table in _groups(batches):
             node, part, draws = table.column("node").to_numpy(), table.column("part").to_numpy().copy(), _draws(table)
             if len(np.unique(part)) < 2:
                 continue
+            side = table.column("side").to_numpy()
+            facing = side[:, None] != np.unique(side) if side.min() != side.max() else np.ones((len(side), 2), bool)
             sets = [unpack(s) for s in table.column("set").to_pylist()]
             a, b = [], []
             for i in range(1, len(node)):
-                while len(others := np.flatnonzero(part[:i] != part[i])):
+                while len(others := np.flatnonzero((part[:i] != part[i]) & facing[:i, side[i]])):
                     agree = _agreement(draws[i:i + 1], draws[others])[0]
                     near = others[agree >= least][np.argsort(-agree[agree >= least].astype(int), kind="stable")]
                     match = next((j for j in near if weighted_jaccard(sets[i], sets[j]) >= similar), None)
@@ -329,20 +331,60 @@ def _join_up(similar: float, least: int):
     return work
 
 
-def _blocks(rows: DataFrame, salt: int, max_broadcast: int) -> DataFrame:
-    """Bands of more than ``BLOCK`` rows in blocks; one member of such a band is put into all its blocks."""
-    large = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(salt)), "node")).alias("m"))
-    large = materialize(large.filter(F.col("n") > BLOCK).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
-                                                                 F.col("m.node").alias("leader")), "large")
+def _large(bands: DataFrame) -> DataFrame:
+    """Bands of more than ``BLOCK`` rows, with their number of blocks and one member."""
+    large = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(1)), "node")).alias("m"))
+    return materialize(large.filter(F.col("n") > BLOCK).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
+                                                                F.col("m.node").alias("leader")), "large")
+
+
+def _blocks(rows: DataFrame, large: DataFrame, max_broadcast: int) -> DataFrame:
+    """Large bands in blocks; one member of such a band is put into all its blocks."""
     hot = large.count()
     if not hot:
         return rows.withColumn("block", F.lit(0))
     marked = rows.join(F.broadcast(large) if hot <= max_broadcast else large, "band", "left")
-    own = F.pmod(F.xxhash64("node", "band", F.lit(salt)), F.coalesce("blocks", F.lit(1))).cast("int")
+    own = F.pmod(F.xxhash64("node", "band", F.lit(1)), F.coalesce("blocks", F.lit(1))).cast("int")
     every = F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
     return marked.withColumn("block", F.explode(every)).drop("blocks", "leader")
 
 
+def _block_pairs(rows: DataFrame, max_broadcast: int) -> DataFrame:
+    """Adds block and side: any two rows of a band that differ in ``part`` meet in a block, on different sides if it has two.
+
+    A band of more than ``BLOCK`` rows is cut into pieces of about half as many.
+    Large parts have pieces of their own, which need not meet each other; small
+    parts share pieces. Each two pieces with different parts are one block.
+    """
+    piece = max(BLOCK // 2, 1)
+    parts = rows.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"))
+    own = F.col("n") > max(piece // 4, 1)
+    pieces = lambda n: F.ceil(n / piece).cast("int")
+    mixed = F.coalesce(F.sum(F.when(~own, F.col("n"))), F.lit(0))
+    numbered = lambda part, count: F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda k: F.struct(part.alias("part"), k.alias("k"))))
+    hot = parts.groupBy("band").agg(
+        F.sum("n").alias("rows"), pieces(mixed).alias("mixed"),
+        F.collect_list(F.when(own, F.struct("part", pieces(F.col("n")).alias("count")))).alias("own")).filter(F.col("rows") > BLOCK)
+    alone = F.flatten(F.transform("own", lambda p: numbered(p["part"], p["count"])))
+    hot = materialize(hot.select("band", "mixed", "own", F.concat(
+        F.coalesce(numbered(F.lit(-1).cast("bigint"), F.col("mixed")), F.array().cast("array<struct<part: bigint, k: int>>")), alone).alias("pieces")), "hot")
+    many = hot.count()
+    if not many:
+        return rows.withColumns({"block": F.lit(0).cast("bigint"), "side": F.lit(0)})
+    small = lambda df: F.broadcast(df) if many <= max_broadcast else df
+    large = hot.select("band", F.explode("own").alias("p")).select("band", "p.*")
+    marked = rows.join(small(hot.drop("own")), "band", "left").join(small(large), ["band", "part"], "left")
+    drawn = lambda key, count: F.pmod(F.xxhash64(key, "band", F.lit(2)), count).cast("int") + 1
+    at = F.when(F.col("count").isNull(), F.struct(F.lit(-1).cast("bigint").alias("part"), drawn("part", F.col("mixed")).alias("k"))).otherwise(
+        F.struct(F.col("part"), drawn("node", F.col("count")).alias("k")))
+    marked = marked.withColumn("at", F.array_position("pieces", at) - 1)
+    met = F.transform("pieces", lambda p, j: F.when(F.col("count").isNull() | (p["part"] != F.col("part")), j.cast("bigint")))
+    spread = marked.withColumn("other", F.explode(F.coalesce(F.array_compact(met), F.array(F.lit(0).cast("bigint")))))
+    at, other = F.coalesce("at", F.lit(0)), F.col("other")
+    block = F.least(at, other) * F.coalesce(F.size("pieces"), F.lit(1)) + F.greatest(at, other)
+    return spread.withColumns({"block": block, "side": (at > other).cast("int")}).drop("mixed", "pieces", "count", "at", "other")
+
+
 def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("band", "block").sortWithinPartitions("band", "block", "node")
 
@@ -375,17 +417,19 @@ def classes(docs: DataFrame, similar: float = SIMILAR, max_broadcast: int = 2_00
     nodes = sketched.filter("words > 0").join(first, sketched["row"] == first["node"], "left_semi").withColumnRenamed("row", "node")
     bands = materialize(nodes.select("node", "draws").mapInArrow(_band_rows, "node bigint, band bigint, draws binary"), "bands")
     least = least_agreement(similar)
-    found = materialize(_dealt(_blocks(bands, 1, max_broadcast)).mapInArrow(_closest(least), "a bigint, b bigint, open bigint"), "pairs")
+    large = _large(bands)
+    found = materialize(_dealt(_blocks(bands, large, max_broadcast)).mapInArrow(_closest(least), "a bigint, b bigint, open bigint"), "pairs")
     pairs = found.filter("a is not null").select("a", "b").distinct()
     sets = _sets(sketched, pairs.select("a").union(pairs.select("b")).distinct(), max_broadcast)
     whole = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     links = materialize(whole.mapInArrow(_verify(similar), "a bigint, b bigint"), "verified")
     labels = components(links)
-    open_bands = found.filter("open is not null").select(F.col("open").alias("band")).distinct()
+    # pairs across the blocks of a large band have not met yet
+    open_bands = found.filter("open is not null").select(F.col("open").alias("band")).union(large.select("band")).distinct()
     if not open_bands.isEmpty():
         rest = _open_rows(bands, open_bands, labels, sketched, max_broadcast)
-        more = materialize(_dealt(_blocks(rest, 2, max_broadcast)).mapInArrow(_join_up(similar, least), "a bigint, b bigint"), "verified")
+        more = materialize(_dealt(_block_pairs(rest, max_broadcast)).mapInArrow(_join_up(similar, least), "a bigint, b bigint"), "verified")
         labels = components(links.union(more)) if not more.isEmpty() else labels
     return _labelled(members, labels)
 
