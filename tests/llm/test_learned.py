@@ -231,6 +231,27 @@ def exact_classes(texts: dict) -> dict:
     return {i: ids[label[k]] for k, i in enumerate(ids)}
 
 
+def test_secrets_short_and_dotted_runs(monkeypatch):
+    """Keys of 14 characters, keys without a digit and dotted tokens in prose are judged; those beside a base span too."""
+    draw = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+    key = lambda n, of=letters: "".join(draw.choice(of, n))
+    prose_rows = pa.record_batch([pa.array([prose(k, 400) for k in range(20)], pa.string())], names=["text"])
+    pairs = secret_scan._pairs(iter([prose_rows]))
+    for make in (lambda: key(14), lambda: key(14, letters[:52]), lambda: f"{key(9)}.{key(9)}.{key(9)}"):
+        grammar, found = secret_scan.Grammar({0: [make() for _ in range(400)]}, pairs), 0
+        for value in [make() for _ in range(20)]:
+            text = f"it says {value}. And more"
+            found += grammar.added(text, secret_scan.base_spans(text)) == [(8, 0, 8 + len(value))]
+        assert found >= 15
+    grammar = secret_scan.Grammar({0: [key(14) for _ in range(400)]}, pairs)
+    monkeypatch.setattr(grammar, "judge", lambda value: (0, 1.0))
+    hexadecimal, value = "0123456789abcdef", "Zk3pQz7TgRw9Xs"
+    text = f"see {hexadecimal}.{value}"
+    assert (4, 2, 20) in secret_scan.base_spans(text)
+    assert grammar.added(text, secret_scan.base_spans(text)) == [(21, 0, 35)]
+
+
 def test_near_dedup_by_brute_force(spark, tables):
     texts = {r.doc_id: r.text for r in tables["documents"].collect()}
     base = prose(77, 200).split()

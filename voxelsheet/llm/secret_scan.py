@@ -2,8 +2,8 @@
 
 The patterns decide the base spans, which are the labelled credentials. For
 each kind a probabilistic automaton is inferred from a bounded set of different
-credentials by merging compatible states of their prefix tree. Every other long
-run of credential characters is a candidate; it is added where its best
+credentials by merging compatible states of their prefix tree. Every other run
+of 12 or more credential characters is a candidate; it is added where its best
 automaton finds it likelier, by symbol, than the pairs of symbols in all
 documents do, and as likely as known credentials of that kind.
 """
@@ -29,7 +29,8 @@ KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 12
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -91,6 +92,7 @@ class Grammar:
         table = pairs.reshape(128, 128) + 0.5
         self.pairs = np.log(table / table.sum(axis=1, keepdims=True))
         self.automata: dict[int, tuple[Automaton, float]] = {}
+        self.judged: dict[str, tuple[int, float] | None] = {}
         for kind, values in sorted(examples.items()):
             learn, check = values[::2], values[1::2] or values
             automaton = infer([symbols(v) for v in learn])
@@ -108,32 +110,40 @@ class Grammar:
     def judge(self, value: str) -> tuple[int, float] | None:
         """Best kind and its score, if it reaches that kind's limit."""
         string = symbols(value)
+        if string in self.judged:
+            return self.judged[string]
+        if len(self.judged) >= 1 << 16:
+            self.judged.clear()
         best = None
         for kind, (automaton, limit) in self.automata.items():
             score = self._score(automaton, string)
             if score >= limit and score > 0 and (best is None or score > best[1]):
                 best = kind, score
+        self.judged[string] = best
         return best
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
-        out, k = [], 0
-        covered = sorted((s, e) for s, _, e in base)
-        for m in _CANDIDATE.finditer(text):
-            while k < len(covered) and covered[k][1] <= m.start():
-                k += 1
-            j = k
-            while j < len(covered) and covered[j][0] < m.end() and covered[j][1] <= m.start():
-                j += 1
-            if j < len(covered) and covered[j][0] < m.end() or not any("0" <= c <= "9" for c in m[0]):
-                continue
-            verdict = self.judge(m[0])
-            if verdict:
-                out.append((m.start(), verdict[0], m.end()))
+        """Likely runs outside the base spans; of a dotted run that is not likely as a whole, its likely parts."""
+        out, low = [], 0
+        for start, end in [*sorted((s, e) for s, _, e in base), (len(text), len(text))]:
+            for m in _CANDIDATE.finditer(text, low, max(low, start)):
+                runs = [(m.start() + r.start(), m.start() + r.end()) for r in re.finditer(r"[^.](?:.*[^.])?", m[0])]
+                parts = [(m.start() + r.start(), m.start() + r.end()) for r in re.finditer(r"[^.]+", m[0])]
+                for tried in (runs, parts):
+                    verdicts = [(a, self.judge(text[a:b]), b) for a, b in tried if b - a >= LEAST]
+                    found = [(a, verdict[0], b) for a, verdict, b in verdicts if verdict]
+                    if found:
+                        out += found
+                        break
+            low = max(low, end)
         return out
 
 
 def learn(docs: DataFrame, most: int = 400) -> Grammar:
-    """A grammar from ``docs``: at most ``most`` different credentials of each kind (by hash), symbol pairs of all texts."""
+    """A grammar from ``docs``: at most ``most`` different credentials of each kind (by hash), symbol pairs of all texts.
+
+    Credentials of more than 512 characters are not learned from; prefix trees would grow with their length.
+    """
     found = docs.select("text").mapInArrow(_examples, "kind int, value string").filter(F.length("value") <= 512)
     examples: dict[int, list[str]] = {}
     for kind in range(len(KINDS)):
