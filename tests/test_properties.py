@@ -375,3 +375,12 @@ def test_lists_that_share_lists_do_not_multiply(spark):
     assert manifests.expand(frame, roots, once=True).count() < 40
     rows = manifests.flatten(frame, roots).orderBy("position").collect()
     assert [(r.path, r.position) for r in rows] == [("d0.json", 0), ("d1.json", 1), ("d2.json", 2)]
+
+
+def test_metric_series_covers_all_events(spark):
+    from voxelsheet.registry import load_all
+
+    folder = "/root/testdata/sf0.001"
+    rows = load_all()["metric_series_all"].run(spark, folder)
+    assert rows.count() == spark.read.parquet(f"{folder}/events.parquet").count()
+    assert rows.groupBy("file").count().agg(F.max("count")).first()[0] <= 10_000

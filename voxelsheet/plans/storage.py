@@ -189,3 +189,20 @@ def _(t):
     rows = tables.read_metric_series(tables.read_lines(t.spark, path))
     total = F.aggregate("values", F.lit(0.0), lambda a, v: a + v)
     return rows.select(scalars.stem(F.col("file")).alias("file"), "pair", F.date_format("date", "yyyy-MM-dd").alias("date"), total.alias("total"))
+
+
+@query("metric_series_all", "file:s pair:l date:s total:d", """
+select concat('m', cast(event_id // 10000 as varchar)) as file, row_number() over (partition by event_id // 10000 order by event_id) - 1 as pair,
+       strftime(ts, '%Y-%m-%d') as date, cast(event_id % 7 + event_id % 5 as double) as total from events""")
+def _(t):
+    """All events, in files of up to 10,000 events each, so files spread over tasks and none grows with the table."""
+    path = scratch_path(t.spark, "series")
+    values = F.concat_ws(",", F.lit("a,b,c,d,e"), F.col("event_id") % 7, F.col("event_id") % 5)
+    lines = t.raw("events").select(F.concat(F.lit("m"), scalars.int_div(F.col("event_id"), 10_000)).alias("file"), "event_id",
+                                   F.concat_ws("\n", F.date_format("ts", "yyyy-MM-dd"), values).alias("line"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"])
+    texts = lines.groupBy("file").agg(F.array_join(ordered, "\n").alias("text"))
+    tables.write_named_texts(texts.select(F.concat("file", F.lit(".csv")).alias("name"), "text"), path)
+    rows = tables.read_metric_series(tables.read_lines(t.spark, path))
+    total = F.aggregate("values", F.lit(0.0), lambda a, v: a + v)
+    return rows.select(scalars.stem(F.col("file")).alias("file"), "pair", F.date_format("date", "yyyy-MM-dd").alias("date"), total.alias("total"))
