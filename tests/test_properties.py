@@ -384,3 +384,23 @@ def test_metric_series_covers_all_events(spark):
     rows = load_all()["metric_series_all"].run(spark, folder)
     assert rows.count() == spark.read.parquet(f"{folder}/events.parquet").count()
     assert rows.groupBy("file").count().agg(F.max("count")).first()[0] <= 10_000
+
+
+def test_default_shape_gather_covers_the_surface(spark):
+    """Every surface point has its summary; some of them, off the coarse grid, against the row form."""
+    from voxelsheet.plans import samples
+    from voxelsheet.registry import load_all
+    from voxelsheet.tables import Tables
+
+    folder = "/root/testdata/sf0.001"
+    load_all()
+    t = Tables(spark, folder)
+    out = load_all()["gather_default_shape_all"].run(spark, folder).cache()
+    ids = samples.with_point_id(t.surface).select("point_id")
+    assert out.count() == ids.count() and not ids.exceptAll(out.select("point_id")).count()
+    few = samples.with_point_id(t.surface).filter("px % 25 != 0").orderBy("point_id").limit(3)
+    options = gather.BlockOptions(shape=(48, 48, 48))
+    want = gather.summarize(gather.gather(few, t.voxels, ["point_id"], options, t.volume_shape), ["point_id"], options.cells)
+    want = {r.point_id: (r.n, r.sum_v, r.max_v) for r in want.collect()}
+    got = {r.point_id: (r.n, r.sum_v, r.max_v) for r in out.collect() if r.point_id in want}
+    assert len(want) == 3 and got == want

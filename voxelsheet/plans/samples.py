@@ -119,6 +119,13 @@ def _(t):
     return bricks.gather_summary(points, stored_bricks(t, 32), options, t.volume_shape, edge=32)
 
 
+@query("gather_default_shape_all", "point_id:l n:l sum_v:l max_v:l")
+def _(t):
+    """Blocks of the default shape at every surface point; too many cells for SQL, so without a twin."""
+    options = gather.BlockOptions(shape=(48, 48, 48))
+    return bricks.gather_summary(with_point_id(t.surface), stored_bricks(t, 32), options, t.volume_shape, edge=32)
+
+
 @query("bricks_roundtrip", "volume_id:l z:l y:l x:l v:l", "select * from voxels where v <> 0", "voxels")
 def _(t):
     return bricks.unpack_bricks(stored_bricks(t, 32), edge=32)
