@@ -404,3 +404,16 @@ def test_default_shape_gather_covers_the_surface(spark):
     want = {r.point_id: (r.n, r.sum_v, r.max_v) for r in want.collect()}
     got = {r.point_id: (r.n, r.sum_v, r.max_v) for r in out.collect() if r.point_id in want}
     assert len(want) == 3 and got == want
+
+
+def test_truncated_reconstruction(spark):
+    """Rank 3 data of more cells than fit a square matrix come back; noise is cut as by a full decomposition."""
+    rng = np.random.default_rng(12)
+    for cells, noise in ((20_000, 0.0), (60, 0.1)):
+        x = 5 + rng.normal(size=(40, 3)) @ rng.normal(size=(3, cells)) + noise * rng.normal(size=(40, cells))
+        df = spark.createDataFrame([(k, row) for k, row in enumerate(x.tolist())], "id long, block array<double>").repartition(3)
+        mean, basis = models.randomized_basis(df, "block", 3)
+        out = models.reconstruct_truncated(mean, basis, df, "block", ["id"]).orderBy("id").collect()
+        left, size, right = np.linalg.svd(x - x.mean(0), full_matrices=False)
+        want = (((left[:, :3] * size[:3]) @ right[:3] + x.mean(0) - x) ** 2).mean(1)
+        assert basis.shape == (cells, 3) and np.allclose([r.mse for r in out], want, atol=1e-6)

@@ -122,6 +122,70 @@ def reconstruct(model: PipelineModel, samples: DataFrame, block: str, keys: list
     return coded.mapInArrow(rebuild, f"{kinds}, rebuilt array<double>, mse double")
 
 
+CELL_ROWS = 256
+
+
+def _covariance_times(samples: DataFrame, block: str, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The covariance of the cells times ``q``, and the mean; tasks add up their rows, groups of cells are summed apart."""
+    shared = samples.sparkSession.sparkContext.broadcast(q)
+    width = q.shape[1] + 2
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, total = shared.value, np.zeros((len(shared.value), width))
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column(0).flatten(), "f8").reshape(batch.num_rows, -1)
+                total += np.column_stack([x.T @ (x @ q), x.sum(0), np.full(x.shape[1], len(x))])
+        for at in range(0, len(total), CELL_ROWS):
+            yield pa.record_batch([pa.array([at], pa.int32()), pa.array([total[at:at + CELL_ROWS].tobytes()], pa.binary())], names=["at", "part"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(p) for p in table.column("part").to_pylist())
+        return pa.table({"at": table.column("at")[:1], "part": pa.array([total.tobytes()], pa.binary())})
+
+    rows = samples.select(block).mapInArrow(part, "at int, part binary").groupBy("at").applyInArrow(merge, "at int, part binary").collect()
+    whole = np.concatenate([np.frombuffer(r.part).reshape(-1, width) for r in sorted(rows, key=lambda r: r["at"])])
+    n = max(whole[0, -1], 1.0)
+    mean = whole[:, -2] / n
+    return whole[:, :-2] / n - np.outer(mean, mean @ q), mean
+
+
+def randomized_basis(samples: DataFrame, block: str, k: int, extra: int = 10, passes: int = 3, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and ``k`` main components (cells x k) by a randomised decomposition.
+
+    Each pass over the samples multiplies their covariance with a few directions;
+    the driver holds cells x (k + extra) numbers and never cells x cells.
+    """
+    first = samples.select(F.size(block)).first()
+    if first is None:
+        raise ValueError("no samples to learn from")
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(first[0], min(first[0], k + extra))))[0]
+    for _ in range(passes):
+        q = np.linalg.qr(_covariance_times(samples, block, q)[0])[0]
+    product, mean = _covariance_times(samples, block, q)
+    inner = q.T @ product
+    return mean, q @ np.linalg.eigh((inner + inner.T) / 2)[1][:, ::-1][:, :k]
+
+
+def reconstruct_truncated(mean: np.ndarray, basis: np.ndarray, samples: DataFrame, block: str, keys: list[str]) -> DataFrame:
+    """Samples rebuilt from a few components around the mean, with the squared error of each."""
+    shared = samples.sparkSession.sparkContext.broadcast((mean, basis))
+
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, basis = shared.value
+        for batch in batches:
+            n = batch.num_rows
+            real = np.asarray(batch.column(block).flatten(), "f8").reshape(n, len(mean))
+            again = (real - mean) @ basis @ basis.T + mean
+            loss = ((again - real) ** 2).mean(1)
+            offsets = pa.array(np.arange(n + 1, dtype="i4") * again.shape[1])
+            blocks = pa.ListArray.from_arrays(offsets, pa.array(again.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], blocks, pa.array(loss)], [*keys, "rebuilt", "mse"])
+
+    kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
+    return samples.select(*keys, block).mapInArrow(rebuild, f"{kinds}, rebuilt array<double>, mse double")
+
+
 def validate(scored: DataFrame, batch: list[str], p1: str = "p1", label: str = "ink") -> DataFrame:
     """Batch metrics, then their means and sums."""
     pred = F.when(F.col(p1) > 1.0 - F.col(p1), 1).otherwise(0)

@@ -135,6 +135,13 @@ def _(t):
     return rebuilt.select("vec_id", F.round("mse", 9).alias("mse"))
 
 
+@query("reconstruction_truncated", "vec_id:l mse:d")
+def _(t):
+    """Lossy: eight components by a randomised decomposition."""
+    mean, basis = models.randomized_basis(t.feat, "embedding", 8)
+    return models.reconstruct_truncated(mean, basis, t.feat, "embedding", ["vec_id"]).drop("rebuilt")
+
+
 @query("intensity_transfer", "vec_id:l total:d", """
 with cells as (select ink, unnest(embedding) as v from feat), shares(s) as (select i / 16e0 from range(17) r(i)),
 knots as (select ink, list(k order by s) as ks from (select ink, s, cast(list_sort(list(v))[greatest(1, cast(ceil(s * count(*)) as bigint))] as double) as k from cells, shares group by ink, s) q group by ink),
