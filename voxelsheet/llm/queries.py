@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import decontamination, exact_dedup, language, mixing, near_dedup, pii, quality, secret_scan, token_counts, toxicity
+from . import alignment, decontamination, exact_dedup, language, mixing, near_dedup, pii, quality, ranked_search, secret_scan, simhash, token_counts, toxicity
 from .arrow import bound_batches
 
 
@@ -57,9 +57,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents")).drop("component_size")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality, op2_pii, op3_near_dedup, op4_secrets, op5_exact_dedup, op6_toxicity, op7_decontamination, op8_mixing,
-                           op9_token_counts, op10_language)
+                           op9_token_counts, op10_language, op11_simhash, op12_alignment, op13_ranked_search)
 }
 
 ORACLES: dict[str, str] = {
@@ -122,4 +134,30 @@ ORACLES: dict[str, str] = {
                cast(size * (epochs + case when rest > 0 and before + size / 2e0 <= rest then 1 else 0 end) as bigint) as taken
         from summed
     """,
+    "op13_ranked_search": r"""
+        with lowered as (
+            select 'd' as kind, row_number() over () as k, doc_id as id,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+            union all
+            select 'b', row_number() over (), item_id,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark),
+        lists as (select kind, k, id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as terms from lowered),
+        sizes as (select kind, k, id, cast(len(terms) as bigint) as n from lists),
+        whole as (select cast(count(*) as bigint) as docs, cast(sum(n) as bigint) as l from sizes where kind = 'd' and n > 0),
+        counted as (select kind, k, term, cast(count(*) as bigint) as tf
+                    from (select kind, k, unnest(terms) as term from lists) q group by kind, k, term),
+        weights as (
+            select term, cast(floor(1000 * ln((2 * docs + 2) / cast(2 * count(*) + 1 as double))) as bigint) as w
+            from counted, whole where kind = 'd' group by term, docs),
+        scored as (
+            select q.k as item, d.k as doc,
+                   cast(sum(q.tf * w * ((1000000000 * d.tf) // (1000 * d.tf + 12 * (75 + (25 * n * docs) // l)))) as bigint) as score
+            from counted q join weights using (term) join counted d using (term) join sizes s on s.kind = 'd' and s.k = d.k, whole
+            where q.kind = 'b' and d.kind = 'd' group by q.k, d.k),
+        ranked as (
+            select i.id as item_id, d.id as doc_id, score,
+                   row_number() over (partition by i.k order by score desc, d.id asc nulls last) as rank
+            from scored join sizes i on i.kind = 'b' and i.k = item join sizes d on d.kind = 'd' and d.k = doc where score > 0)
+        select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 20
+    """,
 }
