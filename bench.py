@@ -17,7 +17,7 @@ from voxelsheet.registry import load_all
 from voxelsheet.session import session
 
 HEADLINE = [
-    "gather_nearest", "gather_bricks", "gather_trilinear", "gather_trilinear_bricks", "gather_default_shape", "label_patch_rgb", "oblique_slice", "request_blocks",
+    "gather_nearest", "gather_bricks", "gather_trilinear", "gather_trilinear_bricks", "gather_default_shape_all", "label_patch_rgb", "oblique_slice", "request_blocks",
     "on_surface", "ambiguous_filter", "undersample", "oversample", "shuffled_batches",
     "confusion", "metric_rollup", "ranked_auc", "pooled_scores", "f1_sweep", "stamp_last_write", "face_merge", "summary_metrics",
     "slice_stats", "global_stats", "gaussian_blur", "window_rescale", "auto_window", "running_extremes", "mutual_information", "pearson_top_k", "slab_merge", "downsample_volume",

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import chance, geometry as g, scalars, tensors as t
 from ..functions.ordering import explode_count, spread
+from . import augment
 from .blocks import dense_blocks
 
 
@@ -175,10 +176,10 @@ def as_blocks(hits: DataFrame, keys: list[str], cells: int) -> DataFrame:
     return dense_blocks(hits, keys, "cell", "v", cells, (F.col("cell") >= 0) & F.col("v").isNotNull())
 
 
-def finish_block(block: Column, options: BlockOptions, ids: list[str]) -> Column:
+def finish_block(block: Column, options: BlockOptions, ids: list[str], portable: bool = False) -> Column:
     """uint16 block to a model input: window, [0, 1], flips, [-1, 1], standardise.
 
-    Flips happen only when ``augment`` is on.
+    Flips happen only when ``augment`` is on: :func:`~voxelsheet.operators.augment.random_flips`.
     """
     scaled = block
     if options.window is not None:
@@ -186,9 +187,8 @@ def finish_block(block: Column, options: BlockOptions, ids: list[str]) -> Column
         scaled = F.transform(scaled, lambda v: F.floor(scalars.rewindow(v.cast("double"), low, high, 0.0, 65535.0)))
     scaled = F.transform(scaled, lambda v: scalars.unit_from_uint16(v.cast("double")))
     if options.augment:
-        bits = chance.draw(options.seed, *ids)
-        scaled = F.when(bits % 2 == 1, t.mirror_x(scaled, options.shape)).otherwise(scaled)
-        scaled = F.when(F.shiftright(bits, 1) % 2 == 1, t.mirror_y(scaled, options.shape)).otherwise(scaled)
+        key = F.col(ids[0]) if len(ids) == 1 else F.xxhash64(*ids)
+        scaled = augment.random_flips(scaled, options.shape, options.seed, key, portable)
     scaled = F.transform(scaled, scalars.centered)
     return t.standardize(scaled) if options.standardize else scaled
 

@@ -86,6 +86,15 @@ def slice_numbers(slices: DataFrame, file: str, stride: int) -> DataFrame:
     )
 
 
+def name_slices(cells: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Padded file names for cells of a stack scan, which brings the numbers; ``sizes`` is a row per stack."""
+    total = sizes.agg(F.sum("depth")).scalar()
+    named = cells.join(sizes.select("ordinal", "depth"), "ordinal")
+    return named.select(
+        *cells.columns, F.concat(scalars.zero_padded(F.col("number"), F.length(total.cast("string"))), F.lit(".tif")).alias("combined_name"),
+        F.concat(scalars.zero_padded(F.col("z"), F.length(F.col("depth").cast("string"))), F.lit(".tif")).alias("own_name"))
+
+
 def crop_slices(slabs: DataFrame, min_x=0, width=None, min_y=0, height=None) -> DataFrame:
     """Crop with open upper ends."""
     kept = slabs.filter((F.col("x") >= min_x) & (F.col("y") >= min_y))

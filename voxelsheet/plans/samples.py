@@ -8,6 +8,7 @@ from ..functions import geometry as g, scalars, tensors
 from ..operators import bricks, gather, selection
 from ..registry import query
 from ..session import scratch_path
+from ..sources import volumes
 
 BLOCK = gather.BlockOptions(shape=(4, 4, 4))
 KEYS = ["face_id", "px", "py"]
@@ -109,16 +110,6 @@ def _(t):
     return bricks.gather_summary(with_point_id(chosen_points(t)), packed, options, t.volume_shape, edge=16)
 
 
-@query("gather_default_shape", "point_id:l n:l sum_v:l max_v:l", f"""
-with pts as (select *, 0e0 as d from surface where px % 25 = 0 and py % 25 = 0), {PLACED}, {cells_sql(48, 48, 48)}, {NEAREST}
-select py * 50 + px as point_id, count(*) as n, sum(v) as sum_v, max(v) as max_v from gathered group by py * 50 + px""", "voxels surface")
-def _(t):
-    """Blocks of the default shape, 110,592 cells a point, at a coarse grid of points."""
-    options = gather.BlockOptions(shape=(48, 48, 48))
-    points = with_point_id(t.surface.filter("px % 25 = 0 and py % 25 = 0"))
-    return bricks.gather_summary(points, stored_bricks(t, 32), options, t.volume_shape, edge=32)
-
-
 @query("gather_default_shape_all", "point_id:l n:l sum_v:l max_v:l")
 def _(t):
     """Blocks of the default shape at every surface point; too many cells for SQL, so without a twin."""
@@ -126,6 +117,19 @@ def _(t):
     return bricks.gather_summary(with_point_id(t.surface), stored_bricks(t, 32), options, t.volume_shape, edge=32)
 
 
+@query("slices_to_bricks", "point_id:l n:l sum_v:l max_v:l", f"""
+with {SELECTED}, {PLACED}, {cells_sql(8, 8, 8)}, {NEAREST}
+select py * 50 + px as point_id, count(*) as n, sum(v) as sum_v, max(v) as max_v from gathered group by py * 50 + px""",
+       "voxels surface raster")
+def _(t):
+    """From raw slice files to bricks without a row per voxel, stored, and read only where points lie."""
+    raw, packed = scratch_path(t.spark, "slices"), scratch_path(t.spark, "bricks")
+    volumes.write_slices(t.voxels, raw, t.volume_shape, {})
+    bricks.write_bricks(volumes.pack_slices(t.spark, raw, edge=16), packed)
+    options = gather.BlockOptions(shape=(8, 8, 8))
+    return bricks.gather_summary(with_point_id(chosen_points(t)), bricks.read_bricks(t.spark, packed), options, t.volume_shape, edge=16)
+
+
 @query("bricks_roundtrip", "volume_id:l z:l y:l x:l v:l", "select * from voxels where v <> 0", "voxels")
 def _(t):
     return bricks.unpack_bricks(stored_bricks(t, 32), edge=32)
@@ -230,7 +234,7 @@ def _(t):
                         F.round(F.array_max("block"), 6).alias("top_v"))
 
 
-@query("axis_aligned_blocks", "px:l py:l n:l sum_v:l max_v:l", """
+AXIS_ALIGNED = """
 with p as (select px, py, case when abs(nx) >= abs(ny) and abs(nx) >= abs(nz) then 0 when abs(ny) >= abs(nz) then 1 else 2 end as axis, nx, ny, nz,
                   cast(round_even(x, 0) as bigint) as cx, cast(round_even(y, 0) as bigint) as cy, cast(round_even(z, 0) as bigint) as cz from surface),
 q as (select *, case axis when 0 then nx < 0 when 1 then ny < 0 else nz < 0 end as turned from p),
@@ -243,12 +247,23 @@ spot as (select px, py, cx, cy, cz,
 select px, py, count(*) as n, coalesce(sum(v.v), 0) as sum_v, coalesce(max(v.v), 0) as max_v
 from spot cross join volume_shape s left join voxels v on v.x = spot.x and v.y = spot.y and v.z = spot.z
   and cx >= 2 and cy >= 2 and cz >= 2 and cx + 2 <= s.width and cy + 2 <= s.height and cz + 2 <= s.depth
-group by px, py""", "voxels surface volume_shape")
+group by px, py"""
+
+
+@query("axis_aligned_blocks", "px:l py:l n:l sum_v:l max_v:l", AXIS_ALIGNED, "voxels surface volume_shape")
 def _(t):
     hits = gather.axis_aligned(t.surface, t.voxels, ["px", "py"], (4, 4, 4), t.volume_shape)
     return gather.summarize(hits, ["px", "py"], BLOCK.cells)
 
 
+@query("axis_aligned_bricks", "px:l py:l n:l sum_v:l max_v:l", AXIS_ALIGNED, "voxels surface volume_shape")
+def _(t):
+    """The same boxes from bricks, without a row per cell."""
+    placed = bricks.place_axis_aligned(with_point_id(t.surface), (4, 4, 4), t.volume_shape)
+    out = bricks.read_summary(placed, stored_bricks(t, 16), bricks.AXIS_ALIGNED, t.volume_shape, edge=16)
+    return out.select((F.col("point_id") % 50).alias("px"), F.floor(F.col("point_id") / 50).alias("py"), "n", "sum_v", "max_v")
+
+
 ANGLES = """
 asked as (select request_id, cx as x, cy as y, cz as z, (request_id % 7) * 0.1e0 as ax, (request_id % 5) * 0.15e0 as ay, (request_id % 11) * 0.2e0 as az from requests),
 trig as (select *, sin(ax) as sa, cos(ax) as ca, sin(ay) as sb, cos(ay) as cb, sin(az) as sc, cos(az) as cc from asked)"""
@@ -262,7 +277,7 @@ def angled(t):
     )
 
 
-@query("oblique_slice", "request_id:l row:l col:l v:l", f"""
+OBLIQUE = f"""
 with {ANGLES},
 spot as (select t.*, i.i as i, j.i as j, (i.i - 6) * 1e0 as u, (j.i - 6) * 1e0 as w from trig t, range(13) i(i), range(13) j(i)),
 pos as (select *, cast(trunc((cb * cc * u + (sa * sb * cc - ca * sc) * w) / 2e0 + x) as bigint) as vx,
@@ -270,13 +285,25 @@ pos as (select *, cast(trunc((cb * cc * u + (sa * sb * cc - ca * sc) * w) / 2e0
                   cast(trunc((-sb * u + sa * cb * w) / 2e0 + z) as bigint) as vz from spot)
 select p.request_id, j as row, i as col, coalesce(v.v, 0) as v
 from pos p cross join volume_shape s left join voxels v
-  on v.x = least(greatest(vx, 0), s.width - 1) and v.y = least(greatest(vy, 0), s.height - 1) and v.z = least(greatest(vz, 0), s.depth - 1)""",
-       "voxels requests volume_shape")
+  on v.x = least(greatest(vx, 0), s.width - 1) and v.y = least(greatest(vy, 0), s.height - 1) and v.z = least(greatest(vz, 0), s.depth - 1)"""
+
+
+@query("oblique_slice", "request_id:l row:l col:l v:l", OBLIQUE, "voxels requests volume_shape")
 def _(t):
     radius = gather.slice_radius(30.0, 10.0, 2.0)
     return gather.oblique_slice(angled(t), t.voxels, ["request_id"], radius, 2.0, t.volume_shape)
 
 
+@query("oblique_bricks", "request_id:l row:l col:l v:l", OBLIQUE, "voxels requests volume_shape")
+def _(t):
+    """The same planes from bricks; cells are rows only in the result."""
+    radius = gather.slice_radius(30.0, 10.0, 2.0)
+    planes = bricks.oblique_blocks(angled(t), stored_bricks(t, 16), "request_id", radius, 2.0, t.volume_shape, edge=16)
+    side = 2 * radius + 1
+    cells = bricks.unpack_blocks(planes)
+    return cells.select(F.col("point_id").alias("request_id"), scalars.int_div(F.col("cell"), side).alias("row"), (F.col("cell") % side).alias("col"), "v")
+
+
 @query("oblique_crossings", "request_id:l edge:l u:d w:d", f"""
 with {ANGLES},
 corner(n, u, w) as (values (0, -6e0, -6e0), (1, -6e0, 6e0), (2, 6e0, 6e0), (3, 6e0, -6e0)),
@@ -315,6 +342,26 @@ def _(t):
     return gather.summarize(hits, ["request_id"], 75)
 
 
+RADII = "1 + request_id % 40 as rx, 1 + request_id * 7 % 40 as ry, request_id % 4 as rz"
+
+
+@query("request_bricks", "request_id:l nz:l ny:l nx:l bytes:l sum_v:l max_v:l", f"""
+with r as (select request_id, cx, cy, cz, {RADII} from requests),
+xs as (select request_id, cast(trunc(cx + o.i - rx + 0.5e0) as bigint) as x, count(*) as n from r, range(81) o(i) where o.i <= 2 * rx group by all),
+ys as (select request_id, cast(trunc(cy + o.i - ry + 0.5e0) as bigint) as y, count(*) as n from r, range(81) o(i) where o.i <= 2 * ry group by all),
+zs as (select request_id, cast(trunc(cz + o.i - rz + 0.5e0) as bigint) as z, count(*) as n from r, range(81) o(i) where o.i <= 2 * rz group by all),
+s as (select request_id, sum(v * xs.n * ys.n * zs.n) as sum_v, max(v) as max_v
+      from xs join ys using (request_id) join zs using (request_id) join voxels v on v.x = xs.x and v.y = ys.y and v.z = zs.z group by request_id)
+select r.request_id, 2 * rz + 1 as nz, 2 * ry + 1 as ny, 2 * rx + 1 as nx, (2 * rz + 1) * (2 * ry + 1) * (2 * rx + 1) * 2 as bytes, coalesce(sum_v, 0) as sum_v, coalesce(max_v, 0) as max_v
+from r left join s using (request_id)""", "voxels requests")
+def _(t):
+    """Packed blocks with radii from 1 to 40 that differ from request to request."""
+    k = F.col("request_id")
+    asked = t.requests.withColumns({"rx": 1 + k % 40, "ry": 1 + k * 7 % 40, "rz": k % 4})
+    blocks = bricks.request_blocks(asked, stored_bricks(t, 16), t.volume_shape, edge=16)
+    return bricks.block_sums(blocks).select(F.col("point_id").alias("request_id"), "nz", "ny", "nx", (F.col("n") * 2).alias("bytes"), "sum_v", "max_v")
+
+
 # --- labels -----------------------------------------------------------------------
 
 

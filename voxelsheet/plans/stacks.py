@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import datasets, stacks, stencils
 from ..registry import query
+from ..session import scratch_path
+from ..sources import stacks as stack_files
 from ..tables import N_SLABS, SLAB_DEPTH
 
 
@@ -81,6 +83,42 @@ def _(t):
     return windowed.join(named, ["slab", "z"])
 
 
+STACK_SIZES = """
+size as (select k as slab, 40 - 3 * k as depth, coalesce(sum(40 - 3 * k) over (order by k rows between unbounded preceding and 1 preceding), 0) as before,
+                sum(40 - 3 * k) over () as total from range(6) r(k)),
+cells as (select size.slab, depth, before, total, z.z as z, y.y as y, x.x as x, coalesce(s.raw, 0) as raw
+          from size cross join range(40) z(z) cross join range(16) y(y) cross join range(8) x(x) left join slabs s on s.slab = size.slab and s.z = z.z and s.y = y.y and s.x = x.x where z.z < depth)"""
+
+
+def stored_stacks(t):
+    """The slabs as stacks of falling depth, one file each."""
+    path = scratch_path(t.spark, "stacks")
+    cells = t.slabs.filter(F.col("z") < SLAB_DEPTH - 3 * F.col("slab")).select(
+        F.concat(F.lit("slab"), "slab").alias("stack"), "z", "y", "x", F.col("raw").alias("v"))
+    stack_files.write_stacks(cells, path, [(f"slab{k}", SLAB_DEPTH - 3 * k, 16, 8) for k in range(N_SLABS)])
+    return path
+
+
+@query("stack_scan", "stack:s z:l y:l x:l v:l number:l combined_name:s own_name:s", f"""
+with {STACK_SIZES}
+select concat('slab', cast(slab as varchar)) as stack, z, y, x, cast(trunc(least(greatest((raw - 100000e0) / (9000000e0 - 100000e0) * 65535e0, 0e0), 65535e0)) as bigint) as v,
+       before + z as number, concat(lpad(cast(before + z as varchar), cast(length(cast(total as varchar)) as int), '0'), '.tif') as combined_name,
+       concat(lpad(cast(z as varchar), cast(length(cast(depth as varchar)) as int), '0'), '.tif') as own_name
+from cells where z % 3 = 0 and x >= 2 and x < 7 and y >= 4 and before + z >= 10""", "slabs")
+def _(t):
+    """Stacks written and read back: crop, stride and range decide which bytes are read; then windowed and named."""
+    path = stored_stacks(t)
+    kept = stacks.crop_slices(stack_files.read_stacks(t.spark, path, stride=3), min_x=2, width=5, min_y=4).filter("number >= 10")
+    windowed = stacks.rewindow(kept.withColumn("v", F.col("v").cast("double")), "v", (100000.0, 9000000.0))
+    return stacks.name_slices(windowed, stack_files.sizes(t.spark, path))
+
+
+@query("stack_roundtrip", "stack:s ordinal:l z:l number:l y:l x:l v:l", f"""
+with {STACK_SIZES} select concat('slab', cast(slab as varchar)) as stack, slab as ordinal, z, before + z as number, y, x, raw as v from cells""", "slabs")
+def _(t):
+    return stack_files.read_stacks(t.spark, stored_stacks(t))
+
+
 @query("slice_renumber", "slab:l z:l number:l combined_name:s own_name:s", """
 with s as (select distinct slab, z from slabs), d as (select slab, max(z) + 1 as depth from s group by slab),
 b as (select *, coalesce(sum(depth) over (order by slab rows between unbounded preceding and 1 preceding), 0) as before, sum(depth) over () as total from d)

@@ -98,7 +98,8 @@ def _(t):
     jobs = t.raw("region").select(F.col("r_regionkey").alias("fold"), F.concat(F.lit("2024-01-02_03.04.05_"), "r_regionkey").alias("job_dir"))
     info = F.to_json(F.struct("ppm", "invert_normals", F.array("x0", "y0", "x1", "y1").alias("bounding_box")))
     entry = F.concat(F.lit('"'), "path", F.lit('":'), info)
-    own = jobs.filter("fold < 4").join(t.sources, F.lit(True) & (F.col("fold") >= 0))
+    listed = t.sources.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    own = jobs.filter("fold < 4").join(listed, "fold")
     sets = [F.array_join(F.collect_list(F.when(F.col(s) & ((F.lit(s) != "training") | (F.col("source_ord") % 5 != F.col("fold"))), entry)), ",") for s in tables.SET_TYPES]
     text = F.concat(F.lit('{"Date": "2024-01-02", "Data": {'), *[p for k, (s, e) in enumerate(zip(tables.SET_TYPES, sets)) for p in (F.lit(f'{"," if k else ""}"{s}": {{'), e, F.lit("}"))], F.lit("}}"))
     texts = own.groupBy("job_dir").agg(text.alias("text")).unionByName(jobs.filter("fold = 4").select("job_dir", F.lit("{broken").alias("text")))
@@ -173,24 +174,6 @@ def _(t):
     return files.select(name.alias("name"), scalars.prediction_file_part(name, 2).eqNullSafe("final").alias("fits"))
 
 
-@query("metric_series", "file:s pair:l date:s total:d", """
-select concat('m', cast(user_id % 3 as varchar)) as file, row_number() over (partition by user_id % 3 order by event_id) - 1 as pair,
-       strftime(ts, '%Y-%m-%d') as date, cast(event_id % 7 + event_id % 5 as double) as total from events where event_id % 10 = 0""")
-def _(t):
-    """A date line and a value line in turn, written as files and read with line numbers."""
-    path = scratch_path(t.spark, "series")
-    e = t.raw("events").filter("event_id % 10 = 0")
-    values = F.concat_ws(",", F.lit("a,b,c,d,e"), F.col("event_id") % 7, F.col("event_id") % 5)
-    lines = e.select(F.concat(F.lit("m"), F.col("user_id") % 3).alias("file"), "event_id",
-                     F.concat_ws("\n", F.date_format("ts", "yyyy-MM-dd"), values).alias("line"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"])
-    texts = lines.groupBy("file").agg(F.array_join(ordered, "\n").alias("text"))
-    tables.write_named_texts(texts.select(F.concat("file", F.lit(".csv")).alias("name"), "text"), path)
-    rows = tables.read_metric_series(tables.read_lines(t.spark, path))
-    total = F.aggregate("values", F.lit(0.0), lambda a, v: a + v)
-    return rows.select(scalars.stem(F.col("file")).alias("file"), "pair", F.date_format("date", "yyyy-MM-dd").alias("date"), total.alias("total"))
-
-
 @query("metric_series_all", "file:s pair:l date:s total:d", """
 select concat('m', cast(event_id // 10000 as varchar)) as file, row_number() over (partition by event_id // 10000 order by event_id) - 1 as pair,
        strftime(ts, '%Y-%m-%d') as date, cast(event_id % 7 + event_id % 5 as double) as total from events""")

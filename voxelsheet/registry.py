@@ -57,6 +57,6 @@ def query(name: str, columns: str, sql: str | None = None, uses: str = ""):
 
 
 def load_all() -> dict[str, Query]:
-    from .plans import catalogs, evaluation, grids, samples, selection, stacks, storage, training  # noqa: F401
+    from .plans import catalogs, evaluation, grids, learned, samples, selection, stacks, storage, training  # noqa: F401
 
     return QUERIES

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from dataclasses import dataclass
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..functions import scalars
 from ..operators.manifests import descriptor_text, lines_to_edges, parse_descriptors
-from ..session import scratch_path
+from ..session import mounted_path, scratch_path
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -36,13 +40,70 @@ def read_descriptors(spark: SparkSession, folder: str) -> DataFrame:
     return parse_descriptors(_whole_texts(spark, folder, "*.json"))
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    files: int
+
+
+class TextWriter(DataSourceWriter):
+    """Each row (name, text) as a file of its own, put under its final name by the task."""
+
+    def __init__(self, options):
+        self.folder = mounted_path(options["path"])
+
+    def write(self, rows) -> _Written:
+        count = 0
+        for name, text in rows:
+            target = os.path.join(self.folder, name)
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            data = (text or "").encode()
+            half = f"{target}.{uuid.uuid4().hex}.half"
+            with open(half, "wb") as f:
+                f.write(data)
+            try:
+                os.link(half, target)  # fails where a file is, and shows whole files only
+            except FileExistsError:
+                with open(target, "rb") as f:  # a repeated task finds its own file
+                    if f.read() != data:
+                        raise
+            finally:
+                os.unlink(half)
+            count += 1
+        return _Written(count)
+
+    def commit(self, messages):
+        pass
+
+    def abort(self, messages):
+        pass
+
+
+class TextSink(DataSource):
+    """``df.write.format("named_texts")`` for rows (name, text)."""
+
+    @classmethod
+    def name(cls):
+        return "named_texts"
+
+    def schema(self):
+        return "name string, text string"
+
+    def writer(self, schema, overwrite):
+        return TextWriter(self.options)
+
+
 def write_named_texts(texts: DataFrame, path: str) -> None:
     """Write each row (name, text) as the file ``path/name``; names may hold folders and must be distinct.
 
-    Executors write one file per name beside the target; the driver then only
-    renames them, so a failed write leaves no half file under a final name.
+    The tasks write the files and give them their names, so nothing is done file by file on the
+    driver; a file is whole or not there. A name that is taken by another text is an error.
+    On a file system that is not mounted the driver has to rename what Spark's writer left.
     """
     spark = texts.sparkSession
+    if "://" not in path.removeprefix("file://"):
+        spark.dataSource.register(TextSink)
+        texts.select("name", "text").write.format("named_texts").mode("append").save(path)
+        return
     staged = scratch_path(spark, "texts")
     texts.select(F.col("name"), F.col("text").alias("value")).repartition("name").write.partitionBy("name").option("lineSep", "\n").text(staged)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
