@@ -140,15 +140,21 @@ def ranked_auc(rows: DataFrame, by: list[str], score: str, label: Column) -> Dat
     return steps.groupBy(*by).agg(F.try_divide(won / 2.0, F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
-def pooled(rows: DataFrame, by: list[str], p255: Column, label: Column) -> DataFrame:
+def pooled(rows: DataFrame, by: list[str], p255: Column, label: Column, n: Column | None = None) -> DataFrame:
     """Pooled evaluation: ratio of sums, 0 on empty denominators.
 
-    ``cross_entropy_on_scores`` takes the probabilities as logits.
+    ``cross_entropy_on_scores`` takes the probabilities as logits. ``n`` says how many
+    pixels a row stands for.
     """
     no, yes = scalars.pixel_scores(p255)
-    counts = rows.groupBy(*by).agg(
-        *confusion_counts(predicted_class(p255), label), F.avg(cross_entropy(no, yes, label)).alias("cross_entropy_on_scores")
-    )
+    pred, loss = predicted_class(p255), cross_entropy(no, yes, label)
+    if n is None:
+        parts = [*confusion_counts(pred, label), F.avg(loss).alias("cross_entropy_on_scores")]
+    else:
+        pairs = {"tp": (1, 1), "fp": (1, 0), "tn": (0, 0), "fn": (0, 1)}
+        parts = [F.sum(F.when((pred == p) & (label == y), n).otherwise(0)).alias(name) for name, (p, y) in pairs.items()]
+        parts.append((F.sum(loss * n) / F.sum(n)).alias("cross_entropy_on_scores"))
+    counts = rows.groupBy(*by).agg(*parts)
     tp, fp, tn, fn = _c()
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     ratios = counts.select(

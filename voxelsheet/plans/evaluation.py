@@ -211,11 +211,26 @@ evaluated as (select m.epoch, m.batch, m.p255, {CLASSED} from merged m join rast
   join sources s on s.validation and m.px between s.x0 and s.x1 and m.py between s.y0 and s.y1 where r.mask <> 0)
 {POOLED.format(by="epoch, batch")}""", "predictions raster sources surface_size")
 def _(t):
-    """Pooled metrics per iteration: as-of merge of all regions, masked and boxed."""
+    """Pooled metrics per iteration: as-of merge of all regions, masked and boxed, from changes between iterations."""
     from ..operators import summary
 
     boxes = t.sources.filter("validation").select("x0", "y0", "x1", "y1")
-    width, height = t.surface_size
+    metrics = summary.metrics_per_iteration(region_boxes(images(t), t), t.predictions, t.raster, boxes)
+    return rounded(metrics, ["epoch", "batch"])
+
+
+@query("face_as_of", "epoch:l batch:l pixels:l total:l", f"""
+with {IMAGES}, {BOXES}, its as (select distinct epoch * 10000000000 + batch as k, epoch, batch from images),
+seen as (select distinct region, epoch * 10000000000 + batch as k from images),
+latest as (select i.epoch, i.batch, s.region, max(s.k) as k from its i join seen s on s.k <= i.k group by all),
+pix as (select l.epoch, l.batch, i.region, i.px, i.py, i.p255, min(l.region) over (partition by l.epoch, l.batch) as first
+        from latest l join images i on i.region = l.region and i.epoch * 10000000000 + i.batch = l.k),
+kept as (select p.* from pix p join boxes b using (region) where p.region = p.first or (px >= x0 and px < x1 and py >= y0 and py < y1)),
+merged as (select * from (select *, row_number() over (partition by epoch, batch, px, py order by region desc) as rn from kept) where rn = 1)
+select epoch, batch, count(*) as pixels, sum(p255) as total from merged group by epoch, batch""", "predictions surface_size")
+def _(t):
+    """The merged face itself as of every iteration."""
+    from ..operators import summary
+
     merged = summary.face_as_of(region_boxes(images(t), t), t.predictions)
-    rows = scoring.evaluation_pixels(merged, t.raster, boxes, keys=())
-    return rounded(scoring.pooled(rows, ["epoch", "batch"], F.col("p255"), F.col("label")), ["epoch", "batch"])
+    return merged.groupBy("epoch", "batch").agg(F.count("*").alias("pixels"), F.sum("p255").alias("total"))
