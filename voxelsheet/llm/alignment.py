@@ -18,15 +18,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize
-from .words import slices
+from ..session import materialize, scratch_path
+from .words import slices, text_bytes
 
 BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -34,9 +34,9 @@ PIECE_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECE = 1 << 14
 FREQUENT = 1 << 19
-KNOWN_SEGMENTS, KNOWN_LENGTH = 1 << 17, 48
+KNOWN_SEGMENTS, KNOWN_TOKENS = 1 << 18, 1 << 23
 #: A space at which a token of either kind begins, whatever surrounds it: alone between characters that are no blanks.
-SEGMENT = regex.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
+SEGMENT = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 
 
 def byte_symbols() -> dict[str, int]:
@@ -55,13 +55,17 @@ def byte_tokens(vocabulary: bytes) -> dict[bytes, int]:
 
 
 def piece_bytes(piece: str) -> bytes:
-    if regex.fullmatch(r"<0x[0-9A-F]{2}>", piece):
+    if re.fullmatch(r"<0x[0-9A-F]{2}>", piece):
         return bytes([int(piece[3:5], 16)])
     return piece.replace("▁", " ").encode()
 
 
 class Tokenizers:
-    """Both tokenizers, and the ids of short segments met before."""
+    """Both tokenizers, and the ids of the segments met before.
+
+    Texts are cut where a token of either kind begins whatever surrounds it, so a
+    segment has the same ids everywhere. New segments are encoded together, as one text.
+    """
 
     def __init__(self, byte_vocabulary: bytes, piece_vocabulary: bytes):
         import sentencepiece
@@ -74,34 +78,86 @@ class Tokenizers:
         self.b_bytes = [piece_bytes(p) for p in pieces]
         # pieces that hold a blank behind other characters could cross the place where segments are cut
         self.cuttable = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.a_length = np.zeros(max(ranks.values()) + 1, np.int64)
-        self.a_length[list(ranks.values())] = [len(t) for t in ranks]
-        self.b_length = np.array([len(b) for b in self.b_bytes], np.int64)
-        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
-
-    def segment(self, text: str) -> tuple[bytes, bytes, bool]:
-        """Ids of ``text`` behind a space, as packed 32-bit numbers, and whether B's bytes are those of the text."""
-        if (found := self.known.get(text)) is not None:
-            return found
-        whole = f" {text}".encode()
+        a_length = np.zeros(max(ranks.values()) + 1, np.int64)
+        a_length[list(ranks.values())] = [len(t) for t in ranks]
+        self.lengths = (a_length, np.array([len(b) for b in self.b_bytes], np.int64))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = [np.zeros(0, np.uint32)] * 2
+        self.first = [np.zeros(1, np.int64)] * 2
+        self.same = np.zeros(0, bool)
+
+    def _alone(self, segment: str) -> tuple[list[int], list[int], bool]:
+        whole = f" {segment}".encode()
+        b = self.b.encode(segment)
+        return self.a.encode_ordinary(f" {segment}"), b, b"".join([self.b_bytes[k] for k in b]) == whole
+
+    def _together(self, segments: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]] | None:
+        """Ids of all segments and how many each has, by one call; none if that is not certain to be right."""
+        text = " ".join(segments)
+        ends = np.cumsum([len(s.encode()) + 1 for s in segments])
         b = self.b.encode(text)
-        same = b"".join([self.b_bytes[k] for k in b]) == whole
-        found = (np.array(self.a.encode_ordinary(f" {text}"), np.uint32).tobytes(), np.array(b, np.uint32).tobytes(), same)
-        if len(text) <= KNOWN_LENGTH:
-            if len(self.known) >= KNOWN_SEGMENTS:
-                self.known.clear()
-            self.known[text] = found
-        return found
-
-    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of both; none if the text is empty or its bytes differ."""
-        none = np.zeros(0, np.uint32)
-        if not text:
-            return none, none
-        parts = [self.segment(s) for s in (SEGMENT.split(text) if self.cuttable else [text])]
-        if not all(same for _, _, same in parts):
-            return none, none
-        return tuple(np.frombuffer(b"".join([p[k] for p in parts]), np.uint32) for k in (0, 1))
+        if b"".join([self.b_bytes[k] for k in b]) != f" {text}".encode():
+            return None
+        ids, counts = [], []
+        for found, length in zip((self.a.encode_ordinary(f" {text}"), b), self.lengths):
+            ids.append(np.array(found, np.uint32))
+            token_ends = np.cumsum(length[ids[-1]])
+            last = np.searchsorted(token_ends, ends)
+            if (token_ends[last] != ends).any():
+                return None
+            counts.append(np.diff(last, prepend=-1))
+        return ids, counts
+
+    def _learn(self, segments: list[str], odd: set[str]) -> None:
+        """Add new segments to the known ones; those with blanks at their borders or the sign for a blank are encoded one by one."""
+        plain, odd = [s for s in segments if s not in odd], [s for s in segments if s in odd]
+        made = self._together(plain) if plain else ([np.zeros(0, np.uint32)] * 2, [np.zeros(0, np.int64)] * 2)
+        if made is None:
+            odd, plain, made = plain + odd, [], ([np.zeros(0, np.uint32)] * 2, [np.zeros(0, np.int64)] * 2)
+        alone = [self._alone(s) for s in odd]
+        for k in range(2):
+            ids = np.concatenate([made[0][k], *[np.array(x[k], np.uint32) for x in alone]])
+            counts = np.r_[made[1][k], np.array([len(x[k]) for x in alone], np.int64)]
+            self.first[k] = np.r_[self.first[k], self.first[k][-1] + np.cumsum(counts)]
+            self.ids[k] = np.r_[self.ids[k], ids]
+        self.same = np.r_[self.same, np.ones(len(plain), bool), np.array([x[2] for x in alone], bool)]
+        for s in plain + odd:
+            self.known[s] = len(self.known)
+
+    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of all texts, A's and B's, and for each side where each text begins; no tokens if a text is empty or its bytes differ."""
+        if len(self.known) > KNOWN_SEGMENTS or self.first[0][-1] + self.first[1][-1] > KNOWN_TOKENS:
+            self._forget()
+        parts = [SEGMENT.split(t) if self.cuttable else [t] for t in texts if t]
+        if not parts:
+            return [np.zeros(0, np.uint32)] * 2, [np.zeros(len(texts) + 1, np.int64)] * 2
+        flat = [s for part in parts for s in part]
+        # only the first and the last segment of a text can have blanks at their borders
+        odd = {s for part in parts for s in (part[0], part[-1]) if s[0].isspace() or s[-1].isspace()}
+        odd |= {s for part, text in zip(parts, filter(None, texts)) if "▁" in text for s in part if "▁" in s}
+        self._learn([s for s in dict.fromkeys(flat) if s not in self.known], odd)
+        number = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        held = np.zeros(len(texts), np.int64)
+        held[[k for k, t in enumerate(texts) if t]] = [len(part) for part in parts]
+        owner = np.repeat(np.arange(len(texts)), held)
+        good = np.ones(len(texts), bool)
+        good[owner[~self.same[number]]] = False
+        number, owner = number[good[owner]], owner[good[owner]]
+        ids, first = [], []
+        for k in range(2):
+            start, count = self.first[k][number], np.diff(self.first[k])[number]
+            end = np.cumsum(count)
+            ids.append(self.ids[k][np.repeat(start - end + count, count) + np.arange(end[-1] if len(end) else 0)])
+            first.append(np.r_[0, np.cumsum(np.bincount(owner, count, len(texts)).astype(np.int64))])
+        return ids, first
+
+
+def id_kind(lengths: tuple[np.ndarray, np.ndarray]) -> str:
+    """How ids are stored: two bytes, where no vocabulary needs more."""
+    return "<u2" if max(map(len, lengths)) <= 1 << 16 else "<u4"
 
 
 def split_points(ends_a: np.ndarray, ends_b: np.ndarray, diagonals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,26 +185,32 @@ def _encoded(shared, piece: int):
 
     def work(batches):
         coders = Tokenizers(*shared.value)
+        kind = id_kind(coders.lengths)
         for batch in batches:
             for part in slices(batch, "text"):
-                out = {c: [] for c in ("at", "piece", "pieces", "a", "b", "n_a", "n_b", "start_a", "start_b")}
-                for at, text in enumerate(part.column("text").to_pylist()):
-                    a, b = coders.encode(text)
-                    ends_a, ends_b = np.cumsum(coders.a_length[a]), np.cumsum(coders.b_length[b])
-                    count = max(1, -(-(len(a) + len(b)) // piece))
-                    diagonals = np.arange(1, count) * (len(a) + len(b)) // count
-                    i, j = split_points(ends_a, ends_b, diagonals)
-                    i, j = np.r_[0, i, len(a)], np.r_[0, j, len(b)]
+                ids, first = coders.encode(part.column("text").to_pylist())
+                flat = [x.astype(kind) for x in ids]
+                out = []
+                for at in range(part.num_rows):
+                    (a0, a1), (b0, b1) = ((f[at], f[at + 1]) for f in first)
+                    n_a, n_b = a1 - a0, b1 - b0
+                    if n_a + n_b <= piece:
+                        out.append((at, 0, 1, flat[0][a0:a1].tobytes(), flat[1][b0:b1].tobytes(), n_a, n_b, 0, 0))
+                        continue
+                    ends_a, ends_b = (np.cumsum(length[x[u:v]]) for length, x, u, v in zip(coders.lengths, ids, (a0, b0), (a1, b1)))
+                    count = -(-(n_a + n_b) // piece)
+                    i, j = split_points(ends_a, ends_b, np.arange(1, count) * (n_a + n_b) // count)
+                    i, j = np.r_[0, i, n_a], np.r_[0, j, n_b]
                     for k in range(count):
                         beyond = k < count - 1
-                        row = (at, k, count, a[i[k]:i[k + 1] + beyond].tobytes(), b[j[k]:j[k + 1] + beyond].tobytes(), i[k + 1] - i[k],
-                               j[k + 1] - j[k], ends_a[i[k] - 1] if i[k] else 0, ends_b[j[k] - 1] if j[k] else 0)
-                        for values, value in zip(out.values(), row):
-                            values.append(value)
-                take = pa.array(out.pop("at"), pa.int64())
+                        out.append((at, k, count, flat[0][a0 + i[k]:a0 + i[k + 1] + beyond].tobytes(), flat[1][b0 + j[k]:b0 + j[k + 1] + beyond].tobytes(), i[k + 1] - i[k],
+                                    j[k + 1] - j[k], ends_a[i[k] - 1] if i[k] else 0, ends_b[j[k] - 1] if j[k] else 0))
+                take, *columns = zip(*out)
+                take = pa.array(take, pa.int64())
                 kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 4]
-                yield pa.RecordBatch.from_arrays([part.column("row").take(take), part.column("doc_id").take(take),
-                                                  *[pa.array(v, k) for v, k in zip(out.values(), kinds)]], names=["row", "doc_id", *out])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row").take(take), part.column("doc_id").take(take), *[pa.array(v, k) for v, k in zip(columns, kinds)]],
+                    names=["row", "doc_id", "piece", "pieces", "a", "b", "n_a", "n_b", "start_a", "start_b"])
 
     return work
 
@@ -159,10 +221,10 @@ class Merged:
     def __init__(self, part: pa.RecordBatch, lengths: tuple[np.ndarray, np.ndarray]):
         self.rows = part.num_rows
         self.piece, self.pieces = part.column("piece").to_numpy(), part.column("pieces").to_numpy()
-        sides = []
+        sides, kind = [], np.dtype(id_kind(lengths))
         for name, length in zip("ab", lengths):
-            ids = np.frombuffer(b"".join(part.column(name).to_pylist()), np.uint32)
-            held = np.array([len(x.as_buffer()) // 4 for x in part.column(name)], np.int64)
+            data, offsets = text_bytes(part.column(name))
+            ids, held = data.view(kind), np.diff(offsets) // kind.itemsize
             row = np.repeat(np.arange(self.rows), held)
             first = np.cumsum(held) - held
             total = np.r_[0, np.cumsum(length[ids])]
@@ -253,7 +315,7 @@ def _counted(shared, width: int, long: bool):
         lengths = shared.value
         held, size = [], 0
         for batch in batches:
-            for part in slices(batch, "a"):
+            for part in slices(batch, "a", 1 << 17):
                 row, pair, _ = Merged(part, lengths).distinct_links(width)
                 if long:
                     yield pa.record_batch([part.column("row").take(pa.array(row)), pa.array(pair)], names=["row", "pair"])
@@ -306,7 +368,7 @@ def _judged(shared, width: int):
     def work(batches):
         lengths, (pairs, docs, best) = shared.value
         for batch in batches:
-            for part in slices(batch, "a"):
+            for part in slices(batch, "a", 1 << 17):
                 merged = Merged(part, lengths)
                 row, pair, n = merged.distinct_links(width)
                 at = np.minimum(np.searchsorted(pairs, pair), max(len(pairs) - 1, 0))
@@ -385,11 +447,13 @@ def align(docs: DataFrame, byte_vocabulary: str = BYTE_VOCABULARY, piece_vocabul
         with open(path, "rb") as f:
             files.append(f.read())
     coders = Tokenizers(*files)
-    lengths, width = (coders.a_length, coders.b_length), len(coders.b_length)
+    lengths, width = coders.lengths, len(coders.lengths[1])
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     schema = "row bigint, doc_id bigint, piece int, pieces int, a binary, b binary, n_a bigint, n_b bigint, start_a bigint, start_b bigint"
     pieces = rows.mapInArrow(_encoded(context.broadcast(files), piece), schema).withColumn("long", F.col("pieces") > 1)
-    tokens = materialize(pieces, "tokens", partition_by=("long",))
+    path = scratch_path(docs.sparkSession, "tokens")
+    pieces.write.partitionBy("long").option("compression", "zstd").parquet(path)
+    tokens = docs.sparkSession.read.schema(pieces.schema).parquet(path)
     counts = pair_counts(tokens, context.broadcast(lengths), width)
     top = counts.filter(F.col("docs") >= _frequent(counts, frequent)).toArrow().sort_by("pair")
     known = (top.column("pair").to_numpy(), top.column("docs").to_numpy(), top.column("best").to_numpy().astype(np.int64))
