@@ -1,6 +1,8 @@
 """Operators with trained models: brute force on small rows, held-out accuracy, edge rows."""
 
+import base64
 import itertools
+import random
 import re
 
 import numpy as np
@@ -308,23 +310,48 @@ def test_near_dedup_edges(edges, nothing):
 # token files -------------------------------------------------------------------------------------------------
 
 
-def test_token_counts_by_plain_encoding(spark, tables, edges, nothing):
+def whole_text_coder():
     with open(token_counts.VOCABULARY, "rb") as f:
-        coder = token_counts._encoder(f.read())
-    for docs, block in ((tables["documents"], 1000), (edges, 777)):
+        return token_counts._encoder(f.read())
+
+
+def test_token_counts_by_whole_texts(spark, tables, edges, nothing):
+    coder = whole_text_coder()
+    draw = random.Random(8)
+    long = ["\n".join(f"line{k} of text" for k in range(15_000)), "\t".join(draw.choice("ab c1 é日 .,") * draw.randrange(1, 9) for _ in range(40_000)), "日本語文書" * 40_000,
+            base64.b64encode(draw.randbytes(150_000)).decode(), " " * 200_000, "x  " * 70_000, "don't we'll " * 20_000, "\n\n  \n" * 40_000, "1a" * 100_000, "?!" * 100_000]
+    made = spark.createDataFrame(list(enumerate(long)), "doc_id bigint, text string").repartition(4)
+    for docs, block in ((tables["documents"], 1000), (edges, 777), (made, 30_000)):
         got = sorted((r.doc_id or -1, r.n_tokens) for r in token_counts.count_tokens(docs, block_tokens=block).collect())
-        want = sorted((r.doc_id or -1, sum(len(coder.encode_ordinary(p)) for p in token_counts.pieces(r.text or ""))) for r in docs.collect())
+        want = sorted((r.doc_id or -1, len(coder.encode_ordinary(r.text or ""))) for r in docs.collect())
         assert got == want
     assert token_counts.count_tokens(nothing).count() == 0
 
 
-def test_pieces_do_not_change_tokens():
+@pytest.mark.parametrize("limit", [1, 7, 500])
+def test_stretches_do_not_change_tokens(monkeypatch, limit):
+    monkeypatch.setattr(token_counts, "LONG", limit)
     with open(token_counts.VOCABULARY, "rb") as f:
         vocabulary = f.read()
-    text = prose(9, 3000) + "  two  spaces \n\n and lines " + prose(10, 3000)
-    whole = token_counts._encoder(vocabulary).encode_ordinary(text)
-    parts = [t for p in token_counts.pieces(text, 500) for t in token_counts._encoder(vocabulary).encode_ordinary(p)]
-    assert parts == whole
+    draw = random.Random(limit)
+    texts = [prose(9, 300) + "  two  spaces \n\n and lines " + prose(10, 300)]
+    texts += ["".join(draw.choice(["a", "B", "'s", "'ll", "1", "23", " ", "  ", "\n", "\t", ".", "?!", "é", "日", "\u0301", "\u00a0", "'", "\r\n"]) for _ in range(200)) for _ in range(300)]
+    for text in texts:
+        assert token_counts.encode(vocabulary, text).tolist() == whole_text_coder().encode_ordinary(text), text
+
+
+def test_end_id_follows_the_vocabulary(spark, tmp_path):
+    """A larger vocabulary takes the next id, and four bytes an id where two are not enough."""
+    with open(token_counts.VOCABULARY, "rb") as f:
+        lines = f.read().splitlines()
+    assert token_counts.end_id(b"\n".join(lines)) == 50256
+    more = lines + [base64.b64encode(f"zqx{k}".encode()) + f" {50256 + k}".encode() for k in range(20_000)]
+    path = tmp_path / "large.tiktoken"
+    path.write_bytes(b"\n".join(more))
+    coder = token_counts._encoder(path.read_bytes())
+    docs = spark.createDataFrame([(k, f"a zqx{k} b " * k) for k in range(40)], "doc_id bigint, text string")
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, str(path), 100).collect()}
+    assert got == {r.doc_id: len(coder.encode_ordinary(r.text)) for r in docs.collect()}
 
 
 @pytest.mark.parametrize("width", [2, 4])
@@ -337,7 +364,9 @@ def test_flat_files(spark, tmp_path, width):
         tokens = np.concatenate([np.r_[draw.integers(0, 1000, n), 9999] for n in lengths] + [np.zeros(tail)]).astype(kind)
         (tmp_path / f"{name}.bin").write_bytes(tokens.tobytes())
         want[name] = [(n, True) for n in lengths] + [(tail, False)] * bool(tail)
-    blocks = token_counts.read_token_files(spark, str(tmp_path), width, 64)
+    (tmp_path / "empty.bin").write_bytes(b"")
+    blocks = token_counts.read_token_files(spark, str(tmp_path), width, 64, blocks_per_task=2)
+    assert blocks.rdd.getNumPartitions() > 8 and blocks.filter("octet_length(data) > 64 * %d" % width).isEmpty()
     rows = token_counts.document_lengths(blocks, 9999, width, span=3).collect()
     got = {name: [(r.n_tokens, r.closed) for r in sorted(rows, key=lambda r: r.place) if r.file.endswith(f"/{name}.bin")] for name in want}
     assert got == want

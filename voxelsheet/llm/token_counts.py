@@ -10,20 +10,24 @@ counts. Blocks may be cut anywhere between tokens.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.ordering import running
-from ..session import scratch_path
+from ..session import mounted_path, scratch_path
+from .cuts import stretches
 from .words import slices
 
-# The split pattern that goes with the byte-level vocabulary, and the id after its last rank.
+# Fixed value: the split pattern that goes with the byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-END = 50256
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK_TOKENS = 1 << 15
 _encoders: dict[int, object] = {}
@@ -39,37 +43,43 @@ def _encoder(vocabulary: bytes):
     return _encoders[key]
 
 
-def pieces(text: str, limit: int = 50_000) -> Iterator[str]:
-    """The text in pieces cut before a single space between words, where a token always begins.
+#: Behind a letter or a number that none follows, a token ends whatever comes next.
+TOKEN_END = regex.compile(r"(?<=\p{L})(?!\p{L})|(?<=\p{N})(?!\p{N})")
+LONG = 50_000
 
-    Only where a stretch of ``limit`` characters has no such place is it cut at its end.
-    """
-    start = 0
-    while len(text) - start > limit:
-        cut = start + limit
-        while (cut := text.rfind(" ", start + 1, cut)) > 0 and (text[cut - 1].isspace() or text[cut + 1].isspace()):
-            pass
-        cut = cut if cut > 0 else start + limit
-        yield text[start:cut]
-        start = cut
-    yield text[start:]
+
+def end_id(vocabulary: bytes) -> int:
+    """The id after the last rank of the vocabulary; no token has it."""
+    return max(int(line.split()[1]) for line in vocabulary.splitlines() if line) + 1
 
 
 def encode(vocabulary: bytes, text: str) -> np.ndarray:
+    """Ids of a whole text; a long one is encoded in stretches cut where a token ends in any case."""
     coder = _encoder(vocabulary)
-    parts = [np.asarray(coder.encode_ordinary(p), np.uint16) for p in pieces(text)]
+    parts = [np.asarray(coder.encode_ordinary(p), np.uint32) for p in stretches(text, LONG, TOKEN_END)]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
+def _read(vocabulary: str) -> bytes:
+    with open(vocabulary, "rb") as f:  # some 1 MB
+        return f.read()
+
+
+def id_width(end: int) -> int:
+    """Bytes of an id in the token files."""
+    return 2 if end < 1 << 16 else 4
+
+
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Token files of ``docs`` as blocks, one file per task, written to the shared folder.
 
-    Rows with ``data`` are blocks: file, block, data (16-bit ids). The others say
+    Rows with ``data`` are blocks: file, block, data (ids of ``id_width`` bytes). The others say
     which documents a file holds, in order: file, first (place of the first), ids.
     A document with a null or empty text is its end id alone.
     """
-    with open(vocabulary, "rb") as f:  # some 1 MB
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    content = _read(vocabulary)
+    shared, end = docs.sparkSession.sparkContext.broadcast(content), end_id(content)
+    number = f"<u{id_width(end)}"
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches):
@@ -85,7 +95,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, block_tokens: int = BLOC
             arrow_id = batch.schema.field("doc_id").type
             for part in slices(batch, "text"):
                 for text in part.column("text").to_pylist():
-                    held += [encode(shared.value, text or ""), np.array([END], np.uint16)]
+                    held += [encode(shared.value, text or "").astype(number), np.array([end], number)]
                     size += len(held[-2]) + 1
                 if size >= block_tokens:
                     flat = np.concatenate(held)
@@ -104,19 +114,57 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, block_tokens: int = BLOC
     return docs.sparkSession.read.schema(packed.schema).parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks (file, block, data) of flat binary token files; a file is at most 2 GB, as Spark reads it whole."""
-    step = block_tokens * width
+@dataclass
+class _Range(InputPartition):
+    """Blocks ``first .. stop-1`` of a token file."""
+
+    file: str
+    first: int
+    stop: int
+
+
+class TokenFileReader(DataSourceReader):
+    """Byte ranges of token files: a task seeks to its blocks and reads no more, so a file may have any size."""
+
+    def __init__(self, options):
+        self.step = int(options["block_tokens"]) * int(options["width"])
+        self.blocks = int(options.get("blocks_per_task", "512"))
+        path = mounted_path(options["path"])
+        self.files = [path] if os.path.isfile(path) else sorted(
+            os.path.join(folder, n) for folder, _, names in os.walk(path) for n in names if not n.startswith((".", "_")))
+
+    def partitions(self):
+        counts = [(file, -(-os.path.getsize(file) // self.step)) for file in self.files]
+        return [_Range(file, first, min(first + self.blocks, n)) for file, n in counts for first in range(0, n, self.blocks)]
+
+    def read(self, part: _Range | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # Spark asks once where there is no file
+            return
+        with open(part.file, "rb") as f:
+            f.seek(part.first * self.step)
+            for block in range(part.first, part.stop):
+                yield pa.record_batch([pa.array([part.file]), pa.array([block], pa.int64()), pa.array([f.read(self.step)], pa.binary())], names=["file", "block", "data"])
+
+
+class TokenFiles(DataSource):
+    """``spark.read.format("token_files")``; options: path, width, block_tokens, blocks_per_task."""
+
+    @classmethod
+    def name(cls):
+        return "token_files"
+
+    def schema(self):
+        return "file string, block bigint, data binary"
+
+    def reader(self, schema):
+        return TokenFileReader(self.options)
 
-    def work(batches):
-        for batch in batches:
-            for name, content in zip(batch.column("path"), batch.column("content")):
-                data = memoryview(content.as_buffer())
-                for at in range(0, max(len(data), 1), step):
-                    yield pa.record_batch([pa.array([name.as_py()]), pa.array([at // step], pa.int64()), pa.array([bytes(data[at:at + step])], pa.binary())],
-                                          names=["file", "block", "data"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(work, "file string, block bigint, data binary")
+def read_token_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS, blocks_per_task: int = 512) -> DataFrame:
+    """Blocks (file, block, data) of the flat binary token files at ``path``, a file or a folder that all executors mount. An empty file has no block."""
+    spark.dataSource.register(TokenFiles)
+    options = {"width": width, "block_tokens": block_tokens, "blocks_per_task": blocks_per_task}
+    return spark.read.format("token_files").options(**options).load(path)
 
 
 def _scan(end: int, width: int):
@@ -145,7 +193,7 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                      pa.array(np.diff(at, prepend=before) - 1), pa.array(np.ones(len(at), bool))], names=["file", "place", "n_tokens", "closed"])
 
 
-def document_lengths(blocks: DataFrame, end: int = END, width: int = 2, span: int = 4096) -> DataFrame:
+def document_lengths(blocks: DataFrame, end: int, width: int = 2, span: int = 4096) -> DataFrame:
     """file, place, n_tokens, closed: one row per document of each file, by place from 0.
 
     The end id is not counted; two in a row close an empty document. Tokens
@@ -175,7 +223,8 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, block_tokens: in
     table gives no rows.
     """
     packed = pack(docs, vocabulary, block_tokens)
-    counts = document_lengths(packed.filter("data is not null"))
+    end = end_id(_read(vocabulary))
+    counts = document_lengths(packed.filter("data is not null"), end, id_width(end))
     order = packed.filter("ids is not null").select("file", "first", F.posexplode("ids").alias("k", "doc_id"))
     order = order.select("file", (F.col("first") + F.col("k")).alias("place"), "doc_id")
     return order.join(counts, ["file", "place"]).select("doc_id", "file", "place", "n_tokens")
