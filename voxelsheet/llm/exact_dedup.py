@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
 from .bloom import maybe_repeated
+from .joins import heavy_keys, spread_join
 
 def _text():
     return F.coalesce(F.col("text"), F.lit(""))
@@ -39,7 +40,9 @@ def duplicates(docs: DataFrame, max_bits: int = 28) -> DataFrame:
     maybe = marked.filter("maybe")
     groups = maybe.groupBy("text_sha256").agg(
         F.max(F.struct(_order("doc_id").alias("o"), "row")).alias("top"), F.count(F.lit(1)).alias("group_size"))
-    repeated = maybe.join(groups, "text_sha256").select(
+    groups = materialize(groups, "groups")
+    # an empty text, say, may be that of a third of the rows
+    repeated = spread_join(maybe, groups, "text_sha256", heavy_keys(maybe, "text_sha256")).select(
         "doc_id", F.col("top.o.id").alias("keep_id"), "group_size", (F.col("row") == F.col("top.row")).alias("kept"), "text_sha256")
     return single.unionByName(repeated)
 

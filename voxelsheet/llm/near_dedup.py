@@ -6,8 +6,10 @@ Jaccard similarity. Draws are banded; documents that share a band are compared
 on all draws, and what looks close is verified by the exact weighted Jaccard
 similarity of the two shingle sets. Classes are the components of the links.
 
-Document frequencies come from a count-min sketch of fixed size over all
-documents. The inverse document frequency is scaled to 1 ... 1 + ``IDF``: a
+Document frequencies come from a count-mean-min sketch of fixed size over all
+documents: the mean of the cells, which is what other shingles add, is taken off.
+At n shingles that leaves an error of about the root of n / 2^18 documents, whatever a
+shingle's own frequency. The inverse document frequency is scaled to 1 ... 1 + ``IDF``: a
 wider scale would make large groups of near copies dissimilar just because
 they are many.
 """
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import materialize
 from .arrow import add_columns
 from .components import components
+from .joins import heavy_keys, spread_join
 from .sums import vector_sum
 from .words import mix, shingles, slices, word_hashes
 
@@ -79,7 +82,10 @@ class Weights:
 
     def __init__(self, counts: np.ndarray):
         documents = max(counts[-1], 2.0)
-        self.idf = (1 + IDF * np.clip(np.log(documents / np.maximum(counts[:-1], 1)) / np.log(documents), 0, 1)).astype(np.float32)
+        cells = counts[:-1].reshape(SKETCH_ROWS, -1)
+        # what other shingles have put into a cell is, on average, the mean of all cells
+        own = np.maximum(cells - (cells.sum(axis=1, keepdims=True) - cells) / (cells.shape[1] - 1), 1).ravel()
+        self.idf = (1 + IDF * np.clip(np.log(documents / own) / np.log(documents), 0, 1)).astype(np.float32)
 
     def __call__(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         idf = np.maximum.reduce([self.idf[c] for c in _cells(keys)]) if len(keys) else np.zeros(0, np.float32)
@@ -197,8 +203,8 @@ def _draws(table: pa.Table) -> np.ndarray:
 
 
 def least_agreement(similar: float) -> int:
-    """Draws that two texts at the limit share but for two standard deviations and a half."""
-    return int(np.floor(DRAWS * similar - 2.5 * np.sqrt(DRAWS * similar * (1 - similar))))
+    """Draws that two texts at the limit share but for four standard deviations: of such pairs some 5 in 100,000 share fewer."""
+    return int(np.floor(DRAWS * similar - 4 * np.sqrt(DRAWS * similar * (1 - similar))))
 
 
 def strongest(draws: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -453,10 +459,10 @@ def _open_rows(bands: DataFrame, open_bands: DataFrame, labels: DataFrame, sketc
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    classed = members.join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
+    classed = materialize(members.join(labels, "node", "left").withColumn("part", F.coalesce("label", "node")).drop("label"), "classed")
     head = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row")
     heads = classed.groupBy("part").agg(F.min(head).alias("head"), F.count(F.lit(1)).alias("class_size"))
-    return classed.join(heads, "part").select(
+    return spread_join(classed, materialize(heads, "heads"), "part", heavy_keys(classed, "part")).select(
         "doc_id", F.col("head.id").alias("class_id"), "class_size", (F.col("row") == F.col("head.row")).alias("kept"), "text_key")
 
 

@@ -34,7 +34,7 @@ from ..session import materialize
 from .arrow import add_columns
 from .components import components
 from .cuts import BLANK, stretches
-from .joins import HEAVY, spread_join
+from .joins import HEAVY, heavy_keys, spread_join
 
 SHINGLE = 3
 SEED = 42
@@ -231,6 +231,6 @@ def classes(docs: DataFrame) -> DataFrame:
     labelled = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "first", "n", F.coalesce("label", "fp").alias("part"))
     labelled = materialize(labelled, "labelled")
     parts = labelled.groupBy("part").agg(F.min("first").alias("component_id"), F.sum("n").alias("component_size"))
-    known = materialize(spread_join(labelled, parts, "part"), "known")
-    out = spread_join(prints, known.select("fp", "component_id", "component_size"), "fp")
+    known = materialize(spread_join(labelled, parts, "part", heavy_keys(labelled, "part")), "known")
+    out = spread_join(prints, known.select("fp", "component_id", "component_size"), "fp", heavy_keys(prints, "fp"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
