@@ -232,6 +232,24 @@ def _(t):
     return jobs.run_to_end(jobs.running_extremes(jobs.follow(t.spark, path, rows.schema, files_per_trigger=64)), "extremes")
 
 
+@query("stream_count_windows", "job:l report:l metric:s value:d", f"""
+with {LOG} select job, report, metric, round(avg(value100), 6) as value from windowed group by job, report, metric""", "metrics")
+def _(t):
+    """Reports at every fiftieth batch, whose left-overs go on into the next micro-batch; equal to the windows of the whole log."""
+    def log(events):
+        return events.select(
+            (F.col("user_id") % 3).cast("int").alias("job"), F.col("event_id").cast("bigint").alias("step"), F.col("event_type").alias("metric"),
+            F.round(F.col("value") * 100).cast("bigint").alias("value100"), (F.col("event_id") % 1000 % 50 == 0).alias("flush"))
+
+    path = scratch_path(t.spark, "log")
+    t.raw("events").repartitionByRange(6, "event_id").sortWithinPartitions("event_id").write.parquet(path)
+    rows = log(t.raw("events"))
+    # files of one write are as old as each other; one trigger takes them all, several files a trigger are tested by hand
+    closed = jobs.run_to_end(jobs.count_windows(log(jobs.follow(t.spark, path, t.raw("events").schema))), "windows")
+    every = closed.unionByName(jobs.open_windows(closed, rows))
+    return every.select("job", "report", "metric", F.round(F.col("total") / F.col("n"), 6).alias("value"))
+
+
 @query("stream_upserts", "region:l epoch:l px:l py:l p255:l", """
 select region, epoch, px, py, p255 from (select *, row_number() over (partition by region, epoch, px, py order by seq desc, tie1 desc, tie2 desc, p255 desc) as rn from predictions) where rn = 1""", "predictions")
 def _(t):
