@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -14,6 +17,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialize
 from . import augment, scoring, stamps
 
 CHANNELS = ("r", "g", "b")
@@ -71,7 +75,15 @@ def with_features(samples: DataFrame, block: str) -> DataFrame:
     return samples.withColumn("features", array_to_vector(F.col(block).cast("array<double>")))
 
 
+MOST_CELLS = 4096
+
+
 def fit(name: str, samples: DataFrame, block: str, **params) -> PipelineModel:
+    """A fitted pipeline. ``autoencoder`` decomposes a cells x cells matrix on the driver and refuses long blocks: :func:`randomized_basis` is for these."""
+    if name == "autoencoder":
+        longest = samples.agg(F.max(F.size(block))).first()[0]
+        if longest is not None and longest > MOST_CELLS:
+            raise ValueError(f"{longest} cells are too many for a whole decomposition (at most {MOST_CELLS}); use randomized_basis")
     return build(name, **params).fit(with_features(samples, block))
 
 
@@ -202,15 +214,18 @@ def write_back(scored: DataFrame, spacing: int, width: int, height: int, keys: l
     return stamps.prediction_image(pixels, spacing, width, height, keys, "value", order)
 
 
-def fold_scores(name: str, samples: DataFrame, fold: Column, k: int, block: str, keys: list[str], **params) -> DataFrame:
-    """Out-of-fold scores: for every fold one model fitted on the other folds."""
-    marked = samples.withColumn("fold", fold)
-    scored = None
-    for n in range(k):
-        model = fit(name, marked.filter(F.col("fold") != n), block, **params)
-        part = score_ink(model, marked.filter(F.col("fold") == n), block).select(*keys, "fold", "ink", "p1")
-        scored = part if scored is None else scored.unionByName(part)
-    return scored
+def fold_scores(name: str, samples: DataFrame, fold: Column, k: int, block: str, keys: list[str], parallelism: int = 4, **params) -> DataFrame:
+    """Out-of-fold scores: for every fold one model fitted on the other folds.
+
+    Samples are written once, a folder per fold, so a fit reads its own folds only. Up to
+    ``parallelism`` fits run at a time, each in a thread that keeps the session's settings.
+    """
+    marked = materialize(samples.select(*dict.fromkeys([*keys, "ink", block])).withColumn("fold", fold.cast("int")), "folds", ("fold",))
+    one = inheritable_thread_target(marked.sparkSession)(lambda n: fit(name, marked.filter(F.col("fold") != n), block, **params))
+    with ThreadPoolExecutor(max_workers=min(k, parallelism)) as pool:
+        fitted = list(pool.map(one, range(k)))
+    parts = [score_ink(model, marked.filter(F.col("fold") == n), block).select(*keys, "fold", "ink", "p1") for n, model in enumerate(fitted)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def save(model: PipelineModel, path: str) -> None:

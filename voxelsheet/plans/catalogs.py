@@ -174,7 +174,9 @@ def _(t):
     from ..functions import ordering
 
     jobs = outputs(t).select("job_dir", "n_from_k_fold").distinct()
-    return ordering.number_rows(jobs, F.col("n_from_k_fold"), ["n_from_k_fold", "job_dir"], "place")
+    # jobs of one day are a bucket: those outside folds have the fold number in common, and may be most of all
+    day = F.struct("n_from_k_fold", F.substring("job_dir", 1, 10).alias("day"))
+    return ordering.number_rows(jobs, day, ["n_from_k_fold", "job_dir"], "place")
 
 
 @query("prediction_catalog", "event_id:l region_name:s ppm:s invert_normals:b training:b prediction:b validation:b error:s", f"""

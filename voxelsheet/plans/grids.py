@@ -102,6 +102,49 @@ def _(t):
     return patches.rescale_to_byte(t.raster, "texture")
 
 
+STACKED = """
+pictures as (select epoch as image, region as channel, px, py, p255 * 257 as v from (
+  select *, row_number() over (partition by region, epoch, px, py order by seq desc, tie1 desc, tie2 desc, p255 desc) as rn from predictions) where rn = 1),
+images as (select distinct image from pictures),
+tops as (select y.i * 6 as patch_y, x.i * 6 as patch_x from surface_size s, lateral (select unnest(range((h + 5) // 6)) as i) y, lateral (select unnest(range((w + 5) // 6)) as i) x),
+feature as (select image, patch_y, patch_x, sum(v / 65535e0) as total, sum(v / 65535e0 * (channel * 64 + (py - patch_y) * 8 + px - patch_x + 1)) as weighted
+  from pictures join tops on py >= patch_y and py < patch_y + 8 and px >= patch_x and px < patch_x + 8 group by all),
+painted as (select px, py, 0 as channel, r as v from raster union all select px, py, 1, g from raster union all select px, py, 2, b from raster),
+label as (select patch_y, patch_x, sum(v) as total, sum(v * (channel * 64 + (py - patch_y) * 8 + px - patch_x + 1)) as weighted
+  from painted join tops on py >= patch_y and py < patch_y + 8 and px >= patch_x and px < patch_x + 8 group by all)"""
+
+
+@query("labelled_patches", "image:l patch_y:l patch_x:l cells:l total:d weighted:d label_cells:l label_total:l label_weighted:l", f"""
+with {STACKED} select i.image, l.patch_y, l.patch_x, 256 as cells, round(coalesce(f.total, 0e0), 4) as total, round(coalesce(f.weighted, 0e0), 4) as weighted, 192 as label_cells,
+  l.total as label_total, l.weighted as label_weighted from label l cross join images i left join feature f on f.image = i.image and f.patch_y = l.patch_y and f.patch_x = l.patch_x""",
+       "predictions raster surface_size")
+def _(t):
+    """Stacks of four channels (one per region) with a colour label, cut into patches together."""
+    from ..operators import stamps
+
+    latest = stamps.last_write(t.predictions, ["region", "epoch", "px", "py"], "p255", ["seq", "tie1", "tie2"])
+    stack = latest.select(F.col("epoch").alias("image"), F.col("region").alias("channel"), "px", "py", (F.col("p255") * 257).alias("v"))
+    pictures = t.raster.withColumn("image", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(7).cast("bigint"))))
+    blocks = patches.labelled_patches(patches.channel_first(stack, "stack"), patches.channel_first(pictures, "rgb"), 8, 6, 4, 3)
+    fold = lambda f: F.aggregate(f, F.lit(0.0), lambda a, v: a + v)
+    sums = lambda c: (fold(F.transform(c, lambda v: v.cast("double"))), fold(F.transform(c, lambda v, i: v * (i + 1.0))))
+    (total, weighted), (label_total, label_weighted) = sums("feature"), sums("label")
+    return blocks.select("image", "patch_y", "patch_x", F.size("feature").alias("cells"), F.round(total, 4).alias("total"), F.round(weighted, 4).alias("weighted"),
+                         F.size("label").alias("label_cells"), label_total.alias("label_total"), label_weighted.alias("label_weighted"))
+
+
+@query("stack_faults", "image:l fault:s", """
+with f as (select region as image, max(py) + 1 as h, max(px) + 1 as w, max(batch) + 1 as d from predictions group by region),
+l as (select image, h.h, h.w from (select unnest([0, 1, 3]) as image) i cross join (select max(py) + 1 as h, max(px) + 1 as w from surface) h)
+select f.image, case when l.image is null then 'label' when f.h <> l.h or f.w <> l.w then 'size' else 'channels' end as fault
+from f left join l on l.image = f.image where l.image is null or f.h <> l.h or f.w <> l.w""", "predictions surface")
+def _(t):
+    """Stacks by region (a channel per batch) against labels from another table, which lacks one of them."""
+    stack = t.predictions.select(F.col("region").alias("image"), F.col("batch").alias("channel"), "px", "py", F.col("p255").alias("v"))
+    labels = t.surface.select(F.explode(F.array(F.lit(0), F.lit(1), F.lit(3))).alias("image"), "px", "py", F.lit(1).alias("v"))
+    return patches.stack_faults(stack, patches.channel_first(labels, "grey")).filter("fault <> 'depth'")
+
+
 @query("stack_shapes", "same_size:b one_depth:b", "select true as same_size, count(distinct d) = 1 as one_depth from (select count(distinct slab) as d from slabs group by z)", "slabs")
 def _(t):
     features = stack_pixels(t).withColumn("image", F.lit(0))

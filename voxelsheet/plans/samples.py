@@ -384,6 +384,20 @@ def _(t):
     return label_patches(t, F.when(F.col("ink") != 0, 1).otherwise(0), "ink")
 
 
+@query("plane_labels", "face_id:l px:l py:l cells:l ink:l", f"""
+with {ON_SURFACE}, chosen as (select * from on_surface where px % 4 = 0 and py % 4 = 0),
+cells as (select s.face_id, s.px, s.py, s.px - 2 + w.i as x, s.py - 2 + h.i as y from chosen s, range(4) h(i), range(4) w(i))
+select c.face_id, c.px, c.py, 16 as cells, coalesce(sum(case when r.ink <> 0 then 1 else 0 end), 0) as ink
+from cells c left join raster r on r.face_id = c.face_id and r.px = c.x and r.py = c.y group by c.face_id, c.px, c.py""", "raster")
+def _(t):
+    """Labels for models that predict a plane: patch and grid spacing follow from the block's face."""
+    block, patch, spacing = selection.two_dimensional(gather.BlockOptions(shape=(4, 4, 4), augment=True))
+    points = selection.select_points(t.raster, (0, 0, *t.surface_size), selection.PointOptions(grid_spacing=spacing), *t.surface_size)
+    hits = gather.label_hits(points.select(*KEYS), t.raster, KEYS, F.when(F.col("ink") != 0, 1).otherwise(0), patch)
+    cells = F.lit(patch[0] * patch[1] if not block.augment else None)
+    return gather.as_blocks(hits, KEYS, patch[0] * patch[1]).select(*KEYS, cells.alias("cells"), F.aggregate("block", F.lit(0), lambda a, v: a + v).alias("ink"))
+
+
 @query("label_patch_texture", "face_id:l px:l py:l texture:s", patch_sql("r.texture", "texture"), "surface raster")
 def _(t):
     return label_patches(t, F.col("texture"), "texture")

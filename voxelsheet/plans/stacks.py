@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import datasets, stacks, stencils
+from ..operators import datasets, sketches, stacks, stencils
 from ..registry import query
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import stacks as stack_files
 from ..tables import N_SLABS, SLAB_DEPTH
 
@@ -175,6 +175,27 @@ def _(t):
     return stacks.auto_window(t.slabs, ["slab", "z"], "raw", 1, 99, 65536, drawn(t))
 
 
+SKETCHED = """
+ordered as (select slab, z, list_sort(list(raw)) as v from slabs group by slab, z),
+bounds as (select slab, z, v[greatest(1, cast(ceil(0.02e0 * len(v)) as bigint))] as low, v[greatest(1, cast(ceil(0.98e0 * len(v)) as bigint))] as high from ordered)"""
+
+
+@query("sketched_window", "window_min:d window_max:d", f"""
+with {SKETCHED}, {DRAWN} select round(avg(low), 3) as window_min, round(avg(high), 3) as window_max from draws join bounds using (slab, z)""", "slabs")
+def _(t):
+    """The window of a drawn sample from stored sketches; slices are scanned once, for the sketches."""
+    stored = materialize(sketches.slice_sketches(t.slabs, ["slab", "z"], "raw"), "sketches")
+    found = sketches.window(stored, 0.02, 0.98, drawn(t), ["slab", "z"])
+    return found.select(*[F.round(c, 3).alias(c) for c in found.columns])
+
+
+@query("sketched_quantiles", "slab:l z:l n:l low:l middle:l high:l", """
+select slab, z, len(v) as n, v[greatest(1, cast(ceil(0.02e0 * len(v)) as bigint))] as low, v[greatest(1, cast(ceil(0.5e0 * len(v)) as bigint))] as middle,
+       v[greatest(1, cast(ceil(0.98e0 * len(v)) as bigint))] as high from (select slab, z, list_sort(list(raw)) as v from slabs group by slab, z) q""", "slabs")
+def _(t):
+    return sketches.quantiles(sketches.slice_sketches(t.slabs, ["slab", "z"], "raw"), {"low": 0.02, "middle": 0.5, "high": 0.98})
+
+
 BLUR = f"""
 kernel(o, w) as (values {', '.join(f'({k - 12}, {w!r}e0)' if 'e' not in repr(w) else f'({k - 12}, {w!r})' for k, w in enumerate(stencils.gaussian_weights(3.0)))}),
 dense as (select z.i as z, y.i as y, x.i as x, coalesce(v.v, 0) as v from volume_shape s, range(7) z(i), lateral (select unnest(range(s.height)) as i) y, range(128) x(i)

@@ -108,6 +108,21 @@ def _(t):
     return out.withColumn("x0", F.get("bounding_box", 0))
 
 
+@query("byte_scan", "name:s folder:s bytes:l sha256:s", """
+select concat(replace(path, '.json', ''), '.txt') as name, case when training then 'train' else 'rest' end as folder, length(ppm) + 2 * source_ord + 1 as bytes,
+       sha256(concat(ppm, ':', repeat('ab', cast(source_ord as bigint)))) as sha256 from sources""", "sources")
+def _(t):
+    """Files of any content, read whole with the folder that relative paths are taken from."""
+    path = scratch_path(t.spark, "bytes")
+    folder = F.when(F.col("training"), "train").otherwise("rest")
+    texts = t.sources.select(F.concat(folder, F.lit("/"), F.replace("path", F.lit(".json"), F.lit(".txt"))).alias("name"),
+                             F.concat("ppm", F.lit(":"), F.repeat(F.lit("ab"), F.col("source_ord").cast("int"))).alias("text"))
+    tables.write_named_texts(texts, path)
+    files = tables.read_bytes(t.spark, f"{path}/*")
+    return files.select(scalars.file_name(F.col("path")).alias("name"), scalars.file_name(F.col("folder")).alias("folder"),
+                        F.octet_length("content").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 @query("raster_scan", "px:l py:l r:d g:d b:d texture:d luma:l", """
 select px, py, round(r / 255e0, 6) as r, round(g / 255e0, 6) as g, round(b / 255e0, 6) as b, round(texture / 65535e0, 6) as texture, (r * 19595 + g * 38470 + b * 7471 + 32768) // 65536 as luma from raster""", "raster")
 def _(t):
