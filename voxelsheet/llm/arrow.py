@@ -41,6 +41,14 @@ def fold(divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % divisor
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as it takes to differ from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def group_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of consecutive groups that start at ``first[:-1]``; empty groups give 0."""
     out = np.zeros((len(first) - 1, *values.shape[1:]), np.float64)

@@ -15,12 +15,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
+from .arrow import unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 WINDOW = 13
+MOST_BYTES = 64 << 20
 
 
 def _text(name: str = "text") -> Column:
@@ -39,9 +41,9 @@ def _block(length: int) -> int:
     return (length + 1) // 2
 
 
-def _get(at: Column, count: int) -> list[Column]:
+def _get(at: Column, count: int, words: str = "words") -> list[Column]:
     """``count`` words from place ``at`` (from 0)."""
-    return [F.get("words", at + k) for k in range(count)]
+    return [F.get(words, at + k) for k in range(count)]
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -75,16 +77,23 @@ def hits(docs: DataFrame, windows: DataFrame, max_broadcast: int = 200_000) -> D
     kind = "array<struct<at:int,len:int,h:bigint>>"
     blocks = wanted.withColumn("words", F.split("win", " ")).select(F.col("len").alias("own"), F.inline(_all(lengths, lambda n: _hashed(n, 1), kind)))
     blocks = materialize(blocks.filter("own = len").select("len", "h").distinct(), "blocks")
-    if blocks.count() <= max_broadcast:
-        blocks, wanted = F.broadcast(blocks), F.broadcast(wanted)
+    small = blocks.count() <= max_broadcast
+    if small:
+        blocks = F.broadcast(blocks)
+    if small and (wanted.agg(F.sum(F.octet_length("win"))).first()[0] or 0) <= MOST_BYTES:  # a word has no greatest length
+        wanted = F.broadcast(wanted)
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), _words(_text()).alias("words"))
-    found = texts.select("doc_id", "text_key", "words", F.inline(_all(lengths, lambda n: _hashed(n, _block(n)), kind))).join(blocks, ["h", "len"])
+    keyed = texts.select("doc_id", "text_key", "words", F.inline(_all(lengths, lambda n: _hashed(n, _block(n)), kind)))
+    # the words that windows around a block can hold: two windows' worth, however long the document is
     low = F.greatest(F.lit(0), F.col("at") + F.floor((F.col("len") + 1) / 2).cast("int") - F.col("len"))
-    high = F.least(F.col("at"), F.size("words") - F.col("len"))
-    places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-    near = found.select("doc_id", "text_key", "words", "len", F.explode(places).alias("pos"))
-    win = reduce(lambda rest, n: F.when(F.col("len") == n, F.concat_ws(" ", *_get(F.col("pos"), n))).otherwise(rest), lengths, F.lit(None).cast("string"))
-    return near.select("doc_id", "text_key", "pos", "len", win.alias("win")).join(wanted, ["win", "len"]).select("doc_id", "text_key", "pos", "len", "win")
+    around = ["doc_id", "text_key", "len", "h", "at", low.alias("low"), F.slice("words", low + 1, F.col("len") * 2).alias("near")]
+    found = keyed.join(blocks, ["h", "len"]).select(*around) if small else keyed.select(*around).join(blocks, ["h", "len"])
+    last = F.least(F.col("at") - F.col("low"), F.size("near") - F.col("len"))
+    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    spots = found.select("doc_id", "text_key", "low", "near", "len", F.explode(places).alias("place"))
+    win = reduce(lambda rest, n: F.when(F.col("len") == n, F.concat_ws(" ", *_get(F.col("place"), n, "near"))).otherwise(rest), lengths, F.lit(None).cast("string"))
+    named = spots.select("doc_id", "text_key", (F.col("low") + F.col("place")).alias("pos"), "len", win.alias("win"))
+    return named.join(wanted, ["win", "len"]).select("doc_id", "text_key", "pos", "len", "win")
 
 
 def _covered(runs: Column) -> Column:
@@ -130,30 +139,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = 20
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = 200_000, share: int = 20) -> DataFrame:
-    """The documents that are not contaminated, all columns as they were."""
+    """The documents that are not contaminated, all columns as they were.
+
+    Null and empty texts stay, and everything where the benchmark has no words; rows equal in id and text stay or go together.
+    """
     windows = materialize(benchmark_windows(benchmark), "windows")
     found = hits(docs, windows, max_broadcast)
     runs = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("pos", "len")).alias("runs"))
     runs = materialize(runs.select("doc_id", "text_key", _covered(F.col("runs")).alias("n_hit")), "hits")
     own = runs.count()
-    runs = runs.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("n_hit").alias("_hit"))
-    bad = (F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-           & (F.col("_hit") * share >= F.regexp_count(_text(), F.lit(WORD))))
+    of_id, of_text, of_hits = (unused(docs, name) for name in ("_id", "_key", "_hit"))
+    runs = runs.select(F.col("doc_id").alias(of_id), F.col("text_key").alias(of_text), F.col("n_hit").alias(of_hits))
+    bad = (F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.xxhash64("text") == F.col(of_text))
+           & (F.col(of_hits) * share >= F.regexp_count(_text(), F.lit(WORD))))
     return docs.join(F.broadcast(runs) if own <= max_broadcast else runs, bad, "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = 200_000) -> DataFrame:
     """All documents, with the words inside benchmark windows cut out of ``text``.
 
-    Each word goes with what follows it up to the next word; null texts stay null.
+    Each word goes with what follows it up to the next word; null texts stay null, texts without hits as they were.
     """
     windows = materialize(benchmark_windows(benchmark), "windows")
-    spans = hits(docs, windows, max_broadcast).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("pos", "len")).alias("_runs"))
-    spans = spans.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key")
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
+    of_id, of_text, of_runs = (unused(docs, name) for name in ("_id", "_key", "_runs"))
+    spans = hits(docs, windows, max_broadcast).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("pos", "len")).alias(of_runs))
+    spans = spans.withColumnRenamed("doc_id", of_id).withColumnRenamed("text_key", of_text)
+    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.xxhash64("text") == F.col(of_text)), "left")
     lead = F.regexp_extract("text", "^" + BETWEEN, 0)
     parts = F.regexp_extract_all("text", F.lit(WORD + BETWEEN), F.lit(0))
-    inside = F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["pos"], r["pos"] + r["len"] - 1))))
+    inside = F.array_distinct(F.flatten(F.transform(of_runs, lambda r: F.sequence(r["pos"], r["pos"] + r["len"] - 1))))
     left = F.filter(parts, lambda x, i: ~F.array_contains(inside, i))
-    text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(left, "")))
+    text = F.when(F.col(of_runs).isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(left, "")))
     return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
+from .arrow import unused
 from .bloom import maybe_repeated
 from .joins import heavy_keys, spread_join
 
@@ -52,16 +53,19 @@ def keep_one(docs: DataFrame, max_bits: int = 28) -> DataFrame:
 
     Rows the filter clears are not shuffled. Of the others the largest doc_id
     per text is found on narrow rows, and full rows meet it by text and id, so
-    a text with very many copies is spread by the ids.
+    a text with very many copies is spread by the ids. Null and empty texts are
+    one text, null ids rank lowest; of rows equal in text and id one stays, any of them where their other
+    columns differ. An empty table stays empty.
     """
     columns = docs.columns
+    own_id, own_sha, other_sha = (unused(docs, name) for name in ("_id", "_sha", "_own"))
     h, sha = F.xxhash64(_text()), F.sha2(_text(), 256)
     check = maybe_repeated(docs.select(h.alias("h")), max_bits)
     maybe = docs.filter(check(h))
     single = docs.filter(~check(h))
-    narrow = maybe.select(F.col("doc_id").alias("_id"), sha.alias("_sha"))
-    top = narrow.groupBy("_sha").agg(F.max(_order("_id")).alias("_top")).select("_sha", F.col("_top.id").alias("_id"))
-    rows = maybe.withColumn("_own", sha)
-    kept = rows.join(top, (F.col("_own") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    one = kept.groupBy("_sha", "_id").agg(F.first(F.struct(*columns)).alias("_row")).select("_row.*")
+    narrow = maybe.select(F.col("doc_id").alias("id"), sha.alias(own_sha))
+    top = narrow.groupBy(own_sha).agg(F.max(_order("id")).alias("top")).select(own_sha, F.col("top.id").alias(own_id))
+    rows = maybe.withColumn(other_sha, sha)
+    kept = rows.join(top, (F.col(other_sha) == F.col(own_sha)) & F.col("doc_id").eqNullSafe(F.col(own_id)))
+    one = kept.groupBy(own_sha, own_id).agg(F.first(F.struct(*columns)).alias("row")).select("row.*")
     return single.unionByName(one)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ordering import number_rows, running
 from ..session import materialize
+from .arrow import unused
 
 WEIGHTS = (5, 2, 1)
 TOKEN = r"[^\x20\x09-\x0D]+"
@@ -67,16 +68,18 @@ def _group() -> Column:
 
 def _with_shares(df: DataFrame, shares: DataFrame, max_broadcast: int = 100_000) -> DataFrame:
     """Add the columns of the source; sources are broadcast up to a counted number."""
-    other = shares.withColumn("_g", _group()).drop("source")
+    group = unused(df, "_g")
+    other = shares.withColumn(group, _group()).drop("source")
     if other.count() <= max_broadcast:
         other = F.broadcast(other)
-    return df.join(other, _group() == F.col("_g")).drop("_g")
+    return df.join(other, _group() == F.col(group)).drop(group)
 
 
 def plan_mix(docs: DataFrame, weights=WEIGHTS, total: float = 1.5, limit: float = 2.0,
              weight: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Document rows (doc_id, source, size, key), and per source: source_size, target, epochs, last key taken."""
     rows = docs.select("doc_id", "source", word_count().alias("size"), sampling_key(quality_weight() if weight is None else weight).alias("key"))
+    rows = materialize(rows, "sizes")  # the ranges are drawn from narrow rows: texts are read once
     ranged = materialize(rows.repartitionByRange("source", "key", "doc_id").withColumn("bucket", F.spark_partition_id()), "keys")
     sizes = ranged.groupBy("source").agg(F.sum("size").alias("source_size"))
     shares = targets(sizes, weights, total, limit)
@@ -96,26 +99,31 @@ def _copies(key: Column, epochs: str = "epochs", last: str = "last") -> Column:
     return F.col(epochs) + F.when(chosen, F.lit(1)).otherwise(F.lit(0))
 
 
-def mixture(docs: DataFrame, weights=WEIGHTS, total: float = 1.5, limit: float = 2.0) -> DataFrame:
+def mixture(docs: DataFrame, weights=WEIGHTS, total: float = 1.5, limit: float = 2.0, weight: Column | None = None) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken.
 
+    ``weight`` is a column of ``docs`` above 0, such as a stored quality score; without it the share
+    of symbols in the text tells how likely a document is taken once more.
     ``taken`` is the document's words times the copies the mix takes. Null
     texts have size 0, null sources form one source, an empty table gives no
     rows. Rows equal in id share their draw, and equal rows their fate. Reruns
     agree, as draws depend on ids alone.
     """
-    rows, cuts = plan_mix(docs, weights, total, limit)
+    rows, cuts = plan_mix(docs, weights, total, limit, weight)
     joined = _with_shares(rows, cuts)
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * _copies(F.col("key"))).alias("taken"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, total: float = 1.5, limit: float = 2.0) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, total: float = 1.5, limit: float = 2.0, weight: Column | None = None) -> DataFrame:
     """The mixed corpus: every taken document once per copy, numbered by the added column ``copy`` from 1.
 
     Texts are not shuffled; the key is drawn anew and compared with the last one taken of the source.
+    ``weight`` as in :func:`mixture`. All columns of ``docs`` stay; where one is named ``copy`` already, the
+    added one is ``copy_``. Null texts have no words and are taken as often as their source, a null
+    source is one of its own, repeated rows share their fate, an empty table stays empty.
     """
-    _, cuts = plan_mix(docs, weights, total, limit)
-    joined = _with_shares(docs, cuts.select("source", F.col("epochs").alias("_epochs"), F.col("last").alias("_last")))
-    copies = _copies(sampling_key(quality_weight()), "_epochs", "_last")
-    taken = joined.filter(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
-    return taken.select(*[c for c in docs.columns if c != "copy"], F.col("_copy").alias("copy"))
+    _, cuts = plan_mix(docs, weights, total, limit, weight)
+    epochs, last, copy = (unused(docs, name) for name in ("_epochs", "_last", "copy"))
+    joined = _with_shares(docs, cuts.select("source", F.col("epochs").alias(epochs), F.col("last").alias(last)))
+    copies = _copies(sampling_key(quality_weight() if weight is None else weight), epochs, last)
+    return joined.filter(copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), copies))).select(*docs.columns, copy)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
-from .arrow import add_columns
+from .arrow import add_columns, unused
 from .components import components
 from .joins import heavy_keys, spread_join
 from .sums import vector_sum
@@ -469,13 +469,15 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, similar: float = SIMILAR, max_broadcast: int = 2_000_000) -> DataFrame:
     """The documents less all but one of each class, all columns as they were.
 
-    Rows equal in id and text stay or go together; remove exact copies first.
+    Rows equal in id and text stay or go together; remove exact copies first. Null texts are
+    empty ones, null ids come last in a class, an empty table stays empty.
     """
     found = materialize(classes(docs, similar, max_broadcast), "classes")
+    own_id, own_text = unused(docs, "_i"), unused(docs, "_t")
     key = ["doc_id", "text_key"]
-    stay = found.filter("kept").select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_t"))
+    stay = found.filter("kept").select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_text))
     gone = found.filter("not kept").select(*key)
-    gone = gone.join(stay, gone["doc_id"].eqNullSafe(stay["_i"]) & (gone["text_key"] == stay["_t"]), "left_anti")
-    gone = materialize(gone.select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_t")).distinct(), "gone")
+    gone = gone.join(stay, gone["doc_id"].eqNullSafe(stay[own_id]) & (gone["text_key"] == stay[own_text]), "left_anti")
+    gone = materialize(gone.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_text)).distinct(), "gone")
     side = F.broadcast(gone) if gone.count() <= max_broadcast else gone
-    return docs.join(side, docs["doc_id"].eqNullSafe(side["_i"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == side["_t"]), "left_anti")
+    return docs.join(side, docs["doc_id"].eqNullSafe(side[own_id]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == side[own_text]), "left_anti")
