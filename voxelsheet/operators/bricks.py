@@ -169,25 +169,41 @@ def touched_bricks(points: DataFrame, reads: Reads, shape, edge: int) -> DataFra
 
 
 class _Cube:
-    """Cells of points with blocks of one shape that one brick owns, all points at once."""
+    """Cells of points with blocks of one shape that one brick owns, all points at once.
+
+    A block is looked at line by line along its last axis: lines whose ends lie on the same side of
+    the brick hold no cell of it and are left out before any cell's position is computed.
+    """
 
     def __init__(self, cube, corner: dict, reads: Reads, shape, edge: int, points: dict, cells: tuple[int, int, int]):
         self.cube, self.corner, self.reads, self.edge, self.points, self.cells = cube, corner, reads, edge, points, cells
         self.size = dict(zip("zyx", shape))
         self.top = {a: min(edge, self.size[a] - corner[a]) for a in "zyx"}
+        near = True
+        for a in "zyx":
+            across = (self._step(a, "y")[:, None, :] + self._step(a, "z")[:, :, None]) + points[f"c{a}"][:, None, None]
+            along = self._step(a, "x")
+            ends = [across + along[:, k, None, None] for k in (0, -1)]
+            if reads.clamp:
+                ends = [np.clip(e, 0, self.size[a] - 1) for e in ends]
+            near = near & (np.maximum(*ends) >= corner[a] - 2) & (np.minimum(*ends) <= corner[a] + self.top[a] + 1)
+        self.point, self.z, self.y = np.nonzero(near)
+
+    def _step(self, axis: str, name: str) -> np.ndarray:
+        """What each cell along a block axis adds to the position along a volume axis (points x cells)."""
+        k = "zyx".index(name)
+        return self.reads.along(self.cells[k])[None, :] * self.points[f"b{name}{axis}"][:, None] * self.reads.ratio[k]
 
     def position(self, axis: str) -> np.ndarray:
-        """Volume positions (points x cells) along one axis.
+        """Volume positions (lines x cells) along one axis.
 
-        The grid is separable, so rows and planes are added up instead of all
-        three terms for every cell; additions run in the same order as in
-        geometry.sample_position, which keeps both forms equal to the last bit.
+        The grid is separable, so parts are added up line by line; additions run in
+        the same order as in geometry.sample_position, which keeps both forms equal
+        to the last bit.
         """
-        (nz, ny, nx), (rz, ry, rx), p = self.cells, self.reads.ratio, self.points
-        step = lambda name, n, r: self.reads.along(n)[None, :] * p[f"b{name}{axis}"][:, None] * r
-        row = p[f"c{axis}"][:, None] + step("x", nx, rx)
-        plane = row[:, None, :] + step("y", ny, ry)[:, :, None]
-        return (plane[:, None] + step("z", nz, rz)[:, :, None, None]).reshape(len(row), nz * ny * nx)
+        row = (self.points[f"c{axis}"][:, None] + self._step(axis, "x"))[self.point]
+        plane = row + self._step(axis, "y")[self.point, self.y][:, None]
+        return plane + self._step(axis, "z")[self.point, self.z][:, None]
 
     def local(self, axis: str, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of voxel indexes in the cube, and which of them lie in it.
@@ -205,7 +221,7 @@ class _Cube:
         return (z[at] * edge + y[at]) * edge + x[at]
 
     def nearest(self) -> tuple[np.ndarray, np.ndarray]:
-        """Which cells are owned (points x cells), and the values of those, in order."""
+        """Which cells of the lines are owned, and the values of those, in order."""
         at = {a: self.local(a, (self.position(a) + self.reads.rounding).astype("i4")) for a in "zyx"}
         owned = at["z"][1] & at["y"][1] & at["x"][1]
         return owned, self.cube[self._place(at["z"][0], at["y"][0], at["x"][0], owned)]
@@ -253,9 +269,10 @@ def _read_cells(reads: Reads, shape, edge: int, summary: bool):
             if inside:
                 one = _Cube(cube, corner, reads, shape, edge, {c: v[rows] for c, v in columns.items()}, kind)
                 owned, values = one.trilinear() if reads.interpolated else one.nearest()
+                line = one.point, one.z, one.y
             else:
-                owned, values = np.zeros((len(rows), cells), bool), np.zeros(0, reads.part)
-            ends = np.r_[0, np.cumsum(owned.sum(axis=1))]
+                owned, values, line = np.zeros((0, kind[2]), bool), np.zeros(0, reads.part), (np.zeros(0, int),) * 3
+            ends = np.r_[0, np.cumsum(np.bincount(line[0], owned.sum(axis=1), len(rows)).astype(int))]
             if summary:
                 total = np.r_[0, np.cumsum(values.astype("i8"))]
                 some, most = np.flatnonzero(np.diff(ends)), np.zeros(len(rows), "i4")
@@ -264,7 +281,9 @@ def _read_cells(reads: Reads, shape, edge: int, summary: bool):
                 made = [pa.array(np.full(len(rows), cells, "i8")), pa.array(total[ends[1:]] - total[ends[:-1]], pa.int64()), pa.array(most, pa.int32())]
                 names = ["point_id", "n", "sum_v", "max_v"]
             else:
-                masks = np.packbits(owned, axis=1)
+                whole = np.zeros((len(rows), *kind), bool)
+                whole[line] = owned
+                masks = np.packbits(whole.reshape(len(rows), cells), axis=1)
                 made = [pa.array([m.tobytes() for m in masks], pa.binary()), pa.array([values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
                         *[pa.array(np.full(len(rows), n, "i4")) for n in kind]]
                 names = ["point_id", "mask", "cells", *_SHAPE]

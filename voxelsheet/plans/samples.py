@@ -114,7 +114,7 @@ def _(t):
 def _(t):
     """Blocks of the default shape at every surface point; too many cells for SQL, so without a twin."""
     options = gather.BlockOptions(shape=(48, 48, 48))
-    return bricks.gather_summary(with_point_id(t.surface), stored_bricks(t, 32), options, t.volume_shape, edge=32)
+    return bricks.gather_summary(with_point_id(t.surface), stored_bricks(t, 64), options, t.volume_shape)
 
 
 @query("slices_to_bricks", "point_id:l n:l sum_v:l max_v:l", f"""
