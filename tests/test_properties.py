@@ -91,6 +91,27 @@ def test_trilinear_bricks_equal_the_row_form(spark, scene, compat):
     assert [(r.sum_v, r.max_v) for r in sums] == [(sum(w), max(w)) for w in want]
 
 
+def test_a_trilinear_cell_meets_one_tile(spark):
+    """Every cell's eight corners are in the tile of its first one; voxels listed twice count twice, as do points."""
+    rng = np.random.default_rng(8)
+    cube = rng.integers(1, 65536, (6, 9, 5))
+    voxels = volume_table(spark, cube).unionByName(spark.createDataFrame([(0, 4, 8, 4, 5), (0, 0, 0, 0, None), (0, 9, 9, 9, 7)], "volume_id int, z int, y int, x int, v int"))
+    tiles = {(r.tz, r.ty, r.tx): r.tile for r in gather.corner_tiles(voxels, cube.shape).collect()}
+    cube[4, 8, 4] += 5
+    for z, y, x in np.ndindex(7, 10, 6):
+        z, y, x = z - 1, y - 1, x - 1
+        tile = tiles.get((z >> 2, y >> 2, x >> 2), {})
+        for dz, dy, dx in np.ndindex(2, 2, 2):
+            at = z + dz, y + dy, x + dx
+            inside = all(0 <= a < n for a, n in zip(at, cube.shape))
+            assert tile.get((((z & 3) + dz) * 5 + (y & 3) + dy) * 5 + (x & 3) + dx) == (cube[at] if inside else None)
+    options = gather.BlockOptions(shape=(2, 2, 2), method="interpolated")
+    point = points_table(spark, [(2.25, 3.5, 1.75)], [(0.3, 0.2, 1.0)])
+    once, twice = ({r.cell: r.v for r in gather.gather(p, voxels, ["point_id"], options, cube.shape).collect()} for p in (point, point.union(point)))
+    assert once.keys() == twice.keys() == set(range(-1, 8)) and once[-1] is None
+    assert all((twice[c] - 2 * once[c]) % 65536 in (0, 1) for c in range(8))
+
+
 def test_unknown_method(spark, scene):
     with pytest.raises(ValueError):
         gather.gather(scene[4], scene[3], ["point_id"], gather.BlockOptions(method="cubic"), scene[0].shape)

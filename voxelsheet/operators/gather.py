@@ -120,34 +120,71 @@ def nearest_hits(placed: DataFrame, voxels: DataFrame, keys: list[str], options:
     return _meet(cells, voxels, shape).select(*keys, "cell", "v")
 
 
+TILE_BITS = 2
+
+
+def corner_tiles(voxels: DataFrame, shape, bits: int = TILE_BITS) -> DataFrame:
+    """``tz, ty, tx, tile``: voxels in cubes of 2^bits cells an axis, each with one more layer from its upper neighbours.
+
+    All eight corners of a cell whose first corner lies in a cube are then in that
+    cube's map, of at most (2^bits + 1)^3 entries. Values at one place are added up first.
+    """
+    edge = 1 << bits
+    summed = voxels.filter(_inside(shape) & F.col("v").isNotNull()).groupBy("z", "y", "x").agg(F.sum("v").alias("v"))
+    rows = summed.withColumn("_side", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    step = {a: F.shiftright(F.col("_side"), i) % 2 for i, a in enumerate("xyz")}
+    near = F.lit(True)
+    for a in "xyz":
+        near = near & ((step[a] == 0) | (F.col(a).bitwiseAND(edge - 1) == 0))
+    local = {a: F.col(a).bitwiseAND(edge - 1) + step[a] * edge for a in "xyz"}
+    place = (local["z"] * (edge + 1) + local["y"]) * (edge + 1) + local["x"]
+    placed = rows.filter(near).select(*[(F.shiftright(F.col(a), bits) - step[a]).alias(f"t{a}") for a in "zyx"], place.alias("place"), "v")
+    return placed.groupBy("tz", "ty", "tx").agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("tile"))
+
+
 def trilinear_hits(placed: DataFrame, voxels: DataFrame, keys: list[str], options: BlockOptions, shape) -> DataFrame:
-    """Eight-corner weighted cells: keys, ``cell``, ``v``; weights of 0 never travel.
+    """Eight-corner weighted cells: keys, ``cell``, ``v``; weights of 0 count for nothing.
 
-    Sums get 1e-6 before truncation, so that the order of summation cannot turn
-    an exact integer into the one below. ``compat_corner`` reads corner
-    (x1, y0, z0) where (x1, y1, z0) belongs.
+    A cell travels once, to the tile that holds all its corners. Sums get 1e-6
+    before truncation, so that the order of summation cannot turn an exact integer
+    into the one below. ``compat_corner`` reads corner (x1, y0, z0) where (x1, y1, z0) belongs.
     """
-    cells = explode_cells(placed, keys, options)
-    base = cells.select(
+    edge = 1 << TILE_BITS
+    base = explode_cells(placed, keys, options).select(
         *keys, "cell", *[g.truncate(F.col(f"q{a}")).alias(f"i{a}") for a in "xyz"],
         *[(F.col(f"q{a}") - g.truncate(F.col(f"q{a}"))).alias(f"d{a}") for a in "xyz"],
     )
-    corner = F.explode(F.sequence(F.lit(0), F.lit(7)))
-    c = base.withColumn("corner", corner)
-    step = {a: F.shiftright(F.col("corner"), i) % 2 for i, a in enumerate("xyz")}
-    weight = F.lit(1.0)
-    for a in "xyz":
-        weight = weight * F.when(step[a] == 1, F.col(f"d{a}")).otherwise(1.0 - F.col(f"d{a}"))
-    row = step["y"]
-    if options.compat_corner:
-        row = F.when((step["x"] == 1) & (step["z"] == 0), 0).otherwise(step["y"])
-    corners = c.select(
-        *keys, "cell", weight.alias("w"),
-        (F.col("ix") + step["x"]).alias("x"), (F.col("iy") + row).alias("y"), (F.col("iz") + step["z"]).alias("z"),
-        "corner",
-    ).filter(F.when(F.col("cell") < 0, F.col("corner") == 0).otherwise(F.col("w") != 0))
-    met = _meet(corners, voxels, shape)
-    summed = met.groupBy(*keys, "cell").agg(F.sum(F.col("w") * F.col("v")).alias("s"))
+    size = dict(zip("zyx", shape))
+    corners, wanted = [], F.lit(False)
+    for bits in range(8):
+        step = {a: bits >> i & 1 for i, a in enumerate("xyz")}
+        weight = F.lit(1.0)
+        for a in "xyz":
+            weight = weight * (F.col(f"d{a}") if step[a] else 1.0 - F.col(f"d{a}"))
+        if options.compat_corner and step["x"] == 1 and step["z"] == 0:
+            step["y"] = 0
+        inside = weight != 0
+        for a in "xyz":
+            inside = inside & F.col(f"i{a}").between(-step[a], size[a] - 1 - step[a])
+        wanted = wanted | inside
+        corners.append((weight, (step["z"] * (edge + 1) + step["y"]) * (edge + 1) + step["x"]))
+    # Listed, not filtered: a filter would be pushed below the positions and compute each of them many times.
+    # Markers get a tile that no voxel has, spread over y and x.
+    tile = lambda tz: F.array(F.struct(tz.alias("tz"), *[F.shiftright(F.col(f"i{a}"), TILE_BITS).alias(f"t{a}") for a in "yx"]))
+    listed = F.when(F.col("cell") < 0, tile(F.lit(-2))).when(wanted, tile(F.shiftright(F.col("iz"), TILE_BITS)))
+    keyed = base.select("*", F.explode(listed).alias("_t")).select(*base.columns, "_t.*")
+    met = keyed.join(corner_tiles(voxels, shape).hint("merge"), ["tz", "ty", "tx"], "left")
+    first = F.lit(0)
+    for a in "zyx":
+        first = first * (edge + 1) + F.col(f"i{a}").bitwiseAND(edge - 1)
+    at = met.withColumn("_first", first)
+    shares = at.select(*keys, "cell", *[F.when(w != 0, w * F.col("tile")[F.col("_first") + k]).alias(f"_s{n}") for n, (w, k) in enumerate(corners)])
+    names = [f"_s{n}" for n in range(8)]
+    whole = F.lit(0.0)
+    for name in names:
+        whole = whole + F.coalesce(name, F.lit(0.0))
+    some = shares.select(*keys, "cell", F.when(F.coalesce(*names).isNotNull(), whole).alias("s"))
+    summed = some.groupBy(*keys, "cell").agg(F.sum("s").alias("s"))
     return summed.select(*keys, "cell", F.pmod(F.floor(F.col("s") + 1e-6).cast("bigint"), F.lit(65536)).cast("int").alias("v"))
 
 
