@@ -438,3 +438,18 @@ def test_truncated_reconstruction(spark):
         left, size, right = np.linalg.svd(x - x.mean(0), full_matrices=False)
         want = (((left[:, :3] * size[:3]) @ right[:3] + x.mean(0) - x) ** 2).mean(1)
         assert basis.shape == (cells, 3) and np.allclose([r.mse for r in out], want, atol=1e-6)
+
+
+def test_audit_groups_names_only(spark):
+    """Files named twice, names listed twice, unknown or null; what is grouped is a row a name, not one a file."""
+    listing = [("a", f"extras/{s}", None) for s in manifests.EXTRAS] + [("a", "_mask.png", "L"), ("a", "_mask.png", "P"), ("a", "other", "X"), ("a", None, None)]
+    listing += [("a", "slice", None)] * manifests.SLICES + [("b", "slice", None)] * 2 + [(None, "meta.json", None)]
+    names = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "name string")
+    out = manifests.audit(names, spark.createDataFrame(listing, "name string, suffix string, mode string"))
+    every = [f"extras/{s}" for s in manifests.EXTRAS] + [*manifests.ROOT_FILES, "meta.json"]
+    want = [("a", "_inklabels.png", "missing"), ("a", "meta.json", "missing"), ("a", "_mask.png", "mode")]
+    for name in ("b", "b", None):
+        want += [(name, s, "missing") for s in every] + [(name, "slice", "slices")]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    grouped = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in line]
+    assert grouped and all(line.split("Aggregate [")[1].split("]")[0].startswith("name#") and "suffix" not in line.split("Aggregate [")[1].split("]")[0] for line in grouped)

@@ -201,22 +201,23 @@ SLICES = 65
 def audit(names: DataFrame, listing: DataFrame) -> DataFrame:
     """Faults of deliverables. ``listing``: name, suffix, mode; slices have suffix ``slice``.
 
+    A deliverable's files are a bit each and its slices a number, so what is grouped is one row a name.
     Columns: name, item, fault (missing, mode, slices).
     """
     expected = [f"extras/{s}" for s in EXTRAS] + list(ROOT_FILES) + ["meta.json"]
-    wanted = names.withColumn("suffix", F.explode(F.array(*[F.lit(s) for s in expected])))
-    missing = wanted.join(listing.select("name", "suffix").distinct(), ["name", "suffix"], "left_anti")
-    right_mode = F.lit(None).cast("string")
+    bit, right_mode = F.lit(0), F.lit(None).cast("string")
+    for n, suffix in enumerate(expected):
+        bit = F.when(F.col("suffix") == suffix, 1 << n).otherwise(bit)
+    bit = F.when(F.col("suffix") == "slice", 0).otherwise(bit)  # most files are slices, and are compared once
     for suffix, mode in IMAGE_MODES.items():
         right_mode = F.when(F.col("suffix") == suffix, mode).otherwise(right_mode)
     wrong = listing.filter(right_mode.isNotNull() & (F.col("mode") != right_mode))
-    slices = listing.filter("suffix = 'slice'").groupBy("name").agg(F.count("*").alias("n"))
-    short = names.join(slices, "name", "left").filter(F.coalesce("n", F.lit(0)) != SLICES)
-    fault = lambda df, item, text: df.select("name", item.alias("item"), F.lit(text).alias("fault"))
-    return (
-        fault(missing, F.col("suffix"), "missing").unionByName(fault(wrong, F.col("suffix"), "mode"))
-        .unionByName(fault(short, F.lit("slice"), "slices"))
-    )
+    found = listing.groupBy("name").agg(F.bit_or(bit).alias("found"), F.count_if(F.col("suffix") == "slice").alias("n"))
+    held = names.join(found, "name", "left")
+    gone = [F.when(F.coalesce("found", F.lit(0)).bitwiseAND(1 << n) == 0, F.struct(F.lit(s).alias("item"), F.lit("missing").alias("fault"))) for n, s in enumerate(expected)]
+    short = F.when(F.coalesce("n", F.lit(0)) != SLICES, F.struct(F.lit("slice").alias("item"), F.lit("slices").alias("fault")))
+    faults = held.select("name", F.explode(F.array_compact(F.array(*gone, short))).alias("f")).select("name", "f.*")
+    return faults.unionByName(wrong.select("name", F.col("suffix").alias("item"), F.lit("mode").alias("fault")))
 
 
 def audit_references(descriptors: DataFrame, existing: DataFrame) -> DataFrame:
