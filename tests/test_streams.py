@@ -98,6 +98,19 @@ def test_a_repeated_batch_is_not_merged_twice(spark, tmp_path):
         jobs.current(spark, str(tmp_path / "none"), KEYS, "v", ORDER)
 
 
+def test_one_file_is_dealt_out_before_it_is_sorted(spark, tmp_path, monkeypatch):
+    """A batch's rows, many of one pixel, and those of folders are spread by what they meet on."""
+    source, path, seen, spread = str(tmp_path / "in"), str(tmp_path / "out"), [], jobs.spread
+    monkeypatch.setattr(jobs, "spread", lambda rows, *by: seen.append(by) or spread(rows, *by))
+    batches = [[(0, 1, v, v % 7) for v in range(500)], [(0, 1, 3, 6), (1, 2, 1, 0)]]
+    feed(spark, source, batches)
+    upsert(spark, source, path, fan=2)
+    assert held(spark, path) == expected(batches)
+    assert seen == [(*KEYS, *ORDER)] * 2 + [tuple(KEYS)] * 2
+    plan = jobs.current(spark, path, KEYS, "v", ORDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+
+
 LOG = "job int, step bigint, metric string, value100 bigint, flush boolean"
 
 

@@ -18,6 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..functions.ordering import spread
 from ..operators.stamps import last_write
 from ..session import scratch_path
 
@@ -254,6 +255,10 @@ def upsert_predictions(stream: DataFrame, keys: list[str], value: str, order: li
     levels are live, and each row is rewritten log n times. Folders are named by the
     batch that makes them and become live only by the swap of the list: a batch that is
     repeated after a failure writes the same folders again, and one whose list is there already does nothing.
+
+    The latest write is found by sorting, so rows are first dealt over the shuffle width, however
+    few files they come in. A batch may write one pixel any number of times and deals those rows
+    apart; folders hold a pixel once each, and its rows meet at once.
     """
     spark = stream.sparkSession
 
@@ -265,13 +270,13 @@ def upsert_predictions(stream: DataFrame, keys: list[str], value: str, order: li
         known = live.versions()
         if known and known[-1] >= batch_id:
             return
-        reduced(batch).write.mode("overwrite").parquet(f"{path}/level0-{batch_id}")
+        reduced(spread(batch, *keys, *order)).write.mode("overwrite").parquet(f"{path}/level0-{batch_id}")
         folders = [*live.read(), f"level0-{batch_id}"]
         level = 0
         while len(full := [f for f in folders if f.startswith(f"level{level}-")]) >= fan:
             level += 1
             merged = f"level{level}-{batch_id}"
-            reduced(spark.read.parquet(*[f"{path}/{f}" for f in full])).write.mode("overwrite").parquet(f"{path}/{merged}")
+            reduced(spread(spark.read.parquet(*[f"{path}/{f}" for f in full]), *keys)).write.mode("overwrite").parquet(f"{path}/{merged}")
             folders = [f for f in folders if f not in full] + [merged]
         live.swap(batch_id, folders)
 
@@ -284,4 +289,4 @@ def current(spark: SparkSession, path: str, keys: list[str], value: str, order:
     folders = LiveFolders(spark, path).read()
     if not folders:
         raise ValueError(f"{path} holds no batch yet")
-    return last_write(spark.read.parquet(*[f"{path}/{f}" for f in folders]), keys, value, order)
+    return last_write(spread(spark.read.parquet(*[f"{path}/{f}" for f in folders]), *keys), keys, value, order)
