@@ -453,3 +453,50 @@ def test_audit_groups_names_only(spark):
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
     grouped = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in line]
     assert grouped and all(line.split("Aggregate [")[1].split("]")[0].startswith("name#") and "suffix" not in line.split("Aggregate [")[1].split("]")[0] for line in grouped)
+
+
+def test_chunks_of_one_brick_are_dealt_apart(spark, scene, monkeypatch):
+    """The chunks of a brick that many points touch meet their own copy of it, in tasks of their own."""
+    monkeypatch.setattr(bricks, "CHUNK_POINTS", 3)
+    cube, _, _, voxels, points = scene
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        options = gather.BlockOptions(shape=(4, 3, 5))
+        met = bricks._met(bricks._with_shape(points, options, False), bricks.pack_bricks(voxels, edge=32), bricks.Reads(), cube.shape, 32)
+        rows = met.filter("bz = 0 and by = 0 and bx = 0").select(F.spark_partition_id().alias("task"), F.size("points").alias("n"), F.col("data").isNotNull().alias("held")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) > 5 and len({r.task for r in rows}) > 3 and all(r.held for r in rows)
+
+
+@pytest.mark.parametrize("kind", [(48, 48, 48), (5, 3, 7), (2, 1, 1)])
+@pytest.mark.parametrize("clamp", [False, True])
+def test_only_cells_near_the_brick_get_a_position(kind, clamp):
+    """All owned cells are found by entry and exit of their lines, and few others are looked at."""
+    rng = np.random.default_rng(4)
+    shape, edge, corner = (7, 90, 70), 32, {"z": 0, "y": 32, "x": 64}
+    reads = bricks.Reads(clamp=clamp)
+    cube = rng.integers(1, 65536, edge**3).astype("<u2")
+    n = 12
+    turn = np.array([np.linalg.qr(rng.normal(size=(3, 3)))[0] for _ in range(n - 2)] + [np.eye(3), np.eye(3)[[2, 0, 1]]])
+    points = {f"b{a}{b}": turn[:, i, j].copy() for i, a in enumerate("xyz") for j, b in enumerate("xyz")}
+    points |= {"cx": rng.uniform(50, 75, n), "cy": rng.uniform(25, 70, n), "cz": rng.uniform(-2, 9, n)}
+    one = bricks._Cube(cube, corner, reads, shape, edge, points, kind)
+    cell, values = one.nearest()
+    steps = np.stack(np.meshgrid(*[reads.along(k) for k in kind], indexing="ij"), -1).reshape(-1, 3)
+    at, owned = [], True
+    for a, size in zip("zyx", shape):
+        p = points[f"c{a}"][:, None] + steps[:, 2] * points[f"bx{a}"][:, None] + steps[:, 1] * points[f"by{a}"][:, None] + steps[:, 0] * points[f"bz{a}"][:, None]
+        k = np.trunc(p + 0.5).astype(int)
+        k = (np.clip(k, 0, size - 1) if clamp else k) - corner[a]
+        owned = owned & (k >= 0) & (k < min(edge, size - corner[a]))
+        at.append(k)
+    want = np.flatnonzero(owned)
+    assert cell.tolist() == want.tolist()
+    assert values.tolist() == cube[((at[0] * edge + at[1]) * edge + at[2]).ravel()[want]].tolist()
+    if kind[0] == 48 and not clamp:
+        assert len(want) and len(one.along) < 3 * len(want) < n * 48**3 / 4

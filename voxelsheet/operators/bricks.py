@@ -28,8 +28,8 @@ from ..session import materialize
 from .gather import BlockOptions, place_centers
 
 CHUNK_POINTS = 4096
-CHUNK_CELLS = 1 << 29
-CELLS_PER_BATCH = 1 << 20
+CHUNK_CELLS = 1 << 27
+CELLS_PER_BATCH = 1 << 21
 BYTES_PER_BATCH = 1 << 23
 BRICK = ["volume_id", "bz", "by", "bx"]
 _BASIS = [f"b{a}{b}" for a in "xyz" for b in "xyz"]
@@ -171,23 +171,40 @@ def touched_bricks(points: DataFrame, reads: Reads, shape, edge: int) -> DataFra
 class _Cube:
     """Cells of points with blocks of one shape that one brick owns, all points at once.
 
-    A block is looked at line by line along its last axis: lines whose ends lie on the same side of
-    the brick hold no cell of it and are left out before any cell's position is computed.
+    A block is looked at line by line along its last axis. Where a line enters and leaves the brick
+    follows from its step, so only the cells between, with a margin, get a position.
+    ``cell`` is their place among all cells of the points' blocks.
     """
 
     def __init__(self, cube, corner: dict, reads: Reads, shape, edge: int, points: dict, cells: tuple[int, int, int]):
         self.cube, self.corner, self.reads, self.edge, self.points, self.cells = cube, corner, reads, edge, points, cells
         self.size = dict(zip("zyx", shape))
         self.top = {a: min(edge, self.size[a] - corner[a]) for a in "zyx"}
-        near = True
+        nz, ny, nx = cells
+        offsets = reads.along(nx)
+        first, last = 0.0, float(nx)
         for a in "zyx":
             across = (self._step(a, "y")[:, None, :] + self._step(a, "z")[:, :, None]) + points[f"c{a}"][:, None, None]
-            along = self._step(a, "x")
-            ends = [across + along[:, k, None, None] for k in (0, -1)]
-            if reads.clamp:
-                ends = [np.clip(e, 0, self.size[a] - 1) for e in ends]
-            near = near & (np.maximum(*ends) >= corner[a] - 2) & (np.minimum(*ends) <= corner[a] + self.top[a] + 1)
-        self.point, self.z, self.y = np.nonzero(near)
+            low = -np.inf if reads.clamp and corner[a] == 0 else corner[a] - 2.5
+            high = np.inf if reads.clamp and corner[a] + self.top[a] == self.size[a] else corner[a] + self.top[a] + 1.5
+            step = points[f"bx{a}"] * reads.ratio[2]
+            still = np.abs(step) * nx < 1e-3  # such lines stay within the margin
+            back = (1.0 / np.where(still, 1.0, step))[:, None, None]
+            enter, leave = (low - across) * back, (high - across) * back
+            enter, leave = np.minimum(enter, leave), np.maximum(enter, leave)
+            if still.any():
+                within = (across[still] >= low) & (across[still] <= high)
+                enter[still], leave[still] = np.where(within, -np.inf, np.inf), np.where(within, np.inf, -np.inf)
+            # offsets are k + offsets[0], or one less above the middle of an odd block
+            first, last = np.maximum(first, enter - offsets[0]), np.minimum(last, leave - offsets[0] + 2)
+        first, last = np.ceil(np.minimum(first, nx)).astype(int), np.floor(np.maximum(last, 0)).astype(int)
+        point, z, y = self.line = np.nonzero(last > first)
+        first = first[self.line]
+        self.counts = last[self.line] - first
+        first = first - (np.cumsum(self.counts) - self.counts)
+        each = np.arange(self.counts.sum())
+        self.along = np.repeat(point * nx + first, self.counts) + each
+        self.cell = np.repeat(((point * nz + z) * ny + y) * nx + first, self.counts) + each
 
     def _step(self, axis: str, name: str) -> np.ndarray:
         """What each cell along a block axis adds to the position along a volume axis (points x cells)."""
@@ -195,15 +212,16 @@ class _Cube:
         return self.reads.along(self.cells[k])[None, :] * self.points[f"b{name}{axis}"][:, None] * self.reads.ratio[k]
 
     def position(self, axis: str) -> np.ndarray:
-        """Volume positions (lines x cells) along one axis.
+        """Volume positions of the cells along one axis.
 
         The grid is separable, so parts are added up line by line; additions run in
         the same order as in geometry.sample_position, which keeps both forms equal
         to the last bit.
         """
-        row = (self.points[f"c{axis}"][:, None] + self._step(axis, "x"))[self.point]
-        plane = row + self._step(axis, "y")[self.point, self.y][:, None]
-        return plane + self._step(axis, "z")[self.point, self.z][:, None]
+        point, z, y = self.line
+        row = (self.points[f"c{axis}"][:, None] + self._step(axis, "x")).ravel()[self.along]
+        plane = row + np.repeat(self._step(axis, "y")[point, y], self.counts)
+        return plane + np.repeat(self._step(axis, "z")[point, z], self.counts)
 
     def local(self, axis: str, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of voxel indexes in the cube, and which of them lie in it.
@@ -221,10 +239,10 @@ class _Cube:
         return (z[at] * edge + y[at]) * edge + x[at]
 
     def nearest(self) -> tuple[np.ndarray, np.ndarray]:
-        """Which cells of the lines are owned, and the values of those, in order."""
+        """The cells that are owned, in order, and their values."""
         at = {a: self.local(a, (self.position(a) + self.reads.rounding).astype("i4")) for a in "zyx"}
         owned = at["z"][1] & at["y"][1] & at["x"][1]
-        return owned, self.cube[self._place(at["z"][0], at["y"][0], at["x"][0], owned)]
+        return self.cell[owned], self.cube[self._place(at["z"][0], at["y"][0], at["x"][0], owned)]
 
     def trilinear(self) -> tuple[np.ndarray, np.ndarray]:
         """This brick's share of the eight-corner sums; each axis and side is looked at once, not once a corner."""
@@ -243,7 +261,7 @@ class _Cube:
             weight = share["x"][bx][owned] * share["y"][by][owned] * share["z"][bz][owned]
             total[owned] += weight * self.cube[self._place(z, y, x, owned)]
             any_owned |= owned
-        return any_owned, total[any_owned]
+        return self.cell[any_owned], total[any_owned]
 
 
 def _runs(points: pa.StructArray) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
@@ -269,10 +287,9 @@ def _read_cells(reads: Reads, shape, edge: int, summary: bool):
             if inside:
                 one = _Cube(cube, corner, reads, shape, edge, {c: v[rows] for c, v in columns.items()}, kind)
                 owned, values = one.trilinear() if reads.interpolated else one.nearest()
-                line = one.point, one.z, one.y
             else:
-                owned, values, line = np.zeros((0, kind[2]), bool), np.zeros(0, reads.part), (np.zeros(0, int),) * 3
-            ends = np.r_[0, np.cumsum(np.bincount(line[0], owned.sum(axis=1), len(rows)).astype(int))]
+                owned, values = np.zeros(0, int), np.zeros(0, reads.part)
+            ends = np.searchsorted(owned, np.arange(len(rows) + 1) * cells)
             if summary:
                 total = np.r_[0, np.cumsum(values.astype("i8"))]
                 some, most = np.flatnonzero(np.diff(ends)), np.zeros(len(rows), "i4")
@@ -281,8 +298,8 @@ def _read_cells(reads: Reads, shape, edge: int, summary: bool):
                 made = [pa.array(np.full(len(rows), cells, "i8")), pa.array(total[ends[1:]] - total[ends[:-1]], pa.int64()), pa.array(most, pa.int32())]
                 names = ["point_id", "n", "sum_v", "max_v"]
             else:
-                whole = np.zeros((len(rows), *kind), bool)
-                whole[line] = owned
+                whole = np.zeros(len(rows) * cells, bool)
+                whole[owned] = True
                 masks = np.packbits(whole.reshape(len(rows), cells), axis=1)
                 made = [pa.array([m.tobytes() for m in masks], pa.binary()), pa.array([values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
                         *[pa.array(np.full(len(rows), n, "i4")) for n in kind]]
@@ -310,7 +327,9 @@ def _met(points: DataFrame, bricks: DataFrame, reads: Reads, shape, edge: int) -
     salted = touched.join(counts, BRICK).withColumn("chunk", F.pmod(F.xxhash64("point_id"), F.col("chunks")))
     chunks = spread(salted, *BRICK, "chunk").groupBy(*BRICK, "chunk").agg(
         F.collect_list(F.struct("point_id", "cx", "cy", "cz", *_BASIS, *_SHAPE)).alias("points"))
-    return chunks.join(wanted(bricks, touched), BRICK, "left")
+    # a copy of the brick for each of its chunks: met by brick alone, all points of a brick would be one task's
+    copies = wanted(bricks, touched).join(counts, BRICK).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    return chunks.join(copies.select(*BRICK, "chunk", "data"), [*BRICK, "chunk"], "left")
 
 
 def wanted(bricks: DataFrame, touched: DataFrame, most: int = 1_000_000) -> DataFrame:
