@@ -9,7 +9,7 @@ Samples, requests with radii, boxes along the axes and oblique planes are all
 placed points: a centre, a basis, and numbers of cells.
 
 A brick that a third of all points touch gets many chunks: their number follows
-the counted points, and AQE splits the chunk side of the join when it is large.
+the counted points and cells, and each chunk meets a copy of the brick of its own.
 """
 
 from __future__ import annotations

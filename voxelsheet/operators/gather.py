@@ -4,6 +4,8 @@ Row form: every sample cell becomes a row with an integer key and meets the
 voxel table in an equi join. It suits small blocks and needs no Python. For
 large blocks use :mod:`voxelsheet.operators.bricks`, which gives the same cells.
 
+Trilinear cells meet cubes of voxels instead, which hold their eight corners.
+
 Cells outside the volume are dropped before the join, so that only keys that
 can match are shuffled. Each point carries one marker row (``cell = -1``) that
 matches nothing, so a point without any cell inside still has a row. Absent
